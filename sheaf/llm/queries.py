@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.pages import close_spans, count_pages, merge_spans, page_spans
 from sheaf.functions.paths import base_name
-from sheaf.llm import packing, splitting, tokens
+from sheaf.llm import abuse, packing, splitting, tokens
 from sheaf.session import cut
 from sheaf.sources.tables import table
 
@@ -68,5 +68,31 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, root), CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_ids, p6_counts, p7_packed, p7_fill)}
+#: Bound of the sample of rated documents the network is fitted on.
+RATED_DOCUMENTS = 6000
+ABUSE_THRESHOLD = 0.6
+
+
+def _scored(spark: SparkSession, root: str, keep: list[str]) -> DataFrame:
+    docs = table(spark, root, "documents")
+    net = abuse.train(docs, table(spark, root, "abuse_label"), RATED_DOCUMENTS)
+    return abuse.score(docs, net, keep)
+
+
+def p8_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Score of every document."""
+    return _scored(spark, root, ["doc_id"])
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit language."""
+    return _scored(spark, root, ["doc_id"]).where(F.col("score") >= ABUSE_THRESHOLD).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Documents and rate of flagged ones per source."""
+    return abuse.rates(_scored(spark, root, ["source"]), "source", ABUSE_THRESHOLD)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_ids, p6_counts, p7_packed, p7_fill, p8_found, p8_scores, p8_rates)}
 SQL: dict[str, str] = {}
