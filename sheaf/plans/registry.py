@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from sheaf.plans import problems
+from sheaf.plans import problems, texts
+
+CATALOGS = (texts.C,)
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    out = dict(problems.QUERIES)
+    for c in CATALOGS:
+        out |= c.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = dict(problems.SQL)
+    for c in CATALOGS:
+        out |= c.sql
+    return out
