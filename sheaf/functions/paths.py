@@ -33,8 +33,8 @@ def normalize_path(col: Column) -> Column:
 
 
 def join_path(base_dir: Column, link: Column) -> Column:
-    """``link`` seen from ``base_dir``, normalized."""
-    return normalize_path(F.concat(base_dir, F.lit("/"), link))
+    """``link`` seen from ``base_dir`` (empty: the root of all paths), normalized."""
+    return normalize_path(F.when(base_dir == "", link).otherwise(F.concat(base_dir, F.lit("/"), link)))
 
 
 def base_name(col: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sheaf.plans import problems, texts
+from sheaf.plans import problems, records, texts
 
-CATALOGS = (texts.C,)
+CATALOGS = (texts.C, records.C)
 
 
 def queries() -> dict:
