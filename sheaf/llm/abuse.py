@@ -262,7 +262,7 @@ class Scorer:
         return out
 
 
-def fit(texts: list[str], target: list[float], epochs: int = 12, seed: int = 7, batch: int = 128, rate: float = 2e-3) -> Network:
+def fit(texts: list[str], target: list[float], epochs: int = 24, seed: int = 7, batch: int = 128, rate: float = 2e-3) -> Network:
     """Train on rated documents, each standing for its one worst window (multiple-instance learning).
 
     The first windows of abusive documents are those with the highest log-odds of their words; later
@@ -298,7 +298,7 @@ def fit(texts: list[str], target: list[float], epochs: int = 12, seed: int = 7,
     step = 0
     up = 1.5
     for epoch in range(epochs):
-        if epoch in (2, 5, 9):
+        if epoch in (2, 5, 9, 14, 19):
             scorer.projected = {d: np.zeros((0, 3 * net.hidden), np.float32) for d in "fb"}
             window_score = scorer.window_logits(flat)
         top = np.array([s + int(np.argmax(window_score[s:e])) for s, e in zip(ends, ends[1:])])

@@ -69,8 +69,8 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
 
 
 #: Bound of the sample of rated documents the network is fitted on.
-RATED_DOCUMENTS = 6000
-ABUSE_THRESHOLD = 0.6
+RATED_DOCUMENTS = 8000
+ABUSE_THRESHOLD = 0.5
 
 
 def _scored(spark: SparkSession, root: str, keep: list[str]) -> DataFrame:
