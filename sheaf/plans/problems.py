@@ -91,4 +91,57 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p1_replayed, p1_report, p2_found, p2_by_month, p4_found, p5_found)}
 
-SQL: dict[str, str] = {}
+# ---- the same in SQL --------------------------------------------------------------------------
+
+_CONCEPTS = " ".join(f"WHEN k IN ({', '.join(repr(n) for n in p.names)}) THEN '{p.name}'" for p in drift.MAP_SCHEMA.pieces)
+_P1 = f"""WITH r AS (SELECT map_file, rev, arg_min(raw, map_id) AS raw FROM map_raw WHERE json_valid(raw) AND json_type(raw) = 'OBJECT' GROUP BY ALL
+), o AS (SELECT map_file, rev, lag(rev) OVER (PARTITION BY map_file ORDER BY rev) AS before FROM r
+), f AS (SELECT map_file, rev, k, CASE json_type(json_extract(raw, '$."' || k || '"')) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS t
+  FROM (SELECT map_file, rev, raw, unnest(json_keys(raw)) AS k FROM r)
+), n AS (SELECT o.map_file, o.rev, k, t FROM o JOIN f USING (map_file, rev) WHERE before IS NOT NULL
+), b AS (SELECT o.map_file, o.rev, k, t FROM o JOIN f ON f.map_file = o.map_file AND f.rev = before
+), c AS (SELECT *, CASE {_CONCEPTS} END AS piece FROM n ANTI JOIN b USING (map_file, rev, k)
+), w AS (SELECT *, CASE {_CONCEPTS} END AS piece FROM b ANTI JOIN n USING (map_file, rev, k)
+), cr AS (SELECT *, row_number() OVER (PARTITION BY map_file, rev, piece ORDER BY k) AS i FROM c), wr AS (SELECT *, row_number() OVER (PARTITION BY map_file, rev, piece ORDER BY k) AS i FROM w
+), m AS (SELECT cr.map_file, cr.rev, cr.k, wr.k AS old, cr.t, wr.t AS old_t FROM cr JOIN wr USING (map_file, rev, piece, i)
+), found AS (SELECT map_file, rev, k AS field_name, 'renamed' AS change_kind FROM m
+  UNION ALL SELECT map_file, rev, k, 'retyped' FROM m WHERE t <> old_t
+  UNION ALL SELECT map_file, rev, k, 'added' FROM c WHERE (map_file, rev, k) NOT IN (SELECT (map_file, rev, k) FROM m)
+  UNION ALL SELECT map_file, rev, k, 'removed' FROM w WHERE (map_file, rev, k) NOT IN (SELECT (map_file, rev, old) FROM m)
+  UNION ALL SELECT n.map_file, n.rev, n.k, 'retyped' FROM n JOIN b USING (map_file, rev, k) WHERE n.t <> b.t)"""
+_NORM = r"""regexp_replace(regexp_replace(regexp_replace(trim(replace(split_part({0}, '#', 1), '\', '/'), E' \t\r\n'), '/+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '(^|/)[^/.][^/]*/\.\./', '\1')"""
+_P2 = f"""WITH f AS (SELECT DISTINCT {_NORM.format('file')} AS path, written_at, deleted_at FROM fragment_file
+), refs AS (SELECT 'link_index' AS tbl, entry_id AS row_id, {_NORM.format('target_file')} AS path, built_at AS t FROM link_index WHERE target_file IS NOT NULL
+  UNION ALL SELECT DISTINCT 'fragments', frag_id, {_NORM.format('target_file')}, reported_at FROM fragments WHERE target_file IS NOT NULL
+  UNION ALL SELECT 'manifest', manifest_id, {_NORM.format('file')}, built_at FROM manifest WHERE file IS NOT NULL
+), states AS (SELECT tbl, row_id, t, CASE WHEN count(written_at) = 0 THEN 'missing' WHEN min(written_at) > t THEN 'late'
+  WHEN count(*) FILTER (written_at <= t AND (deleted_at IS NULL OR t < deleted_at)) = 0 THEN 'deleted' END AS state FROM refs LEFT JOIN f USING (path) GROUP BY tbl, row_id, t)"""
+_ITEM = r"(\d+)(?:\s*(?:-|–|—|−|\.\.|to)\s*(\d+|end))?"
+
+
+def _pages_sql(text: str) -> str:
+    """Spans (lo, hi) of a page list in SQL, an open end reaching to ``last_page``."""
+    return f"""(SELECT *, regexp_extract(m, '^(\\d+)', 1)::INT AS a, regexp_extract(m, '(\\d+|end)$', 1) AS z FROM (SELECT *, unnest(regexp_extract_all({text}, '{_ITEM}')) AS m FROM {{0}}))"""
+
+
+_P4 = f"""WITH last AS (SELECT regexp_extract(pdf, '([^/]*)$', 1) AS pdf_file, max(pages) AS last_page FROM probe GROUP BY ALL
+), fr AS (SELECT DISTINCT pdf_file, pdf_pages, last_page FROM fragments LEFT JOIN last USING (pdf_file) WHERE pdf_file IS NOT NULL
+), dm AS (SELECT DISTINCT pdf_file, regexp_replace(target_pages, '\\[\\s*(\\d+)\\s*,\\s*(\\d+)\\s*\\]', '\\1-\\2', 'g') AS target_pages, last_page FROM doc_meta LEFT JOIN last USING (pdf_file) WHERE pdf_file IS NOT NULL
+), cs AS (SELECT pdf_file, a, CASE WHEN z = 'end' THEN greatest(a, coalesce(last_page, a)) ELSE z::INT END AS z FROM {_pages_sql('pdf_pages').format('fr')}
+), ts AS (SELECT pdf_file, a, CASE WHEN z = 'end' THEN greatest(a, coalesce(last_page, a)) ELSE z::INT END AS z FROM {_pages_sql('target_pages').format('dm')}
+), cover AS (SELECT DISTINCT pdf_file, unnest(generate_series(least(a, z), greatest(a, z))) AS p FROM cs
+), given AS (SELECT DISTINCT pdf_file, unnest(generate_series(least(a, z), greatest(a, z))) AS p FROM ts
+), own AS (SELECT pdf_file, unnest(generate_series(min(p), max(p))) AS p FROM cover WHERE pdf_file NOT IN (SELECT pdf_file FROM given) GROUP BY pdf_file
+), free AS (SELECT * FROM (SELECT * FROM given UNION ALL SELECT * FROM own) ANTI JOIN cover USING (pdf_file, p)
+), every AS (SELECT pdf_file, 'period' AS span_kind, p FROM cover UNION ALL SELECT pdf_file, 'gap', p FROM free
+), g AS (SELECT *, p - row_number() OVER (PARTITION BY pdf_file, span_kind ORDER BY p) AS i FROM every)
+SELECT pdf_file, span_kind, min(p)::INT AS page_from, max(p)::INT AS page_to FROM g GROUP BY pdf_file, span_kind, i"""
+
+SQL: dict[str, str] = {
+    "p1_found": _P1 + " SELECT * FROM found",
+    "p1_report": _P1 + " SELECT field_name, change_kind, count(*) AS n_changes, count(DISTINCT map_file) AS n_files FROM found GROUP BY ALL",
+    "p2_found": _P2 + " SELECT tbl, row_id, state FROM states WHERE state IS NOT NULL",
+    "p2_by_month": _P2 + """ SELECT tbl, strftime(t, '%Y-%m') AS month, count(*) AS n_references, count(*) FILTER (state = 'missing') AS n_missing,
+      count(*) FILTER (state = 'late') AS n_late, count(*) FILTER (state = 'deleted') AS n_deleted FROM states GROUP BY ALL""",
+    "p4_found": _P4,
+}
