@@ -95,4 +95,12 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_ids, p6_counts, p7_packed, p7_fill, p8_found, p8_scores, p8_rates)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": r"""WITH last AS (SELECT regexp_extract(pdf, '([^/]*)$', 1) AS pdf_file, max(pages) AS last_page FROM probe GROUP BY ALL
+), m AS (SELECT frag_id, last_page, unnest(regexp_extract_all(pdf_pages, '(\d+)(?:\s*(?:-|–|—|−|\.\.|to)\s*(\d+|end))?')) AS m
+  FROM (SELECT DISTINCT frag_id, pdf_file, pdf_pages FROM fragments) LEFT JOIN last USING (pdf_file)
+), s AS (SELECT frag_id, last_page, regexp_extract(m, '^(\d+)', 1)::INT AS a, regexp_extract(m, '(\d+|end)$', 1) AS z FROM m
+), c AS (SELECT frag_id, a, CASE WHEN z = 'end' THEN greatest(a, coalesce(last_page, a)) ELSE z::INT END AS z FROM s
+), p AS (SELECT frag_id, unnest(generate_series(least(a, z), greatest(a, z))) AS page FROM c)
+SELECT frag_id FROM p GROUP BY frag_id HAVING count(DISTINCT page) > 12""",
+}
