@@ -99,8 +99,9 @@ class OrphanState:
 
     def advance(self, batch: DataFrame, shard_days: int = 30) -> OrphanState:
         touched = batch.select("key").distinct()
-        seen = self.events.unionByName(batch).dropDuplicates()
-        again = fold(seen.join(touched, "key", "left_semi"), shard_days)
+        seen = self.events.unionByName(batch)
+        # Only the touched keys' events are looked at again; an event delivered twice counts once.
+        again = fold(seen.join(touched, "key", "left_semi").dropDuplicates(), shard_days)
         kept = self.states.join(touched, "key", "left_anti")
         return OrphanState(seen, kept.unionByName(again))
 
