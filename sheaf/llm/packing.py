@@ -28,8 +28,9 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, most: int) -> list[in
         cost[:j, j] = v[j - 1] * (n[j] - n[:j]) - (s[j] - s[:j])
     best, back = cost[0].copy(), []
     best[0] = 0
+    total = np.empty_like(cost)
     for _ in range(1, most):
-        total = best[:, None] + cost
+        np.add(best[:, None], cost, out=total)
         at = total.argmin(axis=0)
         new = total[at, np.arange(m + 1)]
         new[0], at[0] = 0, 0
@@ -47,20 +48,21 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, most: int) -> list[in
     return sorted(bounds)
 
 
-def plan(bounds: list[int], counts: list[int], capacity: int) -> list[tuple[int, int, int, int, int, int, int]]:
+def plan(bounds: list[int], counts: list[int], capacity: int, top_up: bool = True) -> list[tuple[int, int, int, int, int, int, int]]:
     """Segments (bucket, rank_from, ranks, container, per_container, place, offset).
 
     Items of a bucket with ranks from ``rank_from`` fill ``per_container`` slots each of containers
     from ``container`` on, starting at slot ``place`` and token ``offset``. Largest buckets first.
     Each pattern repeats until a bucket runs short, so there are at most a few times as many
-    segments as buckets, squared in the worst case - whatever the number of items.
+    segments as buckets, squared in the worst case - whatever the number of items. Without
+    ``top_up`` batches hold items of one bucket only (to measure what topping up saves).
     """
     left, used = list(counts), [0] * len(bounds)
     out, container = [], 0
     for b in reversed(range(len(bounds))):
         while left[b] > 0:
             room, pattern = capacity, []
-            for x in range(b, -1, -1):
+            for x in range(b, -1 if top_up else b - 1, -1):
                 if bounds[x] <= room and left[x] > 0:
                     m = min(room // bounds[x], left[x])
                     pattern.append((x, m))
@@ -85,7 +87,7 @@ def pieces(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     )
 
 
-def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048, buckets: int = 128, rows_per_part: int = 50_000) -> DataFrame:
+def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048, buckets: int = 256, rows_per_part: int = 50_000) -> DataFrame:
     """(key, piece, length, container, place, offset) for every piece of every item.
 
     ``sizes`` is read three times: write it or checkpoint it before. ``offset`` is where the piece
