@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.session import cut
+
 
 def clip(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     """(keys, lo, hi) cut at multiples of ``width``: adds ``shard``; equal starts keep the longest piece.
@@ -54,12 +56,16 @@ def merge_local(pieces: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stitch(pieces: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Merged pieces of all shards to whole runs; only those at a shard's edge are looked at again."""
+    """Merged pieces of all shards to whole runs; only those at a shard's edge meet along the entity.
+
+    Pieces inside a shard are final: they stay in groups of their own shard, where nothing joins
+    them, so one pass serves both.
+    """
     first, last = F.col("shard") * width, F.col("shard") * width + width - 1
-    touching = (F.col("lo") == first) | (F.col("hi") == last)
-    inner = pieces.where(~touching).select(*keys, "lo", "hi")
-    edge = _islands(pieces.where(touching).select(*keys, "lo", "hi"), keys)
-    return inner.unionByName(edge.select(*keys, "lo", "hi"))
+    edge = (F.col("lo") == first) | (F.col("hi") == last)
+    # A touching piece has no group of its own shard but that of the entity.
+    apart = pieces.withColumn("_own", F.when(~edge, F.col("shard")))
+    return _islands(apart.select(*keys, "_own", "lo", "hi"), [*keys, "_own"]).select(*keys, "lo", "hi")
 
 
 def periods(df: DataFrame, keys: list[str], width: int = 256) -> DataFrame:
@@ -100,7 +106,8 @@ def periods_and_gaps(cover: DataFrame, target: DataFrame, keys: list[str], width
     An entity without a target interval is held against the range from its first to its last
     covered place; one without any cover has its whole target as gaps.
     """
-    local = merge_local(clip(cover, keys, width), keys)
+    # Merged pieces are few; everything below reads them several times, the intervals once.
+    local = cut(merge_local(clip(cover, keys, width), keys))
     given = target.where(F.col("lo").isNotNull() & F.col("hi").isNotNull() & (F.col("lo") <= F.col("hi"))).select(*keys, "lo", "hi")
     own = local.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     aimed = given.unionByName(own.join(given.select(*keys).distinct(), keys, "left_anti"))
