@@ -22,17 +22,17 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, most: int) -> list[in
     if m <= most:
         return [int(x) for x in v]
     n, s = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * v)])
-    # cost[i, j]: items i..j-1 padded to v[j-1]
+    # cost[j, i]: items i..j-1 padded to v[j-1]; a row is what one choice looks at
     cost = np.full((m + 1, m + 1), np.inf)
     for j in range(1, m + 1):
-        cost[:j, j] = v[j - 1] * (n[j] - n[:j]) - (s[j] - s[:j])
-    best, back = cost[0].copy(), []
+        cost[j, :j] = v[j - 1] * (n[j] - n[:j]) - (s[j] - s[:j])
+    best, back = cost[:, 0].copy(), []
     best[0] = 0
     total = np.empty_like(cost)
     for _ in range(1, most):
-        np.add(best[:, None], cost, out=total)
-        at = total.argmin(axis=0)
-        new = total[at, np.arange(m + 1)]
+        np.add(best, cost, out=total)
+        at = total.argmin(axis=1)
+        new = total[np.arange(m + 1), at]
         new[0], at[0] = 0, 0
         keep = new >= best
         at[keep] = -1
