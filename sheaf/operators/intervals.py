@@ -122,3 +122,30 @@ def periods_and_gaps(cover: DataFrame, target: DataFrame, keys: list[str], width
 def spans_of(df: DataFrame, keys: list[str], spans: Column) -> DataFrame:
     """One row (keys, lo, hi) per struct of the array ``spans``."""
     return df.select(*keys, F.inline(spans)).where(F.col("lo").isNotNull())
+
+
+def tolerant_runs(df: DataFrame, keys: list[str], place: str, gap: int, least: int) -> DataFrame:
+    """(keys, lo, hi): runs of the places found, joined over at most ``gap`` missing ones, spanning ``least`` or more.
+
+    Places are clipped and merged in shards first (see ``periods``), so an entity's rows shrink to
+    its runs before they are compared in order.
+    """
+    found = df.select(*keys, F.col(place).cast("long").alias("lo"), F.col(place).cast("long").alias("hi"))
+    by = Window.partitionBy(*keys).orderBy("lo")
+    before = F.lag("hi").over(by)
+    r = periods(found, keys).withColumn("_new", F.when(before.isNull() | (F.col("lo") - before - 1 > gap), 1).otherwise(0))
+    r = r.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return r.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("hi") - F.col("lo") >= least).drop("_run")
+
+
+def merge_upwards(runs: DataFrame, keys: list[str], gap: int, narrow: int) -> DataFrame:
+    """(keys, lo, hi): the last run of an entity with the runs before it, as long as each is close and short.
+
+    Going up, a run joins if at most ``gap`` places part it from the next and it spans less than
+    ``narrow``; the first that does not ends the merge.
+    """
+    down = Window.partitionBy(*keys).orderBy(F.col("lo").desc())
+    nxt = F.lag("lo").over(down)
+    joins = F.when(nxt.isNull(), 1).when((nxt - F.col("hi") <= gap) & (F.col("hi") - F.col("lo") < narrow), 1).otherwise(0)
+    kept = runs.withColumn("_ok", joins).withColumn("_all", F.min("_ok").over(down.rowsBetween(Window.unboundedPreceding, 0))).where("_all = 1")
+    return kept.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text
 from sheaf.functions.paths import base_name, last_two_segments, normalize_path
-from sheaf.operators import drift, intervals, lookups, planning, policy, reconcile, sampling, state
+from sheaf.operators import drift, figures, intervals, lookups, planning, policy, reconcile, sampling, state
 from sheaf.plans.catalog import Catalog
+from sheaf.sources import sinks
 from sheaf.sources.tables import table
 
 C = Catalog()
@@ -469,6 +470,108 @@ def proposed_actions(spark, root):
     return table(spark, root, "orders").select(policy.proposed_action(rule, triage).alias("action")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---- runs with gaps, positioned words, nested records, frontmatter, figures ------------------------------
+
+NAMED_SQL = f"""WITH {SIMPLE_SQL}, named AS (SELECT DISTINCT pdf_file, unnest(generate_series(lo, hi)) AS p FROM spans
+), flagged AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY pdf_file ORDER BY p) - 1 <= 2 THEN 0 ELSE 1 END AS new FROM named
+), runs AS (SELECT pdf_file, min(p) AS lo, max(p) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY pdf_file ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM flagged) GROUP BY pdf_file, run HAVING max(p) - min(p) >= 3)"""
+
+
+def _tolerant(spark, root):
+    named = _simple(spark, root).select("pdf_file", F.explode(F.sequence("lo", "hi")).alias("page"))
+    return intervals.tolerant_runs(named, ["pdf_file"], "page", 2, 3)
+
+
+@C.add(NAMED_SQL + " SELECT pdf_file, lo, hi FROM runs")
+def tolerant_page_runs(spark, root):
+    """Runs of named pages joined over gaps of up to two pages, spanning three or more."""
+    return _tolerant(spark, root)
+
+
+@C.add(NAMED_SQL + """, down AS (SELECT *, lag(lo) OVER (PARTITION BY pdf_file ORDER BY lo DESC) AS nxt FROM runs
+), ok AS (SELECT *, min(CASE WHEN nxt IS NULL OR (nxt - hi <= 6 AND hi - lo < 40) THEN 1 ELSE 0 END) OVER (PARTITION BY pdf_file ORDER BY lo DESC ROWS UNBOUNDED PRECEDING) AS good FROM down)
+SELECT pdf_file, min(lo) AS lo, max(hi) AS hi FROM ok WHERE good = 1 GROUP BY pdf_file""")
+def last_block_upwards(spark, root):
+    """The last run of every PDF with the close and short runs before it."""
+    return intervals.merge_upwards(_tolerant(spark, root), ["pdf_file"], 6, 40)
+
+
+WORDS_SQL = r"""WITH ls AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS l, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS y FROM documents WHERE text <> ''
+), words AS (SELECT doc_id, y, unnest(string_split(l, ' ')) AS word, generate_subscripts(string_split(l, ' '), 1) AS x FROM ls)"""
+
+
+def words(spark, root) -> DataFrame:
+    """(doc_id, y, x, word): words of documents with line and place, for lack of positioned ones."""
+    d = table(spark, root, "documents").where("text <> ''").select("doc_id", F.posexplode(F.split("text", r"\r?\n", -1)).alias("y", "l"))
+    w = d.select("doc_id", (F.col("y") + 1).alias("y"), F.posexplode(F.split("l", " ", -1)).alias("x", "word"))
+    return w.withColumn("x", F.col("x") + 1)
+
+
+@C.add(WORDS_SQL + """ SELECT doc_id, y::INT AS y, x::INT AS x, next_x::INT AS next_x FROM (SELECT *, lead(x) OVER (PARTITION BY doc_id, y ORDER BY x) AS next_x FROM words) WHERE lower(word) IN ('figure', 'fig.', 'bild')""")
+def next_word_in_line(spark, root):
+    """Words for figure with the place of the next word in their line."""
+    w = lookups.nearest_right(words(spark, root), ["doc_id"], "x", "y")
+    return w.where(F.lower("word").isin("figure", "fig.", "bild")).select("doc_id", "y", "x", "next_x")
+
+
+@C.add(WORDS_SQL + """ SELECT doc_id, y::INT AS y, min(x)::INT AS x0, max(x)::INT AS x1, string_agg(word, ' ' ORDER BY x) AS text FROM words WHERE word <> '' GROUP BY doc_id, y""")
+def line_boxes(spark, root):
+    """Extent and text of every line put together from its words."""
+    w = words(spark, root).where("word <> ''")
+    b = lookups.line_boxes(w.withColumn("line", F.col("y")), ["doc_id", "line"], "x", "y", "x", "y", "word")
+    return b.select("doc_id", F.col("line").alias("y"), "x0", "x1", "text")
+
+
+@C.add()
+def figure_captions(spark, root):
+    """Mentions of a figure and its number in positioned words, each up to the next in its line."""
+    w = words(spark, root).select("doc_id", (F.col("x") * 10.0).alias("x0"), (F.col("y") * 12.0 + 100).alias("y0"), (F.col("x") * 10.0 + 8).alias("x1"), (F.col("y") * 12.0 + 110).alias("y1"), "word")
+    return figures.captions(w, ["doc_id"], 1e9).select("doc_id", "num", "text")
+
+
+@C.add(r"""WITH ls AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS l, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS y FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, regexp_extract(l, '^#+ (\d+\.\d+)', 1) AS clause, min(y)::INT AS y FROM ls WHERE regexp_matches(l, '^#+ \d+\.\d+(?:\D|$)') GROUP BY ALL""")
+def heading_heights(spark, root):
+    """Where the heading of a clause starts in a document."""
+    ls = table(spark, root, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", r"\r?\n", -1)).alias("i", "l")).where(F.col("l").rlike(r"^#+ \d+\.\d+"))
+    d = ls.select("doc_id", (F.col("i") + 1).alias("y"), F.regexp_replace("l", "^#+ ", "").alias("t"), F.regexp_extract("l", r"^#+ (\d+\.\d+)", 1).alias("clause"))
+    return figures.heading_y(d, ["doc_id"], "t", "y", "clause").select("doc_id", "clause", "y")
+
+
+@C.add("""SELECT pdf_file, to_json({'pdf_file': pdf_file, 'page_offset': coalesce(page_offset, 0), 'clean': coalesce(clean, '')}) AS record FROM (
+  SELECT *, row_number() OVER (PARTITION BY pdf_file ORDER BY updated_at DESC, loaded_at DESC) AS rn FROM doc_meta) WHERE rn = 1""")
+def nested_meta(spark, root):
+    """Metadata of every PDF as one nested record, later deliveries over earlier ones, defaults for what lacks."""
+    m = reconcile.last_wins(table(spark, root, "doc_meta"), ["pdf_file"], [F.col("updated_at"), F.col("loaded_at")])
+    return m.select("pdf_file", F.to_json(F.struct("pdf_file", F.coalesce("page_offset", F.lit(0)).alias("page_offset"), F.coalesce("clean", F.lit("")).alias("clean"))).alias("record"))
+
+
+@C.add("""SELECT doc, string_agg(f, ',' ORDER BY f) AS figures FROM (SELECT DISTINCT doc, unnest(figures) AS f FROM fragments) GROUP BY doc""")
+def figures_by_document(spark, root):
+    """Figure numbers of every document as one list."""
+    f = table(spark, root, "fragments").select("doc", F.explode("figures").alias("f")).distinct()
+    return f.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list("f")), ",").alias("figures"))
+
+
+@C.add(r"""SELECT DISTINCT research_id, '---' || chr(10) || coalesce('researcher: "' || replace(replace(researcher, '\', '\\'), '"', '\"') || '"' || chr(10), '') || coalesce('topic: "' || replace(replace(topic, '\', '\\'), '"', '\"') || '"' || chr(10), '')
+  || coalesce('tags: [' || array_to_string(list_transform(list_filter(list_transform(string_split(tags, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: '"' || replace(replace(x, '\', '\\'), '"', '\"') || '"'), ', ') || ']' || chr(10), '')
+  || coalesce('dirty: ' || CASE WHEN dirty THEN 'true' WHEN NOT dirty THEN 'false' END || chr(10), '') || '---' || chr(10) AS frontmatter FROM research_doc WHERE tags IS NULL OR NOT regexp_matches(tags, '[\t\n]')""")
+def emitted_frontmatter(spark, root):
+    """Frontmatter written from the columns of research documents, tags as a plain comma list."""
+    r = table(spark, root, "research_doc").where(F.col("tags").isNull() | ~F.col("tags").rlike(r"[\t\n]")).select("research_id", "researcher", "topic", "tags", "dirty").distinct()
+    fm = sinks.frontmatter_text(("researcher", F.col("researcher")), ("topic", F.col("topic")), ("tags", (text.csv_values(F.col("tags")), "list")), ("dirty", (F.col("dirty"), "bool")))
+    return r.select("research_id", fm.alias("frontmatter"))
+
+
+@C.add()
+def injected_figures(spark, root):
+    """Figures of fragments put into their files: how many below a heading, appended, or there before."""
+    fl = table(spark, root, "fragment_file").where(F.col("raw").isNotNull()).groupBy("file").agg(F.max_by("raw", F.struct("written_at", "raw")).alias("raw"))
+    fr = table(spark, root, "fragments").where(F.col("target_file").isNotNull()).select(normalize_path(F.col("target_file")).alias("file"), "title", "pdf_pages", F.explode("figures").alias("f"))
+    fg = fr.where(F.col("f").rlike(r"^\d{1,6}\z")).select("file", F.col("f").cast("int").alias("num"), F.col("title").alias("caption"), F.regexp_extract("pdf_pages", r"(\d{1,9})", 1).try_cast("int").alias("page"), F.concat(F.lit("figures/figure-"), "f", F.lit(".png")).alias("image")).where("caption is not null").distinct()
+    return figures.inject_figures(fl, fg).select("file", "n_heading", "n_appended", "n_there", F.length("raw").alias("n_chars"))
+
+
 # ---- engine extras over the star schema (labelled as such) -----------------------------------------------
 
 @C.add("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
