@@ -64,24 +64,24 @@ def p2_incremental(spark: SparkSession, root: str) -> DataFrame:
     """As ``p2_found``, the state kept over four batches in the order of arrival, written between them."""
     path = lambda c: normalize_path(F.col(c))
     batch = lambda c: sum((F.coalesce(F.col(c) >= F.lit(b).cast("timestamp"), F.lit(False)).cast("int") for b in BATCHES), F.lit(0))
-    li, fr, ma = (table(spark, root, t).withColumn("_b", batch("loaded_at")) for t in ("link_index", "fragments", "manifest"))
-    ff = table(spark, root, "fragment_file")
-
-    def events(b: int) -> DataFrame:
-        of = lambda d: d.where(F.col("_b") == b)
-        refs = (
-            orphans.references(of(li), "link_index", "entry_id", path("target_file"), "built_at")
-            .unionByName(orphans.references(of(fr), "fragments", "frag_id", path("target_file"), "reported_at"))
-            .unionByName(orphans.references(of(ma), "manifest", "manifest_id", path("file"), "built_at"))
-        )
-        both = orphans.parents(ff, path("file"), "written_at", "deleted_at")
-        return refs.unionByName(both.where(batch("at") == b)).distinct()
 
+    def arriving(name: str, row_id: str, file: str, at: str) -> DataFrame:
+        d = table(spark, root, name).groupBy(row_id, file, at).agg(F.min("loaded_at").alias("loaded_at")).withColumn("_b", batch("loaded_at"))
+        return d.select(path(file).alias("key"), F.col(at).alias("at"), F.lit(2).alias("kind"), F.lit(name).alias("tbl"), F.col(row_id).alias("row_id"), "_b").where("key is not null")
+
+    files = orphans.parents(table(spark, root, "fragment_file"), path("file"), "written_at", "deleted_at")
+    log = cut(
+        arriving("link_index", "entry_id", "target_file", "built_at")
+        .unionByName(arriving("fragments", "frag_id", "target_file", "reported_at"))
+        .unionByName(arriving("manifest", "manifest_id", "file", "built_at"))
+        .unionByName(files.withColumn("_b", batch("at")))
+    )
     state = None
     for b in range(len(BATCHES) + 1):
-        state = orphans.OrphanState.empty(events(b)) if state is None else state.advance(events(b))
-        state = orphans.OrphanState(cut(state.events), cut(state.states))
-    return state.open_orphans().select("tbl", "row_id", "state").distinct()
+        new = log.where(F.col("_b") == b).drop("_b")
+        state = orphans.OrphanState.empty(new) if state is None else state.advance(new)
+        state = orphans.OrphanState(state.events, cut(state.states))
+    return state.open_orphans().select("tbl", "row_id", "state")
 
 
 def pdf_pages(spark: SparkSession, root: str) -> DataFrame:

@@ -46,3 +46,13 @@ def cut(df):
     """Write ``df`` once to the shared checkpoint folder and read it back from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """A scanned table in at least as many partitions as there are cores.
+
+    For work that costs much a byte: a table of fewer files than cores is dealt out once; any larger
+    one is left as its files are split. ``df`` must be a plain scan (its plan is looked at here).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
