@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.pages import close_spans, count_pages, merge_spans, page_spans
 from sheaf.functions.paths import base_name
 from sheaf.llm import abuse, packing, splitting, tokens
-from sheaf.session import cut
+from sheaf.session import cut, spread
 from sheaf.sources.tables import table
 
 PAGE_LIMIT, PAGE_OVERLAP = 12, 1
@@ -49,7 +49,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
-    return tokens.encode(table(spark, root, "documents"))
+    return tokens.encode(spread(table(spark, root, "documents").select("doc_id", "text")))
 
 
 def p6_counts(spark: SparkSession, root: str) -> DataFrame:
@@ -60,7 +60,7 @@ def p6_counts(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_packed(spark: SparkSession, root: str) -> DataFrame:
     """Container, place and offset of every document, or of its pieces if it exceeds a container."""
-    return packing.pack(cut(tokens.count(table(spark, root, "documents"))), "doc_id", "n_tokens", CAPACITY)
+    return packing.pack(cut(tokens.count(spread(table(spark, root, "documents").select("doc_id", "text")))), "doc_id", "n_tokens", CAPACITY)
 
 
 def p7_fill(spark: SparkSession, root: str) -> DataFrame:
@@ -76,7 +76,7 @@ ABUSE_THRESHOLD = 0.5
 def _scored(spark: SparkSession, root: str, keep: list[str]) -> DataFrame:
     docs = table(spark, root, "documents")
     net = abuse.train(docs, table(spark, root, "abuse_label"), RATED_DOCUMENTS)
-    return abuse.score(docs, net, keep)
+    return abuse.score(spread(docs.select(*keep, "text")), net, keep)
 
 
 def p8_scores(spark: SparkSession, root: str) -> DataFrame:
