@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import pages_text, section_number, title_slug
+from sheaf.session import ship
 
 
 def tile(start: Column, end: Column, window: int, overlap: int) -> Column:
@@ -63,6 +64,8 @@ def pack_sections(df: DataFrame, start: str, end: str, children: str, window: in
     if not 0 <= overlap < window:
         raise ValueError("overlap must be at least 0 and less than window")
 
+    ship(df.sparkSession)
+
     @F.pandas_udf("array<struct<lo:int,hi:int>>")
     def packed(s: pd.Series, e: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([[{"lo": a, "hi": z} for a, z in pack_section(int(x), int(y), [int(k) for k in (ks if ks is not None else ())], window, overlap)] for x, y, ks in zip(s, e, c)])

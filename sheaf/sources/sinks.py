@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.bind import strip
 from sheaf.functions.text import natural_key, yaml_quoted
+from sheaf.session import ship
 
 
 def write_json_lines(df: DataFrame, path: str, *order: str) -> None:
@@ -74,6 +75,7 @@ def write_texts(df: DataFrame, root: str, file: str = "file", raw: str = "raw")
         for r in rows:
             _replace(os.path.join(root, r[0]), r[1])
 
+    ship(df.sparkSession)
     df.select(file, raw).where(F.col(file).isNotNull() & F.col(raw).isNotNull()).foreachPartition(put)
 
 
