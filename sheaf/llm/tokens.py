@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.session import ship
+
 #: Known words kept by one Python worker before it starts again; bounds memory, never the result.
 KNOWN_WORDS = 200_000
 
@@ -45,26 +47,58 @@ class TrieEncoder:
         self.ranks = ranks
         self.text = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.parts: dict[int, tuple[int, int] | None] = {}
+        self.spines: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
         self.follows: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def merged(self, word: bytes) -> list[bytes]:
-        """Byte-pair merging in the order of ranks, for two tokens side by side."""
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that merge into ``token``; None for a single byte."""
+        word, ranks = self.text[token], self.ranks
         parts = [word[i : i + 1] for i in range(len(word))]
-        ranks = self.ranks
-        while len(parts) > 1:
+        if len(parts) == 1:
+            return None
+        while len(parts) > 2:
             best, at = min(((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
-            if best == 1 << 60:
-                break
+            if best >= token:
+                raise ValueError("the vocabulary has a token that its own merges do not make")
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return ranks[parts[0]], ranks[parts[1]]
+
+    def spine(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """Tokens at the left (0) or right (1) end of ``token`` while it was merged, each with the rank that ends it."""
+        got = self.spines.get((token, side))
+        if got is None:
+            got, t, until = [], token, 1 << 60
+            while True:
+                got.append((self.text[t], until))
+                if t not in self.parts:
+                    self.parts[t] = self.halves(t)
+                pair = self.parts[t]
+                if pair is None:
+                    break
+                until, t = t, pair[side]
+            self.spines[token, side] = got
+        return got
 
     def stands_after(self, a: int, b: int) -> bool:
-        """Whether token ``b`` may follow token ``a``: their bytes together encode to just these two."""
+        """Whether token ``b`` may follow token ``a``: merging their bytes in the order of ranks ends in just these two.
+
+        It does unless some end of ``a`` and some start of ``b`` merge with each other while both are
+        there, i.e. at a lower rank than the merges that use them up. Equal ranks go from the left.
+        """
         ok = self.follows.get((a, b))
         if ok is None:
-            x, y = self.text[a], self.text[b]
-            ok = (x + y) not in self.ranks and self.merged(x + y) == [x, y]
+            get, ok = self.ranks.get, True
+            right = self.spine(b, 0)
+            for x, x_until in self.spine(a, 1):
+                for y, y_until in right:
+                    r = get(x + y)
+                    if r is not None and r < x_until and r <= y_until:
+                        ok = False
+                        break
+                if not ok:
+                    break
             if len(self.follows) > 2_000_000:
                 self.follows.clear()
             self.follows[a, b] = ok
@@ -133,6 +167,7 @@ def _blocks(batch: pa.RecordBatch, text: int, most_chars: int = 4_000_000) -> It
 
 
 def _map_texts(df: DataFrame, key: str, text: str, out_type: str, build, path: str | None, pattern: str | None, name: str) -> DataFrame:
+    ship(df.sparkSession)
     given = default_vocabulary() if path is None or pattern is None else (path, pattern)
     pattern = pattern or given[1]
     shipped = df.sparkSession.sparkContext.broadcast(read_ranks(path or given[0]))  # one vocabulary: its size is fixed
