@@ -69,10 +69,24 @@ def usable_text(pages: DataFrame, doc: str, text: str) -> DataFrame:
     return g.withColumn("usable", (F.col("median_length") >= 200) & ((F.col("n_pages") < 5) | (F.col("n_distinct") > 2)))
 
 
-def forward_fill(df: DataFrame, key: str, order: str, col: str, out: str, before: str = "any") -> DataFrame:
-    """The last value that is not null carried forward; ``before`` ahead of the first."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.coalesce(F.last(col, ignorenulls=True).over(w), F.lit(before)))
+def forward_fill(df: DataFrame, key: str, order: str, col: str, out: str, before: str = "any", shard: Column | None = None) -> DataFrame:
+    """The last value that is not null carried forward; ``before`` ahead of the first.
+
+    For keys of any size give ``shard``, a whole number that never falls as ``order`` rises: rows are
+    filled within their (key, shard), and each shard takes over the last value of those before it,
+    found among one row a shard.
+    """
+    if shard is None:
+        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.coalesce(F.last(col, ignorenulls=True).over(w), F.lit(before)))
+    d = df.withColumn("_shard", shard.cast("long"))
+    w = Window.partitionBy(key, "_shard").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    tails = d.groupBy(key, "_shard").agg(F.max_by(col, F.when(F.col(col).isNotNull(), F.col(order))).alias("_tail"))
+    along = Window.partitionBy(key).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    heads = tails.select(F.col(key).alias("_key"), F.col("_shard").alias("_of"), F.last("_tail", ignorenulls=True).over(along).alias("_carry")).where("_carry is not null")
+    local = d.withColumn("_local", F.last(col, ignorenulls=True).over(w))
+    out_of = local.join(heads, F.col(key).eqNullSafe(F.col("_key")) & F.col("_shard").eqNullSafe(F.col("_of")), "left")
+    return out_of.withColumn(out, F.coalesce("_local", "_carry", F.lit(before))).drop("_shard", "_local", "_key", "_of", "_carry")
 
 
 def runs(df: DataFrame, key: str, order: str, same: list[str]) -> DataFrame:

@@ -438,7 +438,8 @@ def event_forward_fill(spark, root):
     from sheaf.operators import pages
 
     e = table(spark, root, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type").isin("click", "purchase"), F.col("event_type")).alias("hit"))
-    return pages.forward_fill(e, "user_id", "at", "hit", "mode").select("event_id", "mode")
+    day = F.floor(F.unix_micros(F.col("at.ts").cast("timestamp")) / 86_400_000_000)
+    return pages.forward_fill(e, "user_id", "at", "hit", "mode", shard=day).select("event_id", "mode")
 
 
 @C.add("""SELECT key, value, "at" FROM (SELECT user_id AS key, event_type AS value, ts AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE user_id IS NOT NULL) WHERE rn = 1""")

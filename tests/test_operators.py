@@ -153,6 +153,11 @@ def test_runs_and_regions(spark):
     assert rows(pages.target_region(r, "doc", "a", "final")) == [("d", 0, 9)]  # a gap of 1 joins, one of 5 does not
     ff = spark.createDataFrame([("d", i, v) for i, v in enumerate([None, "x", None, "y"])], "doc string, page int, hit string")
     assert [x.v for x in pages.forward_fill(ff, "doc", "page", "hit", "v").orderBy("page").collect()] == ["any", "x", "x", "y"]
+    random.seed(6)
+    big = [(random.choice(["a", "b", None]), i, random.choice([None, None, None, str(i)])) for i in range(400)]
+    bf = spark.createDataFrame(big, "k string, n int, v string")
+    whole = rows(pages.forward_fill(bf, "k", "n", "v", "f"))
+    assert rows(pages.forward_fill(bf, "k", "n", "v", "f", shard=F.floor(F.col("n") / 30))) == whole
     p = spark.createDataFrame([("d", 10, [3, 8]), ("d", 11, [9]), ("d", 12, [5, 99])], "doc string, page int, c array<int>")
     reg = spark.createDataFrame([("d", 1, 20)], "doc string, start int, end int")
     assert rows(pages.page_offset(p, "doc", "page", "c", reg)) == [("d", 7, 2, 4)]
