@@ -8,6 +8,9 @@ two rows a shard.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,13 +107,15 @@ def periods_and_gaps(cover: DataFrame, target: DataFrame, keys: list[str], width
     """(keys, span_kind, lo, hi): every ``period`` of ``cover`` and every ``gap`` in ``target``.
 
     An entity without a target interval is held against the range from its first to its last
-    covered place; one without any cover has its whole target as gaps.
+    covered place; one without any cover has its whole target as gaps. Null keys are an entity, too.
     """
     # Merged pieces are few; everything below reads them several times, the intervals once.
     local = cut(merge_local(clip(cover, keys, width), keys))
     given = target.where(F.col("lo").isNotNull() & F.col("hi").isNotNull() & (F.col("lo") <= F.col("hi"))).select(*keys, "lo", "hi")
     own = local.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    aimed = given.unionByName(own.join(given.select(*keys).distinct(), keys, "left_anti"))
+    aims = given.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).distinct()
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)])
+    aimed = given.unionByName(own.join(aims, same, "left_anti"))
     gaps = holes(merge_local(clip(aimed, keys, width), keys), local, keys)
     return (
         stitch(local, keys, width).withColumn("span_kind", F.lit("period"))
