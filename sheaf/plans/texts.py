@@ -227,7 +227,7 @@ def problems(spark, root) -> DataFrame:
     d = table(spark, root, "documents").where(F.col("text").isNotNull())
     d = d.select("doc_id", F.col("source").alias("file"), F.posexplode(text.lines(F.col("text"))).alias("i", "message"))
     sev = F.when(F.contains("message", F.lit("`")), "WARNING").when(F.contains("message", F.lit("0x")), "ERROR").otherwise("INFO")
-    return d.where(F.col("message").rlike("[0-9]") & (F.length("message") <= 400)).select((F.col("doc_id") * 10000 + F.col("i") + 1).alias("seen"), "file", "message", sev.alias("severity"))
+    return d.where(F.col("message").rlike("[0-9]")).select((F.col("doc_id") * 10000 + F.col("i") + 1).alias("seen"), "file", "message", sev.alias("severity"))
 
 
 @C.add(rf"""WITH {PROBLEMS_SQL} SELECT {TEMPLATE_SQL} AS template, count(*) AS n, count(DISTINCT file) AS n_files, arg_min(severity, seen) AS severity,
