@@ -558,8 +558,8 @@ def figures_by_document(spark, root):
   || coalesce('tags: [' || array_to_string(list_transform(list_filter(list_transform(string_split(tags, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: '"' || replace(replace(x, '\', '\\'), '"', '\"') || '"'), ', ') || ']' || chr(10), '')
   || coalesce('dirty: ' || CASE WHEN dirty THEN 'true' WHEN NOT dirty THEN 'false' END || chr(10), '') || '---' || chr(10) AS frontmatter FROM research_doc WHERE tags IS NULL OR NOT regexp_matches(tags, '[\t\n]')""")
 def emitted_frontmatter(spark, root):
-    """Frontmatter written from the columns of research documents, tags as a plain comma list."""
-    r = table(spark, root, "research_doc").where(F.col("tags").isNull() | ~F.col("tags").rlike(r"[\t\n]")).select("research_id", "researcher", "topic", "tags", "dirty").distinct()
+    """Frontmatter written from the columns of all research documents, tags as a plain comma list; tabs and line ends in a tag are escaped."""
+    r = table(spark, root, "research_doc").select("research_id", "researcher", "topic", "tags", "dirty").distinct()
     fm = sinks.frontmatter_text(("researcher", F.col("researcher")), ("topic", F.col("topic")), ("tags", (text.csv_values(F.col("tags")), "list")), ("dirty", (F.col("dirty"), "bool")))
     return r.select("research_id", fm.alias("frontmatter"))
 

@@ -80,14 +80,21 @@ def write_texts(df: DataFrame, root: str, file: str = "file", raw: str = "raw")
 
 
 def frontmatter_text(*fields: tuple[str, Column]) -> Column:
-    """YAML frontmatter of quoted fields; null ones are left out, arrays become quoted lists, booleans are bare."""
+    """YAML frontmatter of quoted fields; null ones are left out, arrays become quoted lists, booleans are bare.
+
+    Line ends, and tabs within a list, are written as escapes.
+    """
+
+    def one_line(v: Column) -> Column:
+        return F.replace(F.replace(v, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
     parts = []
     for name, (c, kind) in ((n, x if isinstance(x, tuple) else (x, "string")) for n, x in fields):
         if kind == "list":
-            v = F.concat(F.lit("["), F.array_join(F.transform(F.filter(c, lambda x: strip(x) != ""), lambda x: yaml_quoted(strip(x))), ", "), F.lit("]"))
+            v = F.concat(F.lit("["), F.array_join(F.transform(F.filter(c, lambda x: strip(x) != ""), lambda x: F.replace(one_line(yaml_quoted(strip(x))), F.lit("\t"), F.lit("\\t"))), ", "), F.lit("]"))
         elif kind == "bool":
             v = F.when(c, "true").when(~c, "false")
         else:
-            v = F.replace(F.replace(yaml_quoted(c), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+            v = one_line(yaml_quoted(c))
         parts.append(F.concat(F.lit(f"{name}: "), v, F.lit("\n")))
     return F.concat(F.lit("---\n"), F.concat_ws("", *parts), F.lit("---\n"))

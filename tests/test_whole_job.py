@@ -22,3 +22,16 @@ def test_long_lines_are_problems(spark, tmp_path):
     assert sum(r.message == long for r in run(spark, tmp_path, "message_examples")) == 3
     assert sorted((r.seen, r.bucket) for r in run(spark, tmp_path, "policy_routing")) == [(s, b) for i in range(3) for s, b in ((i * 10000 + 1, "outOfScope"), (i * 10000 + 3, "ignored"))]
     assert {r.bucket: r.n for r in run(spark, tmp_path, "policy_counts")} == {"outOfScope": 3, "ignored": 3}
+
+
+def test_frontmatter_of_tags_with_tabs_and_line_ends(spark, tmp_path):
+    rows = [(1, "- research\n* Java\r\n- codebase", None), (2, "research\tweb, a\\b", True), (3, "research, web", False), (4, None, None)]
+    rows = [(i, 'R "x"', "t", tags, dirty) for i, tags, dirty in rows]
+    got = {r.research_id: r.frontmatter for r in run(spark, tmp_path, "emitted_frontmatter", research_doc=(rows, "research_id long, researcher string, topic string, tags string, dirty boolean"))}
+    head = '---\nresearcher: "R \\"x\\""\ntopic: "t"\n'
+    assert got == {
+        1: head + 'tags: ["- research\\n* Java\\r\\n- codebase"]\n---\n',
+        2: head + 'tags: ["research\\tweb", "a\\\\b"]\ndirty: true\n---\n',
+        3: head + 'tags: ["research", "web"]\ndirty: false\n---\n',
+        4: head + "---\n",
+    }
