@@ -10,6 +10,7 @@ def _asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, point: st
     """Union of both sides, sorted once by (keys, place); the nearest point is carried to each left row.
 
     No inequality join: the work is one shuffle by the keys and one sort, however many pairs match.
+    A null place finds nothing.
     """
     pack = F.struct(*[F.col(c) for c in left.columns])
     l = left.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_side"), pack.alias("_row"), F.lit(None).cast(right.schema[point].dataType).alias("_pt"))
@@ -18,7 +19,7 @@ def _asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, point: st
     # At one place: backward takes the point there, strict forward does not.
     order = [F.col("_at").desc(), F.col("_side")] if forward else [F.col("_at"), F.col("_side").desc()]
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return u.withColumn("found", F.last("_pt", ignorenulls=True).over(w)).where("_side = 0")
+    return u.withColumn("found", F.when(F.col("_at").isNotNull(), F.last("_pt", ignorenulls=True).over(w))).where("_side = 0")
 
 
 def next_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, point: str) -> DataFrame:
@@ -31,7 +32,7 @@ def last_before(left: DataFrame, right: DataFrame, keys: list[str], at: str, poi
     d = _asof(left, right, keys, at, point, False)
     if fallback_first:
         first = right.where(F.col(point).isNotNull()).groupBy(*keys).agg(F.min(point).alias("_first"))
-        d = d.join(first, keys, "left").withColumn("found", F.coalesce("found", "_first"))
+        d = d.join(first, keys, "left").withColumn("found", F.when(F.col("_at").isNotNull(), F.coalesce("found", "_first")))
     return d.select("_row.*", "found")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 from sheaf.functions import text
+from sheaf.functions.pages import page_items
 from sheaf.functions.paths import base_name, last_two_segments, normalize_path
 from sheaf.operators import drift, figures, intervals, lookups, planning, policy, reconcile, sampling, state
 from sheaf.plans.catalog import Catalog
@@ -187,15 +188,21 @@ def fragment_meta_lookup(spark, root):
     return reconcile.lookup(f, m, ["pdf_file"], [F.col("updated_at"), F.col("loaded_at")]).select("frag_id", "doc", "clean", "page_offset")
 
 
+def first_pages(spark, root) -> DataFrame:
+    """(frag_id, pdf_file, first_page) of all fragments: the number that the first readable part of the page list begins with, null where none is."""
+    p = F.split_part(F.get(page_items(F.col("pdf_pages")), F.lit(0)), F.lit("-"), F.lit(1)).try_cast("int")
+    return table(spark, root, "fragments").select("frag_id", "pdf_file", p.alias("first_page")).distinct()
+
+
 @C.add(OUTLINES_SQL + """ SELECT frag_id, first_page, b.boundary::INT AS next_boundary FROM (
   SELECT DISTINCT frag_id, pdf_file, regexp_extract(pdf_pages, '(\\d+)', 1)::INT AS first_page FROM fragments WHERE regexp_matches(pdf_pages, '^\\d')) f
   LEFT JOIN LATERAL (SELECT min(page) AS boundary FROM units u WHERE u.doc = f.pdf_file AND u.page > f.first_page) b ON true""")
 def next_boundary(spark, root):
-    """For every fragment the first section start after its first page (strict forward as-of)."""
+    """For every fragment the first section start after its first page (strict forward as-of); null without a readable page."""
     o = outlines(spark, root)
     e = planning.numbered_entries(o, "doc", "outline")
     s = planning.section_spans(e, planning.body_range(e, o, "doc", "pages"), "doc").select(F.col("doc").alias("pdf_file"), F.col("page").alias("boundary"))
-    f = table(spark, root, "fragments").where(F.col("pdf_pages").rlike(r"^\d")).select("frag_id", "pdf_file", F.regexp_extract("pdf_pages", r"(\d+)", 1).cast("int").alias("first_page")).distinct()
+    f = first_pages(spark, root)
     return lookups.next_after(f, s, ["pdf_file"], "first_page", "boundary").select("frag_id", "first_page", F.col("found").alias("next_boundary"))
 
 
@@ -203,11 +210,11 @@ def next_boundary(spark, root):
   SELECT DISTINCT frag_id, pdf_file, regexp_extract(pdf_pages, '(\\d+)', 1)::INT AS first_page FROM fragments WHERE regexp_matches(pdf_pages, '^\\d')) f
   LEFT JOIN LATERAL (SELECT coalesce(max(page) FILTER (page <= f.first_page), min(page)) AS boundary FROM units u WHERE u.doc = f.pdf_file) b ON true""")
 def owning_section(spark, root):
-    """For every fragment the nearest section start at or before its first page, else the first one (backward as-of)."""
+    """For every fragment the nearest section start at or before its first page, else the first one (backward as-of); null without a readable page."""
     o = outlines(spark, root)
     e = planning.numbered_entries(o, "doc", "outline")
     s = planning.section_spans(e, planning.body_range(e, o, "doc", "pages"), "doc").select(F.col("doc").alias("pdf_file"), F.col("page").alias("boundary"))
-    f = table(spark, root, "fragments").where(F.col("pdf_pages").rlike(r"^\d")).select("frag_id", "pdf_file", F.regexp_extract("pdf_pages", r"(\d+)", 1).cast("int").alias("first_page")).distinct()
+    f = first_pages(spark, root)
     return lookups.last_before(f, s, ["pdf_file"], "first_page", "boundary").select("frag_id", "first_page", F.col("found").alias("section_page"))
 
 

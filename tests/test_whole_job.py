@@ -35,3 +35,17 @@ def test_frontmatter_of_tags_with_tabs_and_line_ends(spark, tmp_path):
         3: head + 'tags: ["research", "web"]\ndirty: false\n---\n',
         4: head + "---\n",
     }
+
+
+def test_as_of_lookups_of_every_page_list(spark, tmp_path):
+    lists = ["5", "p.26", '"23-24"', "94-90", "x", None, ""]
+    outline = [(1, "1 One", 3), (1, "2 Two", 20), (1, "3 Three", 30)]
+    tables = {
+        "fragments": ([(i, "a.pdf", p) for i, p in enumerate(lists)], "frag_id long, pdf_file string, pdf_pages string"),
+        "probe": ([(1, "in/a.pdf", 99, outline, "2024-01-01")], "probe_id long, pdf string, pages int, outline array<struct<level:int,title:string,page:int>>, probed_at string"),
+    }
+    first = {0: 5, 1: 26, 2: 23, 3: 94, 4: None, 5: None, 6: None}
+    got = {r.frag_id: (r.first_page, r.next_boundary) for r in run(spark, tmp_path, "next_boundary", **tables)}
+    assert got == {i: (p, {5: 20, 26: 30, 23: 30}.get(p)) for i, p in first.items()}
+    got = {r.frag_id: (r.first_page, r.section_page) for r in run(spark, tmp_path, "owning_section")}
+    assert got == {i: (p, {5: 3, 26: 20, 23: 20, 94: 30}.get(p)) for i, p in first.items()}
