@@ -406,11 +406,14 @@ def figure_counts(spark, root):
 @C.add("""SELECT frag_id, fig, 'figure-' || lpad(fig, 2, '0') || CASE WHEN nr > 1 THEN chr(96 + nr::INT) ELSE '' END AS name FROM (
   SELECT *, row_number() OVER (PARTITION BY pdf_file, fig ORDER BY frag_id, i) AS nr FROM (SELECT frag_id, pdf_file, unnest(figures) AS fig, generate_subscripts(figures, 1) AS i FROM (SELECT DISTINCT frag_id, pdf_file, figures FROM fragments))) WHERE nr <= 26 AND length(fig) <= 2""")
 def figure_names(spark, root):
-    """Padded figure names; the second of a number gets ``b``, and so on. Names without a letter left are not made."""
+    """Padded figure names; the second of a number gets ``b``, and so on; after ``z`` come ``aa``, ``ab``."""
     f = table(spark, root, "fragments").select("frag_id", "pdf_file", "figures").distinct().select("frag_id", "pdf_file", F.posexplode("figures").alias("i", "fig"))
     n = F.row_number().over(Window.partitionBy("pdf_file", "fig").orderBy("frag_id", "i"))
-    d = f.withColumn("nr", n).where((F.col("nr") <= 26) & (F.length("fig") <= 2))
-    return d.select("frag_id", "fig", F.concat(F.lit("figure-"), F.lpad("fig", 2, "0"), F.when(F.col("nr") > 1, F.chr(F.lit(96) + F.col("nr"))).otherwise("")).alias("name"))
+    padded = F.when(F.length("fig") < 2, F.lpad("fig", 2, "0")).otherwise(F.col("fig"))
+    # Seven letters count further than row numbers of one group can.
+    step = lambda a, _: F.when(a["n"] > 0, F.struct(F.floor((a["n"] - 1) / 26).alias("n"), F.concat(F.chr(F.lit(97) + (a["n"] - 1) % 26), a["s"]).alias("s"))).otherwise(a)
+    letters = F.aggregate(F.sequence(F.lit(1), F.lit(7)), F.struct(F.col("nr").cast("long").alias("n"), F.lit("").alias("s")), step, lambda a: a["s"])
+    return f.withColumn("nr", n).select("frag_id", "fig", F.concat(F.lit("figure-"), padded, F.when(F.col("nr") > 1, letters).otherwise("")).alias("name"))
 
 
 @C.add("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events")

@@ -49,3 +49,10 @@ def test_as_of_lookups_of_every_page_list(spark, tmp_path):
     assert got == {i: (p, {5: 20, 26: 30, 23: 30}.get(p)) for i, p in first.items()}
     got = {r.frag_id: (r.first_page, r.section_page) for r in run(spark, tmp_path, "owning_section")}
     assert got == {i: (p, {5: 3, 26: 20, 23: 20, 94: 30}.get(p)) for i, p in first.items()}
+
+
+def test_figure_names_of_long_numbers_and_many_repeats(spark, tmp_path):
+    rows = [(0, "a.pdf", ["100", "7"]), *((i, "a.pdf", ["3"]) for i in range(1, 704))]
+    got = {(r.frag_id, r.fig): r.name for r in run(spark, tmp_path, "figure_names", fragments=(rows, "frag_id long, pdf_file string, figures array<string>"))}
+    assert len(got) == 705 and got[0, "100"] == "figure-100" and got[0, "7"] == "figure-07"
+    assert [got[i, "3"] for i in (1, 2, 26, 27, 28, 52, 53, 702, 703)] == [f"figure-03{x}" for x in ("", "b", "z", "aa", "ab", "az", "ba", "zz", "aaa")]
