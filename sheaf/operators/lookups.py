@@ -44,16 +44,17 @@ def explode_or(df: DataFrame, col: str, fallback: Column, out: str) -> DataFrame
 def flatten_tree(nodes: DataFrame, node: str, parent: str, most_levels: int = 100) -> DataFrame:
     """(node, level, path) of every node reachable from a root (null parent); level is the true depth from 1.
 
-    A recursive query; cycles end it with an error at ``most_levels``.
+    ``path`` holds the whole ids from the root on, parted by slashes. A recursive query; cycles, and
+    trees of more than ``most_levels`` levels, end it with an error.
     """
-    view = f"sheaf_tree_{abs(hash((node, parent, tuple(nodes.columns)))) % 10**8}"
-    nodes.select(F.col(node).alias("id"), F.col(parent).alias("parent")).createOrReplaceTempView(view)
-    spark = nodes.sparkSession
-    out = spark.sql(f"""WITH RECURSIVE walk(id, level, path) MAX RECURSION LEVEL {most_levels} AS (
-      SELECT id, 1, lpad(CAST(id AS STRING), 3, '0') FROM {view} WHERE parent IS NULL
-      UNION ALL SELECT t.id, level + 1, concat(path, '/', lpad(CAST(t.id AS STRING), 3, '0')) FROM {view} t JOIN walk ON t.parent = walk.id
-    ) SELECT id AS {node}, level, path FROM walk""")
-    return out
+    edges = nodes.select(F.col(node).alias("id"), F.col(parent).alias("parent"))
+    return nodes.sparkSession.sql(
+        """WITH RECURSIVE walk(id, level, path) MAX RECURSION LEVEL {most} AS (
+      SELECT id, 1, CAST(id AS STRING) FROM {edges} WHERE parent IS NULL
+      UNION ALL SELECT t.id, level + 1, concat(path, '/', CAST(t.id AS STRING)) FROM {edges} t JOIN walk ON t.parent = walk.id
+    ) SELECT id, level, path FROM walk""".replace("{most}", str(int(most_levels))),
+        edges=edges,
+    ).withColumnRenamed("id", node)
 
 
 def nearest_right(words: DataFrame, keys: list[str], x: str, line: str) -> DataFrame:

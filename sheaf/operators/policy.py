@@ -74,12 +74,21 @@ def route(df: DataFrame, rules: Sequence[Mapping], default: str, severity: str,
 
 
 def message_types(df: DataFrame, message: str, file: str, severity: str, order: str, examples: int = 5) -> DataFrame:
-    """Per template: count, distinct files, the first severity and example, its pattern; ``order`` is the order seen."""
+    """Per template: count, distinct files, the first severity, ``first_seen``, its first ``examples`` and its pattern.
+
+    ``order`` is the order seen. The most frequent types come first, equally frequent ones as first
+    seen. Examples are cut to their number in each task before they meet.
+    """
     t = df.withColumn("template", message_template(F.col(message)))
-    return t.groupBy("template").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct(file).alias("n_files"), F.min_by(severity, order).alias("severity"),
-        F.min_by(message, order).alias("example"), F.min(order).alias("first_seen"),
-    ).withColumn("pattern", template_regex(F.col("template")))
+    n = t.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(file).alias("n_files"), F.min_by(severity, order).alias("severity"), F.min(order).alias("first_seen"))
+    some = _in_order(top_k(t, ["template"], [F.col(order)], examples), "template", order, message, "examples")
+    return n.join(some, "template").withColumn("pattern", template_regex(F.col("template"))).orderBy(F.desc("n"), "first_seen")
+
+
+def _in_order(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
+    """(key, array of values in order) of groups that ``top_k`` has made small."""
+    got = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(value).alias("_v"))))
+    return df.groupBy(key).agg(F.transform(got, lambda s: s["_v"]).alias(out))
 
 
 def first_examples(df: DataFrame, message: str, order: str, most: int = 5) -> DataFrame:
@@ -88,10 +97,18 @@ def first_examples(df: DataFrame, message: str, order: str, most: int = 5) -> Da
     return top_k(t, ["template"], [F.col(order)], most)
 
 
-def recurring(df: DataFrame, message: str, file: str, files: int = 3) -> DataFrame:
-    """(template, occurrences, n_files) of templates found in at least ``files`` files."""
+def recurring(df: DataFrame, message: str, file: str, order: str, files: int = 3, shown: int = 10) -> DataFrame:
+    """(template, occurrences, n_files, example, files, pattern) of templates found in at least ``files`` files.
+
+    ``example`` is the first message, ``files`` the first ``shown`` files in the order seen; the
+    most widespread templates come first. A null file is no file.
+    """
     t = df.withColumn("template", message_template(F.col(message)))
-    return t.groupBy("template").agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct(file).alias("n_files")).where(F.col("n_files") >= files)
+    each = t.groupBy("template", F.col(file).alias("_file")).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"), F.min_by(message, order).alias("_example"))
+    some = each.groupBy("template").agg(F.sum("_n").alias("occurrences"), F.count("_file").alias("n_files"), F.min_by("_example", "_first").alias("example"), F.min("_first").alias("_seen"))
+    named = _in_order(top_k(each.where("_file is not null"), ["template"], [F.col("_first")], shown), "template", "_first", "_file", "files")
+    d = some.where(F.col("n_files") >= files).join(named, "template").orderBy(F.desc("n_files"), "_seen")
+    return d.select("template", "occurrences", "n_files", "example", "files", template_regex(F.col("template")).alias("pattern"))
 
 
 def outcome(dropped: Column, error: Column, dry_run: Column, clean: Column, remaining: Column, blocked: Column, approved: Column) -> Column:

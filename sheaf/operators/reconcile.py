@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,13 @@ def uniqueness(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count(key).alias("n"), F.countDistinct(key).alias("n_distinct")).withColumn("is_unique", F.col("n") == F.col("n_distinct"))
 
 
-def dangling_links(docs: DataFrame, file: str, text: str, known: DataFrame, known_file: str) -> DataFrame:
-    """(file, link, resolved): links to ``.md`` files, seen from their own folder, that name no known file."""
+def dangling_links(docs: DataFrame, file: str, text: str, known: DataFrame, known_file: str, links: Callable[[Column], Column] = markdown_links) -> DataFrame:
+    """(file, link, resolved): links to ``.md`` files, seen from their own folder, that name no known file.
+
+    ``links`` finds the links of a text, an array of paths; those of another scheme are no files.
+    """
     folder = F.regexp_replace(F.col(file), r"/?[^/]*\z", "")
-    found = docs.select(F.col(file).alias("file"), folder.alias("_dir"), F.explode(markdown_links(F.col(text))).alias("link")).where(~F.col("link").rlike(r"^[a-z]+://"))
+    found = docs.select(F.col(file).alias("file"), folder.alias("_dir"), F.explode(links(F.col(text))).alias("link")).where(~F.col("link").rlike(r"^[a-z]+://"))
     resolved = found.withColumn("resolved", join_path(F.col("_dir"), F.col("link"))).drop("_dir").distinct()
     return resolved.join(known.select(F.col(known_file).alias("resolved")).distinct(), "resolved", "left_anti").select("file", "link", "resolved")
 
@@ -42,10 +47,15 @@ def heading_anchors(docs: DataFrame, key: str, text: str) -> DataFrame:
     return h.withColumn("_n", nth).select(key, "pos", F.when(F.col("_n") == 0, F.col("_base")).otherwise(F.concat_ws("-", "_base", "_n")).alias("anchor"))
 
 
-def dangling_anchors(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, anchor): links to anchors that no heading of the same document has; case counts."""
-    links = docs.select(key, F.explode(anchor_links(F.col(text))).alias("anchor")).distinct()
-    return links.join(heading_anchors(docs, key, text).select(key, "anchor"), [key, "anchor"], "left_anti")
+def dangling_anchors(docs: DataFrame, key: str, text: str, links: Callable[[Column], Column] = anchor_links, anchors: DataFrame | None = None) -> DataFrame:
+    """(key, anchor): links to anchors that no heading of the same document has; case counts.
+
+    ``links`` finds the anchors a text names, an array; ``anchors`` (key, anchor) are those there
+    are, by default of the headings of ``docs``.
+    """
+    named = docs.select(key, F.explode(links(F.col(text))).alias("anchor")).distinct()
+    there = heading_anchors(docs, key, text) if anchors is None else anchors
+    return named.join(there.select(key, "anchor"), [key, "anchor"], "left_anti")
 
 
 def line_counts(docs: DataFrame, key: str, text: str, above: int) -> DataFrame:
@@ -59,9 +69,14 @@ def missing_fields(*checks: tuple[str, Column]) -> Column:
 
 
 def last_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key in the given order (an index in which later writes win)."""
-    w = Window.partitionBy(*key).orderBy(*[c.desc_nulls_last() for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The last row of each key in the given order (an index in which later writes win); a null in the order comes first.
+
+    An aggregation: each task keeps one row a key ahead of the shuffle, so no key is sorted.
+    """
+    rest = [c for c in df.columns if c not in key]
+    place = F.struct(*[x for i, c in enumerate(order) for x in (c.isNotNull().alias(f"_h{i}"), c.alias(f"_o{i}"))])
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), place).alias("_last"))
+    return last.select(*[F.col("_last")[c].alias(c) if c in rest else F.col(f"`{c}`") for c in df.columns])
 
 
 def lookup(facts: DataFrame, dims: DataFrame, key: list[str], order: list[Column], how: str = "inner") -> DataFrame:

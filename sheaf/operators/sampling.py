@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.text import natural_key
 from sheaf.operators.policy import top_k
+from sheaf.session import cut
 
 
-def numbered(df: DataFrame, order: list[Column], out: str = "rn", parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], out: str = "rn", rows_per_part: int = 1_000_000) -> DataFrame:
     """Row numbers from 1 over the whole table, without sorting it in one task.
 
-    Rows are range-partitioned by the order; each part's start is the sum of the parts before it
-    (one row a part).
+    Rows are range-partitioned by the order, written once with the number of their part, and
+    counted and numbered from there (bounds of ranges are sampled, so two readings of the plan would
+    part the rows in two ways); each part's start is the sum of the parts before it (one row a
+    part). The number of parts follows the number of rows. Rows of equal order are numbered in no
+    set order and share a part: end ``order`` with a key. An empty table gives no row.
     """
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    parts = max(1, -(-df.count() // rows_per_part))
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     tally = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     start = tally.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
     return ranged.join(F.broadcast(start), "_part").withColumn(out, F.col("_in") + F.col("_start")).drop("_part", "_in", "_start")
 

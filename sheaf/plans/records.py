@@ -167,16 +167,19 @@ def key_uniqueness(spark, root):
     return of("manifest", "manifest_id").unionByName(of("fragments", "frag_id"))
 
 
-FRAG_LINK = r"Fragment ([^\s]+\.md)"
+# These texts name files in prose, not in Markdown links: every such name is held against the files there are.
+NAMED_FILE = r"([A-Za-z][\w-]*/[\w./-]*\w\.md)"
 
 
-@C.add(f"""WITH links AS (SELECT DISTINCT doc_id::VARCHAR AS file, unnest(regexp_extract_all(text, '{FRAG_LINK}', 1)) AS link FROM documents), known AS (SELECT DISTINCT regexp_replace(file, '^([^/-]*)[^/]*/', '\\1/') AS resolved FROM fragment_file)
+@C.add(f"""WITH links AS (SELECT DISTINCT doc_id::VARCHAR AS file, unnest(regexp_extract_all(text, '{NAMED_FILE}', 1)) AS link FROM documents
+  UNION SELECT 'file ' || split_part(file, '/', 1), unnest(regexp_extract_all(raw, '{NAMED_FILE}', 1)) FROM fragment_file), known AS (SELECT DISTINCT regexp_replace(file, '^([^/-]*)[^/]*/', '\\1/') AS resolved FROM fragment_file)
 SELECT file, link, link AS resolved FROM links WHERE link NOT IN (SELECT resolved FROM known)""")
 def dangling_links(spark, root):
-    """Fragments named in texts that no file answers, by document family and name."""
-    d = table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("file"), F.array_join(F.transform(F.regexp_extract_all("text", F.lit(FRAG_LINK), 1), lambda x: F.concat(F.lit("]("), x, F.lit(")"))), " ").alias("text"))
+    """Files named in documents and in files that no file answers, by document family and name."""
+    d = table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+    d = d.unionByName(table(spark, root, "fragment_file").select(F.concat(F.lit("file "), F.split_part("file", F.lit("/"), F.lit(1))).alias("file"), F.col("raw").alias("text")))
     known = table(spark, root, "fragment_file").select(F.regexp_replace("file", r"^([^/-]*)[^/]*/", "$1/").alias("f"))
-    return reconcile.dangling_links(d, "file", "text", known, "f")
+    return reconcile.dangling_links(d, "file", "text", known, "f", lambda t: F.regexp_extract_all(t, F.lit(NAMED_FILE), 1))
 
 
 @C.add("""SELECT f.frag_id, f.doc, m.clean, m.page_offset FROM (SELECT DISTINCT frag_id, doc, pdf_file FROM fragments) f JOIN (
@@ -194,8 +197,10 @@ def first_pages(spark, root) -> DataFrame:
     return table(spark, root, "fragments").select("frag_id", "pdf_file", p.alias("first_page")).distinct()
 
 
-@C.add(OUTLINES_SQL + """ SELECT frag_id, first_page, b.boundary::INT AS next_boundary FROM (
-  SELECT DISTINCT frag_id, pdf_file, regexp_extract(pdf_pages, '(\\d+)', 1)::INT AS first_page FROM fragments WHERE regexp_matches(pdf_pages, '^\\d')) f
+FIRST_PAGES_SQL = r"(SELECT DISTINCT frag_id, pdf_file, nullif(regexp_extract(pdf_pages, '(\d+)', 1), '')::INT AS first_page FROM fragments)"
+
+
+@C.add(OUTLINES_SQL + f""" SELECT frag_id, first_page, b.boundary::INT AS next_boundary FROM {FIRST_PAGES_SQL} f
   LEFT JOIN LATERAL (SELECT min(page) AS boundary FROM units u WHERE u.doc = f.pdf_file AND u.page > f.first_page) b ON true""")
 def next_boundary(spark, root):
     """For every fragment the first section start after its first page (strict forward as-of); null without a readable page."""
@@ -206,8 +211,7 @@ def next_boundary(spark, root):
     return lookups.next_after(f, s, ["pdf_file"], "first_page", "boundary").select("frag_id", "first_page", F.col("found").alias("next_boundary"))
 
 
-@C.add(OUTLINES_SQL + """ SELECT frag_id, first_page, b.boundary::INT AS section_page FROM (
-  SELECT DISTINCT frag_id, pdf_file, regexp_extract(pdf_pages, '(\\d+)', 1)::INT AS first_page FROM fragments WHERE regexp_matches(pdf_pages, '^\\d')) f
+@C.add(OUTLINES_SQL + f""" SELECT frag_id, first_page, CASE WHEN first_page IS NOT NULL THEN b.boundary END::INT AS section_page FROM {FIRST_PAGES_SQL} f
   LEFT JOIN LATERAL (SELECT coalesce(max(page) FILTER (page <= f.first_page), min(page)) AS boundary FROM units u WHERE u.doc = f.pdf_file) b ON true""")
 def owning_section(spark, root):
     """For every fragment the nearest section start at or before its first page, else the first one (backward as-of); null without a readable page."""
@@ -290,9 +294,17 @@ def effort_by_kind(spark, root):
     return f.select("kind", F.when(F.col("scanned"), "high").when(F.col("kind").isin("annex", "table"), "medium").otherwise("low").alias("effort")).groupBy("kind", "effort").agg(F.count(F.lit(1)).alias("n"))
 
 
+@C.add(rf"""SELECT file, written_at, n_lines FROM (SELECT DISTINCT file, written_at, raw,
+  CASE WHEN raw = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(raw, '(?:{text.LINE_END})$', ''), '{text.LINE_END}')) END::INT AS n_lines FROM fragment_file) WHERE n_lines > 9""")
+def long_files(spark, root):
+    """Files of more than 9 lines, counted in their text, each time they were written."""
+    f = table(spark, root, "fragment_file").select(F.struct("file", "written_at").alias("k"), "raw").distinct()
+    return reconcile.line_counts(f, "k", "raw", 9).select("k.*", "n_lines")
+
+
 @C.add("""SELECT file, n_lines FROM (SELECT DISTINCT file, n_lines, written_at FROM fragment_file) WHERE n_lines > 600""")
 def oversized_files(spark, root):
-    """Files of more than 600 lines, each time they were written."""
+    """Files recorded with more than 600 lines, each time they were written."""
     return table(spark, root, "fragment_file").where("n_lines > 600").select("file", "n_lines", "written_at").distinct().select("file", "n_lines")
 
 
@@ -342,7 +354,7 @@ def batch_numbers(spark, root):
 @C.add("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders")
 def global_row_numbers(spark, root):
     """Row numbers over the whole of orders by falling price, without a sort in one task."""
-    return sampling.numbered(table(spark, root, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], parts=16).select("o_orderkey", F.col("rn").cast("long").alias("rn"))
+    return sampling.numbered(table(spark, root, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), [F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("o_orderkey", F.col("rn").cast("long").alias("rn"))
 
 
 @C.add("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
@@ -403,8 +415,9 @@ def figure_counts(spark, root):
     return f.withColumn("nr", n).groupBy("doc").agg(F.count(F.lit(1)).alias("n_figures"), F.countDistinct("frag_id").alias("n_fragments"), F.max("nr").alias("most_repeated"))
 
 
-@C.add("""SELECT frag_id, fig, 'figure-' || lpad(fig, 2, '0') || CASE WHEN nr > 1 THEN chr(96 + nr::INT) ELSE '' END AS name FROM (
-  SELECT *, row_number() OVER (PARTITION BY pdf_file, fig ORDER BY frag_id, i) AS nr FROM (SELECT frag_id, pdf_file, unnest(figures) AS fig, generate_subscripts(figures, 1) AS i FROM (SELECT DISTINCT frag_id, pdf_file, figures FROM fragments))) WHERE nr <= 26 AND length(fig) <= 2""")
+@C.add("""SELECT frag_id, fig, 'figure-' || CASE WHEN length(fig) < 2 THEN lpad(fig, 2, '0') ELSE fig END || CASE WHEN nr = 1 THEN '' WHEN nr <= 26 THEN chr(96 + nr::INT)
+  WHEN nr <= 702 THEN chr(96 + ((nr - 1) // 26)::INT) || chr(97 + ((nr - 1) % 26)::INT) ELSE error('three letters') END AS name FROM (
+  SELECT *, row_number() OVER (PARTITION BY pdf_file, fig ORDER BY frag_id, i) AS nr FROM (SELECT frag_id, pdf_file, unnest(figures) AS fig, generate_subscripts(figures, 1) AS i FROM (SELECT DISTINCT frag_id, pdf_file, figures FROM fragments)))""")
 def figure_names(spark, root):
     """Padded figure names; the second of a number gets ``b``, and so on; after ``z`` come ``aa``, ``ab``."""
     f = table(spark, root, "fragments").select("frag_id", "pdf_file", "figures").distinct().select("frag_id", "pdf_file", F.posexplode("figures").alias("i", "fig"))
@@ -432,7 +445,7 @@ def map_fragments(spark, root):
 
 
 @C.add("""WITH RECURSIVE t AS (SELECT n_nationkey AS id, NULL::INT AS parent FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey, n_nationkey % 5 + CASE WHEN n_nationkey >= 10 THEN 5 ELSE 0 END FROM nation WHERE n_nationkey >= 5
-), walk AS (SELECT id, 1 AS level, lpad(id::VARCHAR, 3, '0') AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, level + 1, path || '/' || lpad(t.id::VARCHAR, 3, '0') FROM t JOIN walk ON t.parent = walk.id) SELECT id, level, path FROM walk""")
+), walk AS (SELECT id, 1 AS level, id::VARCHAR AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, level + 1, path || '/' || t.id FROM t JOIN walk ON t.parent = walk.id) SELECT id, level, path FROM walk""")
 def tree_levels(spark, root):
     """A tree flattened with its true depth (nations as a tree of three levels)."""
     n = table(spark, root, "nation").select(F.col("n_nationkey").alias("id"))
@@ -565,8 +578,9 @@ def figures_by_document(spark, root):
 
 
 @C.add(r"""SELECT DISTINCT research_id, '---' || chr(10) || coalesce('researcher: "' || replace(replace(researcher, '\', '\\'), '"', '\"') || '"' || chr(10), '') || coalesce('topic: "' || replace(replace(topic, '\', '\\'), '"', '\"') || '"' || chr(10), '')
-  || coalesce('tags: [' || array_to_string(list_transform(list_filter(list_transform(string_split(tags, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: '"' || replace(replace(x, '\', '\\'), '"', '\"') || '"'), ', ') || ']' || chr(10), '')
-  || coalesce('dirty: ' || CASE WHEN dirty THEN 'true' WHEN NOT dirty THEN 'false' END || chr(10), '') || '---' || chr(10) AS frontmatter FROM research_doc WHERE tags IS NULL OR NOT regexp_matches(tags, '[\t\n]')""")
+  || coalesce('tags: [' || array_to_string(list_transform(list_filter(list_transform(string_split(tags, ','), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))), lambda x: x <> ''),
+    lambda x: '"' || replace(replace(replace(replace(replace(x, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"'), ', ') || ']' || chr(10), '')
+  || coalesce('dirty: ' || CASE WHEN dirty THEN 'true' WHEN NOT dirty THEN 'false' END || chr(10), '') || '---' || chr(10) AS frontmatter FROM research_doc""")
 def emitted_frontmatter(spark, root):
     """Frontmatter written from the columns of all research documents, tags as a plain comma list; tabs and line ends in a tag are escaped."""
     r = table(spark, root, "research_doc").select("research_id", "researcher", "topic", "tags", "dirty").distinct()

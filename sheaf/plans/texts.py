@@ -196,16 +196,18 @@ def heading_anchors(spark, root):
     return reconcile.heading_anchors(table(spark, root, "documents"), "doc_id", "text")
 
 
-# Links are seldom to anchors in these texts: cross references written as anchors of their clause are held against the headings.
+# These files name clauses in prose, not by anchors: the clauses a folder's files name are held against the numbers its headings begin with.
 LINKED = r"clause (\d+(?:\.\d+)*)"
 
 
-@C.add(f"""WITH {HEADS_SQL}, linked AS (SELECT DISTINCT doc_id, replace(unnest(regexp_extract_all(text, '{LINKED}', 1)), '.', '') AS anchor FROM documents)
-SELECT doc_id, anchor FROM linked ANTI JOIN anchors USING (doc_id, anchor)""")
+@C.add(f"""WITH linked AS (SELECT DISTINCT split_part(file, '/', 1) AS folder, unnest(regexp_extract_all(raw, '{LINKED}', 1)) AS anchor FROM fragment_file
+), heads AS (SELECT split_part(file, '/', 1) AS folder, unnest(regexp_extract_all(raw, '(?m)^#{{1,6}}[ \\t]+(\\d+(?:\\.\\d+)*)[ \\t]', 1)) AS anchor FROM fragment_file)
+SELECT folder, anchor FROM linked ANTI JOIN heads USING (folder, anchor)""")
 def dangling_anchors(spark, root):
-    """References to clauses that no heading of the same document answers."""
-    d = table(spark, root, "documents").withColumn("text", F.concat(F.col("text"), F.lit("\n"), F.array_join(F.transform(F.regexp_extract_all("text", F.lit(LINKED), 1), lambda x: F.concat(F.lit("]("), F.lit("#"), F.replace(x, F.lit("."), F.lit("")), F.lit(")"))), " ")))
-    return reconcile.dangling_anchors(d, "doc_id", "text")
+    """Clauses named in the files of a folder that no heading of the folder's files answers."""
+    d = table(spark, root, "fragment_file").select(F.split_part("file", F.lit("/"), F.lit(1)).alias("folder"), F.col("raw").alias("text")).where("raw is not null").distinct()
+    numbers = validate.headings(d, "folder", "text").select("folder", F.regexp_extract("title", r"^(\d+(?:\.\d+)*)\s", 1).alias("anchor")).distinct()
+    return reconcile.dangling_anchors(d, "folder", "text", lambda t: F.regexp_extract_all(t, F.lit(LINKED), 1), numbers)
 
 
 @C.add(r"""SELECT DISTINCT t AS message, regexp_replace(regexp_replace(t, '''[^'']*''', '''…''', 'g'), '\b\d+\b', '#', 'g') AS template FROM (
@@ -217,37 +219,33 @@ def message_templates(spark, root):
 
 
 # Problems: every line of a document that carries a number, its source as the file.
-PROBLEMS_SQL = f"""problems AS (SELECT doc_id * 10000 + i AS seen, source AS file, l AS message, CASE WHEN contains(l, '`') THEN 'WARNING' WHEN contains(l, '0x') THEN 'ERROR' ELSE 'INFO' END AS severity FROM (
+PROBLEMS_SQL = f"""problems AS (SELECT doc_id, i AS line, source AS file, l AS message, CASE WHEN contains(l, '`') THEN 'WARNING' WHEN contains(l, '0x') THEN 'ERROR' ELSE 'INFO' END AS severity FROM (
   SELECT doc_id, source, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, source, regexp_split_to_array(text, '{EOL}') AS ls FROM documents WHERE text IS NOT NULL))
-  WHERE regexp_matches(l, '[0-9]') AND length(l) <= 400)"""
+  WHERE regexp_matches(l, '[0-9]'))"""
 TEMPLATE_SQL = r"regexp_replace(regexp_replace(message, '''[^'']*''', '''…''', 'g'), '\b\d+\b', '#', 'g')"
 
 
 def problems(spark, root) -> DataFrame:
+    """(seen, file, message, severity); ``seen`` is the place (doc_id, line), by which they are ordered."""
     d = table(spark, root, "documents").where(F.col("text").isNotNull())
     d = d.select("doc_id", F.col("source").alias("file"), F.posexplode(text.lines(F.col("text"))).alias("i", "message"))
     sev = F.when(F.contains("message", F.lit("`")), "WARNING").when(F.contains("message", F.lit("0x")), "ERROR").otherwise("INFO")
-    return d.where(F.col("message").rlike("[0-9]")).select((F.col("doc_id") * 10000 + F.col("i") + 1).alias("seen"), "file", "message", sev.alias("severity"))
+    return d.where(F.col("message").rlike("[0-9]")).select(F.struct("doc_id", (F.col("i") + 1).alias("line")).alias("seen"), "file", "message", sev.alias("severity"))
 
 
-@C.add(rf"""WITH {PROBLEMS_SQL} SELECT {TEMPLATE_SQL} AS template, count(*) AS n, count(DISTINCT file) AS n_files, arg_min(severity, seen) AS severity,
-  arg_min(message, seen) AS example, min(seen) AS first_seen,
+@C.add(rf"""WITH {PROBLEMS_SQL} SELECT {TEMPLATE_SQL} AS template, count(*) AS n, count(DISTINCT file) AS n_files, arg_min(severity, (doc_id, line)) AS severity,
+  min(doc_id) AS doc_id, (min((doc_id, line)))[2]::INT AS line, array_to_string(list_slice(list(message ORDER BY doc_id, line), 1, 5), chr(10)) AS examples,
   '^' || replace(replace(regexp_replace({TEMPLATE_SQL}, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g'), '''…''', '''[^'']*'''), '#', '\d+') || '$' AS pattern FROM problems GROUP BY template""")
 def message_types(spark, root):
-    """Message types with counts, files, first severity and example, and their pattern."""
-    return policy.message_types(problems(spark, root), "message", "file", "severity", "seen")
+    """Message types with counts, files, first severity and place, the first five examples and their pattern; the most frequent first."""
+    t = policy.message_types(problems(spark, root), "message", "file", "severity", "seen", 5)
+    return t.select("template", "n", "n_files", "severity", "first_seen.doc_id", "first_seen.line", F.array_join("examples", "\n").alias("examples"), "pattern")
 
 
-@C.add(f"""WITH {PROBLEMS_SQL} SELECT {TEMPLATE_SQL} AS template, count(*) AS occurrences, count(DISTINCT file) AS n_files FROM problems GROUP BY template HAVING count(DISTINCT file) >= 3""")
-def recurring_messages(spark, root):
-    """Message types found in three files or more."""
-    return policy.recurring(problems(spark, root), "message", "file")
-
-
-@C.add(f"""WITH {PROBLEMS_SQL} SELECT template, seen, file, message, severity FROM (SELECT *, {TEMPLATE_SQL} AS template, row_number() OVER (PARTITION BY {TEMPLATE_SQL} ORDER BY seen) AS rn FROM problems) WHERE rn <= 5""")
+@C.add(f"""WITH {PROBLEMS_SQL} SELECT template, doc_id, line::INT AS line, file, message, severity FROM (SELECT *, {TEMPLATE_SQL} AS template, row_number() OVER (PARTITION BY {TEMPLATE_SQL} ORDER BY doc_id, line) AS rn FROM problems) WHERE rn <= 5""")
 def message_examples(spark, root):
     """The first five examples of each message type."""
-    return policy.first_examples(problems(spark, root), "message", "seen", 5)
+    return policy.first_examples(problems(spark, root), "message", "seen", 5).select("template", "seen.*", "file", "message", "severity")
 
 
 RULES = [
@@ -265,15 +263,30 @@ ROUTED_SQL = rf"""{PROBLEMS_SQL}, matched AS (SELECT *, CASE WHEN regexp_matches
   CASE WHEN bucket <> 'outOfScope' THEN CASE rule_idx WHEN 0 THEN 'hexadecimal code' WHEN 2 THEN 'reviews are read by people' WHEN 3 THEN 'clause reference' ELSE '' END END AS policy_reason FROM routed)"""
 
 
-def _routed(spark, root):
+ROUTED_ALL_SQL = ROUTED_SQL.replace("severity NOT IN ('ERROR', 'WARNING')", "severity IS NULL")
+
+
+def _routed(spark, root, floor=("error", "WARNING")):
     default, rules = policy.policy({"default": "nonsense", "rules": RULES})
-    return policy.route(policy.first_match(problems(spark, root), rules, "message", "severity", "file"), rules, default, "severity", ("error", "WARNING"))
+    return policy.route(policy.first_match(problems(spark, root), rules, "message", "severity", "file"), rules, default, "severity", floor)
 
 
-@C.add(f"WITH {ROUTED_SQL} SELECT seen, file, severity, rule_idx::INT AS rule_idx, bucket, pinned_action, policy_reason FROM pinned")
+@C.add(f"WITH {ROUTED_SQL} SELECT doc_id, line::INT AS line, file, severity, rule_idx::INT AS rule_idx, bucket, pinned_action, policy_reason FROM pinned")
 def policy_routing(spark, root):
     """Every problem with the first rule that matches it, its bucket and pinned action."""
-    return _routed(spark, root).drop("message")
+    return _routed(spark, root).select("seen.*", "file", "severity", "rule_idx", "bucket", "pinned_action", "policy_reason")
+
+
+@C.add(rf"""WITH {ROUTED_ALL_SQL}, t AS (SELECT *, {TEMPLATE_SQL} AS template FROM pinned WHERE bucket = 'actionable'
+), f AS (SELECT template, file, min((doc_id, line)) AS first FROM t GROUP BY ALL)
+SELECT template, count(*) AS occurrences, count(DISTINCT file) AS n_files, arg_min(message, (doc_id, line)) AS example,
+  (SELECT array_to_string(list_slice(list(f.file ORDER BY f.first), 1, 10), ' ') FROM f WHERE f.template = t.template AND f.file IS NOT NULL) AS files,
+  '^' || replace(replace(regexp_replace(template, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g'), '''…''', '''[^'']*'''), '#', '\d+') || '$' AS pattern
+FROM t GROUP BY template HAVING count(DISTINCT file) >= 3""")
+def recurring_messages(spark, root):
+    """Types of actionable messages of any severity found in three files or more, with the first example and the first ten files; the most widespread first."""
+    t = policy.recurring(_routed(spark, root, ("ALL",)).where("bucket = 'actionable'"), "message", "file", "seen")
+    return t.withColumn("files", F.array_join("files", " "))
 
 
 @C.add(f"WITH {ROUTED_SQL} SELECT bucket, pinned_action, count(*) AS n, count(DISTINCT file) AS n_files FROM pinned GROUP BY ALL")

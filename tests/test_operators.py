@@ -221,8 +221,12 @@ def test_policy(spark):
 def test_sampling(spark):
     d = spark.createDataFrame([("g", "k" + str(i % 2), i) for i in range(25)], "g string, k string, i int")
     assert [r.i for r in sampling.stratified(d, "g", "k", "i", 1, 10).orderBy("i").collect()] == sorted({0, 1, *range(0, 25, 2)})
-    assert [r.rn for r in sampling.numbered(d, [F.desc("i")], parts=5).orderBy(F.desc("i")).collect()] == list(range(1, 26))
+    assert [r.rn for r in sampling.numbered(d, [F.desc("i")], rows_per_part=5).orderBy(F.desc("i")).collect()] == list(range(1, 26))
     assert max(r.batch for r in sampling.batches(d, "g", "i", 10).collect()) == 2
+    # A payload column beside the order, and the same numbers on every reading.
+    big = spark.range(20000).select((F.col("id") * 7919 % 20011).alias("i"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    n = sampling.numbered(big, [F.col("i")], rows_per_part=1500)
+    assert [r.rn for r in n.orderBy("i").collect()] == list(range(1, 20001)) and sampling.numbered(big.limit(0), [F.col("i")]).count() == 0
 
 
 def test_lookups(spark):
@@ -232,6 +236,8 @@ def test_lookups(spark):
     assert {r.found0: r.found for r in lookups.last_before(left, right, ["k"], "at", "pt").collect()} == {"x": 5, "y": 3, "z": None, "w": 5}
     t = spark.createDataFrame([(1, None), (2, 1), (3, 2), (9, 8)], "n int, p int")
     assert rows(lookups.flatten_tree(t, "n", "p").select("n", "level")) == [(1, 1), (2, 2), (3, 3)]
+    long = spark.createDataFrame([(12345, None), (12399, 12345), (7, 12399)], "n int, p int")
+    assert rows(lookups.flatten_tree(long, "n", "p")) == [(12345, 1, "12345"), (12399, 2, "12345/12399"), (7, 3, "12345/12399/7")]
 
 
 def test_state(spark):

@@ -17,13 +17,23 @@ def test_long_lines_are_problems(spark, tmp_path):
     template = long.replace("7", "#")
     types = {r.template: r for r in run(spark, tmp_path, "message_types", **docs)}
     assert set(types) == {"short #", template}
-    assert (types[template].n, types[template].n_files, types[template].severity, types[template].example, types[template].first_seen) == (3, 3, "WARNING", long, 3)
-    assert {(r.template, r.occurrences, r.n_files) for r in run(spark, tmp_path, "recurring_messages")} == {("short #", 3, 3), (template, 3, 3)}
+    assert (types[template].n, types[template].n_files, types[template].severity, types[template].examples, types[template].doc_id, types[template].line) == (3, 3, "WARNING", "\n".join([long] * 3), 0, 3)
+    # All files are reviews, which a rule ignores: nothing is actionable, so nothing recurs.
+    assert run(spark, tmp_path, "recurring_messages") == []
     assert sum(r.message == long for r in run(spark, tmp_path, "message_examples")) == 3
-    assert sorted((r.seen, r.bucket) for r in run(spark, tmp_path, "policy_routing")) == [(s, b) for i in range(3) for s, b in ((i * 10000 + 1, "outOfScope"), (i * 10000 + 3, "ignored"))]
+    assert sorted((r.doc_id, r.line, r.bucket) for r in run(spark, tmp_path, "policy_routing")) == [(i, n, b) for i in range(3) for n, b in ((1, "outOfScope"), (3, "ignored"))]
     assert {r.bucket: r.n for r in run(spark, tmp_path, "policy_counts")} == {"outOfScope": 3, "ignored": 3}
 
 
+def test_recurring_long_messages(spark, tmp_path):
+    long = "Code 0x1F " + "and on and on " * 40 + "until `timer` 7"
+    rows = [(i, f"notes/{i % 12:02d}", f"short 1\n{long}") for i in range(24)] + [(99, None, long)]
+    got = run(spark, tmp_path, "recurring_messages", documents=(rows, "doc_id long, source string, text string"))
+    assert [(r.template, r.occurrences, r.n_files, r.example, r.files) for r in got] == [
+        ("short #", 24, 12, "short 1", files := " ".join(f"notes/{i:02d}" for i in range(10))), (long.replace("7", "#"), 25, 12, long, files),
+    ]
+
+
 def test_frontmatter_of_tags_with_tabs_and_line_ends(spark, tmp_path):
     rows = [(1, "- research\n* Java\r\n- codebase", None), (2, "research\tweb, a\\b", True), (3, "research, web", False), (4, None, None)]
     rows = [(i, 'R "x"', "t", tags, dirty) for i, tags, dirty in rows]
