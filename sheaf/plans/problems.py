@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.pages import page_spans, target_spans
 from sheaf.functions.paths import base_name, normalize_path
 from sheaf.operators import drift, intervals, orphans, packed
-from sheaf.session import cut
+from sheaf.session import written
 from sheaf.sources.tables import table
 
 
@@ -38,50 +38,52 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     return p1_found(spark, root).groupBy("field_name", "change_kind").agg(F.count(F.lit(1)).alias("n_changes"), F.countDistinct("map_file").alias("n_files"))
 
 
-def _reference_events(spark: SparkSession, root: str) -> DataFrame:
+#: Arrival times that part the history into the batches of the state.
+BATCHES = ("2024-08-15", "2025-03-01")
+MORE_BATCHES = ("2024-09-01", "2024-12-01", "2025-03-01", "2025-06-01", "2025-09-01")
+
+
+def _arrivals(spark: SparkSession, root: str, bounds: tuple[str, ...]) -> DataFrame:
+    """Events of all tables with the batch ``b`` they arrive in, written once; files arrive as they are written and deleted."""
     path = lambda c: normalize_path(F.col(c))
-    li = orphans.references(table(spark, root, "link_index"), "link_index", "entry_id", path("target_file"), "built_at")
-    fr = orphans.references(table(spark, root, "fragments"), "fragments", "frag_id", path("target_file"), "reported_at").distinct()
-    ma = orphans.references(table(spark, root, "manifest"), "manifest", "manifest_id", path("file"), "built_at")
-    return li.unionByName(fr).unionByName(ma).unionByName(orphans.parents(table(spark, root, "fragment_file"), path("file"), "written_at", "deleted_at"))
+    batch = lambda c: sum((F.coalesce(F.col(c) >= F.lit(b).cast("timestamp"), F.lit(False)).cast("int") for b in bounds), F.lit(0)).alias("b")
 
+    def referring(name: str, row_id: str, file: str, at: str) -> DataFrame:
+        d = table(spark, root, name)
+        return orphans.references(d.withColumn("_b", batch("loaded_at")), name, row_id, path(file), at, "_b").withColumnRenamed("_b", "b")
 
-def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    """Orphan references of the three tables, each in its state at the time of the reference."""
-    return orphans.OrphanState.empty(_reference_events(spark, root)).open_orphans().select("tbl", "row_id", "state")
+    files = orphans.parents(table(spark, root, "fragment_file"), path("file"), "written_at", "deleted_at")
+    log = files.select("*", batch("at"))
+    for given in (("link_index", "entry_id", "target_file", "built_at"), ("fragments", "frag_id", "target_file", "reported_at"), ("manifest", "manifest_id", "file", "built_at")):
+        log = log.unionByName(referring(*given))
+    return written(log, "b")
 
 
-def p2_by_month(spark: SparkSession, root: str) -> DataFrame:
-    """Orphans per table and month of the reference."""
-    return orphans.OrphanState.empty(_reference_events(spark, root)).snapshot()
+def _orphan_state(spark: SparkSession, root: str, bounds: tuple[str, ...]) -> orphans.OrphanState:
+    """The state after all batches in the order of arrival, written between them."""
+    log, state = _arrivals(spark, root, bounds), None
+    for b in range(len(bounds) + 1):
+        new = log.where(F.col("b") == b).drop("b")
+        if state is None:
+            state = orphans.OrphanState.empty(new)
+        else:
+            state = orphans.OrphanState(state.index, written(state.states)).advance(new)
+    return state
 
 
-#: Arrival times at which the incremental query takes in a batch.
-BATCHES = ("2024-09-01", "2025-03-01", "2025-09-01")
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Orphan references of the three tables: a snapshot of the keyed state after all arrivals."""
+    return _orphan_state(spark, root, BATCHES).open_orphans().select("tbl", "row_id", "state")
 
 
-def p2_incremental(spark: SparkSession, root: str) -> DataFrame:
-    """As ``p2_found``, the state kept over four batches in the order of arrival, written between them."""
-    path = lambda c: normalize_path(F.col(c))
-    batch = lambda c: sum((F.coalesce(F.col(c) >= F.lit(b).cast("timestamp"), F.lit(False)).cast("int") for b in BATCHES), F.lit(0))
+def p2_by_month(spark: SparkSession, root: str) -> DataFrame:
+    """Orphans per table and month of the reference, out of the same state."""
+    return _orphan_state(spark, root, BATCHES).snapshot()
 
-    def arriving(name: str, row_id: str, file: str, at: str) -> DataFrame:
-        d = table(spark, root, name).groupBy(row_id, file, at).agg(F.min("loaded_at").alias("loaded_at")).withColumn("_b", batch("loaded_at"))
-        return d.select(path(file).alias("key"), F.col(at).alias("at"), F.lit(2).alias("kind"), F.lit(name).alias("tbl"), F.col(row_id).alias("row_id"), "_b").where("key is not null")
 
-    files = orphans.parents(table(spark, root, "fragment_file"), path("file"), "written_at", "deleted_at")
-    log = cut(
-        arriving("link_index", "entry_id", "target_file", "built_at")
-        .unionByName(arriving("fragments", "frag_id", "target_file", "reported_at"))
-        .unionByName(arriving("manifest", "manifest_id", "file", "built_at"))
-        .unionByName(files.withColumn("_b", batch("at")))
-    )
-    state = None
-    for b in range(len(BATCHES) + 1):
-        new = log.where(F.col("_b") == b).drop("_b")
-        state = orphans.OrphanState.empty(new) if state is None else state.advance(new)
-        state = orphans.OrphanState(state.events, cut(state.states))
-    return state.open_orphans().select("tbl", "row_id", "state")
+def p2_incremental(spark: SparkSession, root: str) -> DataFrame:
+    """As ``p2_found``, with twice as many batches: the result does not depend on them."""
+    return _orphan_state(spark, root, MORE_BATCHES).open_orphans().select("tbl", "row_id", "state")
 
 
 def pdf_pages(spark: SparkSession, root: str) -> DataFrame:

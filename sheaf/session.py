@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,13 +31,15 @@ def get_session(app: str = "sheaf", master: str | None = None, **conf: str) -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder named by the cluster; a temporary one only where none is set and all runs on this machine (tests)."""
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix=f"sheaf-{os.getpid()}-")
     sc.setCheckpointDir(named)
     return named
@@ -48,6 +51,14 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+def written(df, *partitions: str):
+    """Write ``df`` as a table to a folder of its own in the shared checkpoint folder and read it from there."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/sheaf-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partitions).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df):
     """A scanned table in at least as many partitions as there are cores.
 

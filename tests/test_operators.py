@@ -118,6 +118,25 @@ def test_orphans_in_batches_equal_all_at_once(spark):
     assert sum(r.n_missing + r.n_late + r.n_deleted for r in s.snapshot().collect()) == len(whole)
 
 
+def test_orphans_of_two_parents_deleted_at_once(spark):
+    """Two files of one path, written on different days and deleted on the same: both must count as deleted, in any batches."""
+    day = lambda n: F.to_timestamp(F.lit(f"2024-01-{n:02d}"))
+    f = spark.range(2).select(F.lit("a").alias("file"), F.when(F.col("id") == 0, day(1)).otherwise(day(2)).alias("w"), day(9).alias("d"))
+    r = spark.range(4).select("id", F.lit("a").alias("file"), F.element_at(F.array(day(15), day(5), day(9), F.lit(None).cast("timestamp")), (F.col("id") + 1).cast("int")).alias("at"))
+    p, q = orphans.parents(f, F.col("file"), "w", "d"), orphans.references(r, "t", "id", F.col("file"), "at")
+    want = [(0, "deleted"), (2, "deleted")]
+    assert rows(orphans.OrphanState.empty(p.unionByName(q)).open_orphans().select("row_id", "state")) == want
+    for few in (0, 100):
+        s = orphans.OrphanState.empty(q)
+        assert rows(s.open_orphans().select("row_id", "state")) == [(i, "missing") for i in range(4)]
+        s = s.advance(p.where("kind = 0"), few=few)
+        assert rows(s.open_orphans()) == []
+        s = s.advance(p.where("kind = 1"), few=few).advance(p.unionByName(q), few=few)
+        assert rows(s.open_orphans().select("row_id", "state")) == want
+    gone = f.limit(1).withColumn("d", day(1) - F.expr("interval 1 day"))
+    assert rows(orphans.OrphanState.empty(orphans.parents(gone, F.col("file"), "w", "d").unionByName(q)).open_orphans().select("row_id", "state")) == [(0, "deleted"), (1, "deleted"), (2, "deleted")]
+
+
 def test_orphans_edges(spark):
     f = spark.createDataFrame([("a", "2024-01-02", None), ("a", "2024-01-02", None), ("b", "2024-01-01", "2024-01-03"), (None, "2024-01-01", None)], "file string, w string, d string")
     f = f.withColumn("w", F.col("w").cast("timestamp")).withColumn("d", F.col("d").cast("timestamp"))

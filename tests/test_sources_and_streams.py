@@ -102,6 +102,24 @@ def test_orphan_stream_equals_one_batch(spark, tmp_path):
     assert got == want and want
 
 
+def test_orphan_store_rewrites_touched_buckets_only(spark, tmp_path):
+    from test_operators import _events
+
+    ev, d = _events(spark, 11)
+    root = str(tmp_path / "state")
+    store = maintain.OrphanStore(spark, root, 8)
+    n = d.withColumn("b", F.pmod(F.xxhash64("key", "at", "kind", "row_id"), F.lit(3)))
+    for i in (0, 1, 1, 2):  # a batch comes twice
+        store.advance(n.where(f"b = {i}").drop("b"), i)
+    one = spark.createDataFrame([("new", None, 2, "t", 9999)], "key string, at timestamp, kind int, tbl string, row_id long")
+    store.advance(one, 3)
+    assert [x for x in os.listdir(f"{root}/states/v=4") if x.startswith("b=")] == [x for x in os.listdir(f"{root}/states/v=4") if x.startswith("b=")][:1]
+    want = orphans.OrphanState.empty(d.unionByName(one))
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert plain(store.states().where("state is not null")) == plain(want.open_orphans())
+    assert plain(store.snapshot()) == plain(want.snapshot()) and store._steps() == [3, 4]
+
+
 def test_streaming_aggregates(spark, tmp_path):
     src = str(tmp_path / "log")
     spark.createDataFrame([("a", "1", "2024-01-01 00:10:00"), ("a", "2", "2024-01-01 01:00:00"), ("b", "x 5", "2024-01-01 00:20:00")], "k string, v string, at string").withColumn("at", F.col("at").cast("timestamp")).write.parquet(src)
