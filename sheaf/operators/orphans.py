@@ -120,13 +120,14 @@ class OrphanState:
         Probed are: references of the batch; waiting ones of a key that the batch writes to; settled
         ones of a key from the first time on at which the batch deletes a parent. A batch of at most
         ``few`` keys (they are counted) has them broadcast, so that neither index nor references are
-        shuffled; a larger one is joined by the key. ``batch`` is read several times.
+        shuffled; a larger one is joined by the key (``few=0`` for batches known to be large). ``batch``
+        is read several times.
         """
         batch = _whole(batch)
         fresh = batch.where(F.col("kind") < _REFERENCE).select(*_INDEX)
         index = self.index.unionByName(fresh)
         keys = batch.select("key").distinct()
-        small = keys.limit(few + 1).count() <= few
+        small = few > 0 and keys.limit(few + 1).count() <= few
         touched = fresh.groupBy(F.col("key").alias("_k")).agg(
             F.max(F.col("kind") == _WRITE).alias("_writes"), F.min(F.when(F.col("kind") == _DELETE, F.col("at"))).alias("_gone_from")
         )

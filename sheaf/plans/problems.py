@@ -60,14 +60,14 @@ def _arrivals(spark: SparkSession, root: str, bounds: tuple[str, ...]) -> DataFr
 
 
 def _orphan_state(spark: SparkSession, root: str, bounds: tuple[str, ...]) -> orphans.OrphanState:
-    """The state after all batches in the order of arrival, written between them."""
+    """The state after all batches in the order of arrival, written between them; each is a large part of the history."""
     log, state = _arrivals(spark, root, bounds), None
     for b in range(len(bounds) + 1):
         new = log.where(F.col("b") == b).drop("b")
         if state is None:
             state = orphans.OrphanState.empty(new)
         else:
-            state = orphans.OrphanState(state.index, written(state.states)).advance(new)
+            state = orphans.OrphanState(state.index, written(state.states)).advance(new, few=0)
     return state
 
 
