@@ -2,15 +2,16 @@
 
 Each record is parsed once to a variant. Approved fields, under any of their names, are cast into
 the columns of the target schema; what is unknown or does not cast is kept as JSON in ``rescued``.
-A field approved later is replayed from there, without the source. Changes of fields are read off
-the field types of a revision and of the one before it.
+A field approved later is replayed from there, without the source. Changes are read off the table so
+made: the fields its columns were taken from and the rescued ones, against those of the revision
+before. Which names are approved is data (``TargetSchema.approved``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.bind import let
@@ -39,10 +40,30 @@ class TargetSchema:
             c = F.when(name.isin(*p.names), p.name).otherwise(c)
         return c
 
+    @classmethod
+    def approved(cls, names: DataFrame, most: int = 10_000) -> TargetSchema:
+        """The schema of a table (piece, kind, place, name) of approved names; more than ``most`` are refused.
+
+        A piece's names are tried in the order of ``place``. A name approved for two pieces belongs
+        to the first of them.
+        """
+        got = names.select("piece", "kind", "place", "name").where("piece is not null and name is not null").distinct().limit(most + 1).collect()
+        if len(got) > most:
+            raise ValueError(f"more than {most} approved names")
+        by: dict[str, list] = {}
+        for r in sorted(got, key=lambda r: (r["place"], r["piece"], r["name"])):
+            by.setdefault(r["piece"], []).append(r)
+        return cls(tuple(Piece(p, tuple(dict.fromkeys(r["name"] for r in rs)), rs[0]["kind"]) for p, rs in by.items()))
+
     def promote(self, piece: Piece) -> TargetSchema:
-        """With one more approved piece, or more names of one."""
+        """With one more approved piece, or other names of one."""
         return TargetSchema((*[p for p in self.pieces if p.name != piece.name], piece))
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """As a table for ``approved``."""
+        rows = [(p.name, p.kind, 1000 * i + j, n) for i, p in enumerate(self.pieces) for j, n in enumerate(p.names)]
+        return spark.createDataFrame(rows, "piece string, kind string, place int, name string")
+
 
 # The names under which map files carry each piece of information.
 MAP_SCHEMA = TargetSchema((
@@ -59,7 +80,11 @@ def parsed(raw: Column) -> Column:
 
     Trailing text, repeated keys and values other than an object make a record unreadable.
     """
-    boxed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    return _single(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))))
+
+
+def _single(boxed: Column) -> Column:
+    """The object in a parsed list of just one."""
     one = F.try_variant_get(boxed, "$[1]", "variant").isNull() & F.schema_of_variant(F.try_variant_get(boxed, "$[0]", "variant")).startswith("OBJECT")
     return F.when(one, F.try_variant_get(boxed, "$[0]", "variant"))
 
@@ -76,27 +101,6 @@ def json_type(v: Column) -> Column:
     return let(F.schema_of_variant(v), named)
 
 
-def field_types(doc: Column) -> Column:
-    """``map<string,string>`` of a record's top-level fields to their JSON types."""
-    entries = F.map_entries(doc.cast("map<string,variant>"))
-    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], json_type(e["value"]))))
-
-
-def ingest(df: DataFrame, keys: list[str], raw: str, prefer: str) -> DataFrame:
-    """(keys, raw, doc, types): one row per readable revision.
-
-    Of several deliveries of a revision the readable one with the least ``prefer`` is kept.
-    """
-    read = (
-        df.select(*keys, prefer, raw)
-        .withColumn("_ok", parsed(F.col(raw)).isNotNull())
-        .where("_ok")
-        .groupBy(*keys)
-        .agg(F.min_by(raw, prefer).alias("raw"))
-    )
-    return read.withColumn("doc", parsed(F.col("raw"))).withColumn("types", field_types(F.col("doc")))
-
-
 def _first_int(s: Column, pattern: str = r"([+-]?\d{1,9})") -> Column:
     return F.nullif(F.regexp_extract(s, pattern, 1), F.lit("")).try_cast("int")
 
@@ -122,44 +126,72 @@ def _cast(piece: Piece, v: Column, t: Column) -> Column:
     return F.when(got["first"].isNotNull() & got["last"].isNotNull(), got)
 
 
-def rows(revisions: DataFrame, keys: list[str], schema: TargetSchema = MAP_SCHEMA) -> DataFrame:
-    """The consistent table: keys, one typed column per piece and ``rescued``, JSON of all else.
+def ingest(df: DataFrame, keys: list[str], raw: str, prefer: str, schema: TargetSchema = MAP_SCHEMA) -> DataFrame:
+    """The consistent table: keys, one typed column per piece, ``origin``, ``rescued``, ``rescued_types``.
 
-    A piece named several times takes the first castable field in the order of its names. Fields
-    that are unknown or do not cast stay in ``rescued`` as they were; a JSON null is rescued too.
+    One row per readable revision; of several deliveries the readable one with the least ``prefer``
+    is kept. A piece named several times takes the first castable field in the order of its names;
+    ``origin`` maps each piece to the name and JSON type of the field it was taken from. Fields that
+    are unknown or do not cast stay in ``rescued`` as they were, with their types beside them; a JSON
+    null is rescued, too. Each record is read and parsed once.
     """
-    d = revisions.withColumn("_m", F.col("doc").cast("map<string,variant>"))
+    # One step a projection: what a later step uses several times is not worked out several times.
+    d = df.select(*keys, F.col(prefer).alias("_by"), F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit("]"))).alias("_box"))
+    d = d.withColumn("_m", _single(F.col("_box")).cast("map<string,variant>")).drop("_box")
+    d = d.withColumn("_t", F.transform_values("_m", lambda _, v: json_type(v)))
+    at = {(p.name, n): f"_{i}_{j}" for i, p in enumerate(schema.pieces) for j, n in enumerate(p.names)}
+    d = d.select("*", *[_cast(p, F.col("_m")[n], F.col("_t")[n]).alias(at[p.name, n]) for p in schema.pieces for n in p.names])
+    kept, origin = [], []
     for p in schema.pieces:
-        for i, n in enumerate(p.names):
-            d = d.withColumn(f"_{p.name}_{i}", _cast(p, F.col("_m")[n], F.col("types")[n]))
-    cols = [F.coalesce(*[F.col(f"_{p.name}_{i}") for i in range(len(p.names))]).alias(p.name) for p in schema.pieces]
-    taken = F.array_compact(F.array(*[F.when(F.col(f"_{p.name}_{i}").isNotNull(), F.lit(n)) for p in schema.pieces for i, n in enumerate(p.names)]))
-    left = F.map_filter(F.col("_m"), lambda k, _: ~F.array_contains(taken, k))
-    return d.select(*keys, *cols, F.to_json(left).alias("rescued"))
+        kept.append(F.coalesce(*[F.col(at[p.name, n]) for n in p.names]).alias(p.name))
+        origin.append(F.coalesce(*[F.when(F.col(at[p.name, n]).isNotNull(), F.struct(F.lit(p.name).alias("key"), F.struct(F.lit(n).alias("name"), F.col("_t")[n].alias("type")).alias("value"))) for n in p.names]))
+    d = d.select(*keys, "_by", "_m", "_t", *kept, F.map_from_entries(F.array_compact(F.array(*origin))).alias("origin"))
+    # A second castable field of a piece is not taken: it is rescued.
+    d = d.withColumn("_taken", F.transform(F.map_values("origin"), lambda o: o["name"]))
+    left = lambda m: F.map_filter(F.col(m), lambda k, _: ~F.array_contains(F.col("_taken"), k))
+    d = d.withColumn("rescued", F.to_json(left("_m"))).withColumn("rescued_types", left("_t"))
+    row = F.struct(*[p.name for p in schema.pieces], "origin", "rescued", "rescued_types")
+    first = d.groupBy(*keys).agg(F.min_by(row, F.when(F.col("_m").isNotNull(), F.struct(F.col("_by").isNull(), "_by"))).alias("_row"))
+    return first.where(F.col("_row").isNotNull()).select(*keys, "_row.*")
+
+
+def rows(ingested: DataFrame, keys: list[str], schema: TargetSchema = MAP_SCHEMA) -> DataFrame:
+    """Keys, one typed column per piece and ``rescued``, JSON of all else."""
+    return ingested.select(*keys, *[p.name for p in schema.pieces], "rescued")
 
 
 def replay(table: DataFrame, piece: Piece, rescued: str = "rescued") -> DataFrame:
-    """A later approved piece out of the rescued fields: fills (or adds) its column and takes it from there."""
+    """A later approved piece out of the rescued fields: fills (or adds) its column and takes it from there.
+
+    Only the field that a value is taken from leaves ``rescued``; where the column is filled already
+    nothing is taken.
+    """
     d = table.withColumn("_m", F.try_parse_json(rescued).cast("map<string,variant>"))
     for i, n in enumerate(piece.names):
         v = F.col("_m")[n]
         d = d.withColumn(f"_c{i}", _cast(piece, v, json_type(v)))
     found = F.coalesce(*[F.col(f"_c{i}") for i in range(len(piece.names))])
+    pick = F.coalesce(*[F.when(F.col(f"_c{i}").isNotNull(), F.lit(n)) for i, n in enumerate(piece.names)])
     have = F.coalesce(F.col(piece.name), found) if piece.name in table.columns else found
-    taken = F.array_compact(F.array(*[F.when(F.col(f"_c{i}").isNotNull(), F.lit(n)) for i, n in enumerate(piece.names)]))
-    left = F.to_json(F.map_filter(F.col("_m"), lambda k, _: ~F.array_contains(taken, k)))
+    pick = F.when(F.col(piece.name).isNull(), pick) if piece.name in table.columns else pick
+    left = F.to_json(F.map_filter(F.col("_m"), lambda k, _: ~k.eqNullSafe(pick)))
     return d.withColumn(piece.name, have).withColumn(rescued, left).drop("_m", *[f"_c{i}" for i in range(len(piece.names))])
 
 
-def changes(revisions: DataFrame, keys: list[str], order: str, schema: TargetSchema = MAP_SCHEMA, width: int = 64) -> DataFrame:
+def changes(ingested: DataFrame, keys: list[str], order: str, schema: TargetSchema = MAP_SCHEMA, width: int = 64) -> DataFrame:
     """(keys, order, field_name, change_kind): every change against the next lower readable revision.
 
+    The fields of a revision are those its typed columns were taken from and those rescued. Give a
+    written table: it is read twice.
+
     ``renamed`` (under the new name) if a field went and another of the same piece came, ``added``
     and ``removed`` otherwise, ``retyped`` if the JSON type differs, also across a rename. A null
     is present without a type. Several names of one piece that go or come at once pair in
     alphabetical order. The first readable revision of a file has no changes.
     """
-    d = previous(revisions.select(*keys, order, "types"), keys, order, ["types"], F.floor(F.col(order) / width)).where(F.col("types_before").isNotNull())
+    entry = lambda n, t: F.struct(n.alias("key"), t.alias("value"))
+    types = F.map_from_entries(F.concat(F.transform(F.map_values("origin"), lambda o: entry(o["name"], o["type"])), F.transform(F.map_entries("rescued_types"), lambda e: entry(e["key"], e["value"]))))
+    d = previous(ingested.select(*keys, order, types.alias("types")), keys, order, ["types"], F.floor(F.col(order) / width)).where(F.col("types_before").isNotNull())
 
     def sided(here: str, there: str) -> Column:
         only = F.array_sort(F.array_except(F.map_keys(here), F.map_keys(there)))
