@@ -18,11 +18,37 @@ def test_spellings(text, words):
     assert [names[i] for i in ids] == words
 
 
+@pytest.mark.parametrize("text, words", [
+    ("@$$ @$$h0l3 $hit", ["ass", "asshole", "shit"]), ("iDiOt FoOl", ["idiot", "fool"]), ("i_d_i_o_t", ["idiot"]), ("lotoTimer ID3 @bob", ["@id", "ide", "@id"]),
+    ("ｉｄｉｏｔ", ["idiot"]), ("i\u0308diot", ["idiot"]), ("a b", ["a", "b"]), ("É ½", ["e", "#"]),
+])
+def test_more_spellings(text, words):
+    v = abuse.Vocabulary()
+    ids = v.ids_of(text)
+    names = {i: w for w, i in v.ids.items()}
+    assert [names[i] for i in ids] == words
+
+
+def test_scores_equal_the_forward_pass():
+    g = np.random.default_rng(4)
+    net = abuse.Network.fresh()
+    texts = [" ".join(g.choice("the you idiot station frame counter stupid link test".split(), n)) for n in (1, 5, 24, 25, 60, 61, 200)]
+    s = abuse.Scorer(net)
+    got = s.scores([*texts, "", None])
+    v = s.vocab
+    vec = net.vectors(np.array(v.rows), *abuse.flat_lists(v.grams))
+    vec[0] = 0
+    want = [net.forward(abuse.windows(v.ids_of(t)), vec)[0].max() for t in texts]
+    assert np.allclose(got[:-2], 1 / (1 + np.exp(-np.array(want))), atol=1e-5) and list(got[-2:]) == [0, 0]
+
+
 def test_windows_overlap_and_cover():
     for n in (1, 12, 24, 25, 36, 37, 100):
         w = abuse.windows(list(range(1, n + 1)))
         assert set(w.ravel()) - {0} == set(range(1, n + 1)) and w.shape[1] == abuse.WINDOW
-        assert all(set(a) & set(b) - {0} for a, b in zip(w, w[1:]))
+        assert all(len(set(a) & set(b) - {0}) >= abuse.WINDOW - abuse.STRIDE for a, b in zip(w, w[1:]))
+    w, ends = abuse.all_windows([[1, 2], list(range(3, 60)), [60]])
+    assert set(w[ends[1] : ends[2]].ravel()) - {0} == set(range(3, 60)) and ends[-1] == len(w) and list(w[-1][:2]) == [60, 0]
 
 
 def test_gradients():
