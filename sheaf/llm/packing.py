@@ -9,45 +9,76 @@ rank in the bucket, counted in two levels so that no bucket is ever ranked by on
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
-    """At most ``most`` upper bounds, the last the greatest length, with least padding in total."""
+    """At most ``most`` upper bounds, the last the greatest length, with least padding in total.
+
+    One row of the program after another: to end a bucket at the j-th length after the i-th costs a
+    line in that length, so each row is read off the lower envelope of lines in one pass. Memory is
+    one number a length, and one link a length and row.
+    """
     order = np.argsort(lengths)
-    v, c = lengths[order].astype(float), counts[order].astype(float)
+    v, c = lengths[order].astype(int).tolist(), counts[order].astype(int).tolist()
     m = len(v)
     if m <= most:
-        return [int(x) for x in v]
-    n, s = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * v)])
-    # cost[j, i]: items i..j-1 padded to v[j-1]; a row is what one choice looks at
-    cost = np.full((m + 1, m + 1), np.inf)
-    for j in range(1, m + 1):
-        cost[j, :j] = v[j - 1] * (n[j] - n[:j]) - (s[j] - s[:j])
-    best, back = cost[:, 0].copy(), []
-    best[0] = 0
-    total = np.empty_like(cost)
-    for _ in range(1, most):
-        np.add(best, cost, out=total)
-        at = total.argmin(axis=1)
-        new = total[np.arange(m + 1), at]
-        new[0], at[0] = 0, 0
-        keep = new >= best
-        at[keep] = -1
-        best = np.where(keep, best, new)
-        back.append(at)
+        return v
+    n, s = [0, *accumulate(c)], [0, *accumulate(x * y for x, y in zip(c, v))]
+    best = [0, *(v[j - 1] * n[j] - s[j] for j in range(1, m + 1))]
+    back = np.zeros((most - 1, m + 1), np.int32)  # 0: the bucket begins with the shortest length
+    for row in range(most - 1):
+        hull: list[int] = []
+        new, links, at = best[:], [-1] * (m + 1), 0
+        for j in range(1, m + 1):
+            # Line i has slope -n[i] and starts at best[i] + s[i]; slopes fall, so the envelope is kept on a stack.
+            i = j - 1
+            y = best[i] + s[i]
+            while len(hull) > 1:
+                p, q = hull[-2], hull[-1]
+                if (y - best[p] - s[p]) * (n[q] - n[p]) <= (best[q] + s[q] - best[p] - s[p]) * (n[i] - n[p]):
+                    hull.pop()
+                else:
+                    break
+            hull.append(i)
+            x = v[j - 1]
+            at = min(at, len(hull) - 1)
+            while at + 1 < len(hull) and best[hull[at + 1]] + s[hull[at + 1]] - n[hull[at + 1]] * x <= best[hull[at]] + s[hull[at]] - n[hull[at]] * x:
+                at += 1
+            i = hull[at]
+            cost = best[i] + s[i] - n[i] * x + x * n[j] - s[j]
+            if cost < new[j]:
+                new[j], links[j] = cost, i
+        best = new
+        back[row] = links
     bounds, j = [], m
-    for at in reversed(back):
-        if j > 0 and at[j] >= 0:
-            bounds.append(int(v[j - 1]))
-            j = int(at[j])
+    for row in range(most - 2, -1, -1):
+        if j > 0 and back[row, j] >= 0:
+            bounds.append(v[j - 1])
+            j = int(back[row, j])
     if j > 0:
-        bounds.append(int(v[j - 1]))
+        bounds.append(v[j - 1])
     return sorted(bounds)
 
 
+def by_blocks(segments: list[tuple[int, int, int, int, int, int, int]]) -> tuple[dict[int, int], list[tuple[int, int, int, int, int, int, int, int]]]:
+    """(block width of each bucket, rows of a segment and a block of ranks it covers).
+
+    A rank finds its segment by an equality on (bucket, rank // width) and looks at the few segments
+    of that block. There are at most as many rows as segments and blocks, eight blocks a segment.
+    """
+    ends, many = {}, {}
+    for b, start, ranks, *_ in segments:
+        ends[b] = max(ends.get(b, 0), start + ranks)
+        many[b] = many.get(b, 0) + 1
+    width = {b: max(1, -(-ends[b] // (8 * many[b]))) for b in ends}
+    return width, [(b, k, start, ranks, *rest) for b, start, ranks, *rest in segments for k in range(start // width[b], (start + ranks - 1) // width[b] + 1)]
+
+
 def plan(bounds: list[int], counts: list[int], capacity: int, top_up: bool = True) -> list[tuple[int, int, int, int, int, int, int]]:
     """Segments (bucket, rank_from, ranks, container, per_container, place, offset).
 
@@ -105,30 +136,29 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = 2048, buckets: i
     bounds = bucket_bounds(lengths, counts, buckets)
     of = np.searchsorted(bounds, lengths)
     segments = plan(bounds, [int(counts[of == b].sum()) for b in range(len(bounds))], capacity)
-    seg = "array<struct<rank_from:long,ranks:long,container:long,per:int,place:int,offset:int>>"
-    by = [(b, [s[1:] for s in segments if s[0] == b], int(bounds[b])) for b in range(len(bounds))]
-    table = spark.createDataFrame(by, f"_b int, _segments {seg}, _bound int")
+    width, rows = by_blocks(segments)
+    # At most `capacity` lengths, and the segments by blocks: both follow the buckets, not the items.
+    of_length = spark.createDataFrame([(int(n), int(b), int(bounds[b]), width[int(b)]) for n, b in zip(lengths, of)], "length int, _b int, _bound int, _width long")
+    of_rank = spark.createDataFrame(rows, "_b int, _block long, _from long, _ranks long, _container long, _per int, _place int, _offset int")
     parts = max(1, int(counts.sum()) // rows_per_part)
-    to_bucket = F.array(*[F.lit(int(x)) for x in bounds])
-    keyed = some.withColumn("_b", F.size(F.filter(to_bucket, lambda x: x < F.col("length")))).withColumn("_part", F.pmod(F.xxhash64(key, "piece"), F.lit(parts)).cast("int"))
+    keyed = some.join(F.broadcast(of_length), "length").withColumn("_part", F.pmod(F.xxhash64(key, "piece"), F.lit(parts)).cast("int"))
     tally = keyed.groupBy("_b", "_part").agg(F.count(F.lit(1)).alias("_n"))
     start = tally.select("_b", "_part", (F.sum("_n").over(Window.partitionBy("_b").orderBy("_part")) - F.col("_n")).alias("_start"))
     ranked = (
         keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_b", "_part").orderBy(key, "piece")) - 1)
         .join(start, ["_b", "_part"])
         .withColumn("_r", F.col("_r") + F.col("_start"))
-        .join(F.broadcast(table), "_b")  # one row a bucket
+        .withColumn("_block", F.expr("_r div _width"))
     )
-    hit = F.get(F.filter("_segments", lambda s: (s["rank_from"] <= F.col("_r")) & (F.col("_r") < s["rank_from"] + s["ranks"])), 0)
-    q = F.col("_r") - F.col("_s.rank_from")
-    slot = (q % F.col("_s.per")).cast("int")
-    placed = ranked.withColumn("_s", hit).select(
+    q = F.col("_r") - F.col("_from")
+    slot = (q % F.col("_per")).cast("int")
+    placed = ranked.join(F.broadcast(of_rank), ["_b", "_block"]).where((q >= 0) & (q < F.col("_ranks"))).select(
         key,
         "piece",
         "length",
-        (F.col("_s.container") + F.floor(q / F.col("_s.per"))).cast("long").alias("container"),
-        (F.col("_s.place") + slot).cast("int").alias("place"),
-        (F.col("_s.offset") + slot * F.col("_bound")).cast("int").alias("offset"),
+        (F.col("_container") + F.floor(q / F.col("_per"))).cast("long").alias("container"),
+        (F.col("_place") + slot).cast("int").alias("place"),
+        (F.col("_offset") + slot * F.col("_bound")).cast("int").alias("offset"),
     )
     none = whole.where(F.col("length") <= 0).select(key, "piece", "length", F.lit(None).cast("long").alias("container"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("offset"))
     return placed.unionByName(none)

@@ -1,12 +1,13 @@
 """Splitting oversized items at natural boundaries (problem 3): balanced targets.
 
 The least number of pieces that fits is placed at targets of equal length, each target is snapped to
-the strongest boundary near it, and pieces are added where a limit fails.
+the strongest boundary near it, and pieces are added where a limit fails: as many as all starts need
+to stand on boundaries in their reach, without a cap.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,47 +17,64 @@ from pyspark.sql import functions as F
 from sheaf.session import ship
 
 
+class _Rest:
+    """Least number of pieces from a place to the end, if every start with a boundary in reach stands on one."""
+
+    def __init__(self, n: int, limit: int, overlap: int, places: list[int]):
+        self.n, self.limit, self.overlap, self.step, self.places = n, limit, overlap, limit - overlap, places
+        self.need = [0] * len(places)
+        for i in range(len(places) - 1, -1, -1):
+            self.need[i] = self.of(places[i])
+
+    def reach(self, at: int) -> tuple[int, int]:
+        """Range of the boundaries at which a piece after the one that starts ``at`` may start."""
+        return bisect_right(self.places, at), bisect_right(self.places, at + self.step)
+
+    def of(self, at: int) -> int:
+        if self.n - at <= self.limit:
+            return 1
+        i, j = self.reach(at)
+        if i < j:
+            return 1 + min(self.need[i:j])
+        if i == len(self.places):
+            return -(-(self.n - self.overlap - at) // self.step)
+        whole = (self.places[i] - at - 1) // self.step  # full pieces until the next boundary is in reach
+        return whole + self.of(at + whole * self.step)
+
+
 def cut_points(n: int, limit: int, overlap: int, strength: dict[int, int]) -> list[int]:
     """Places 0..n-1 at which pieces start; piece i holds starts[i] .. starts[i+1] + overlap - 1.
 
     ``strength``: place to level of a boundary, 1 the strongest. Every piece holds at most ``limit``
-    places. A start takes the strongest boundary within half a step of its target, else the nearest
-    in reach, else the target. One more piece is tried (up to twice the least number) as long as a
-    start has a boundary in reach that the number of pieces does not allow.
+    places. There are as few pieces as let every start with a boundary in reach stand on one: counted
+    back from the end over the boundaries, then laid out in one pass at targets of equal length. A
+    start takes the strongest boundary within half a piece of its target from which the pieces left
+    suffice, else the nearest in reach; with none in reach, the target.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     if n <= limit:
         return [0]
-    step = limit - overlap
-    least = -(-(n - overlap) // step)
     places = sorted(p for p in strength if 0 < p < n - overlap)
-    best: tuple[int, int, list[int]] | None = None
-    for k in range(least, 2 * least + 2):
-        size = (n - overlap) / k
-        starts, bare = [0], 0
-        for i in range(1, k):
-            # The pieces still to come must be able to hold what is left, and each needs a place.
-            lo = max(starts[-1] + 1, n - overlap - (k - i) * step)
-            hi = min(starts[-1] + step, n - overlap - (k - i))
-            if lo > hi:
-                break
-            target = min(max(round(i * size), lo), hi)
-            within = places[bisect_left(places, lo) : bisect_left(places, hi + 1)]
-            near = [p for p in within if abs(p - target) <= size / 2]
-            if near:
-                starts.append(min(near, key=lambda p: (strength[p], abs(p - target), p)))
-            elif within:
-                starts.append(min(within, key=lambda p: (abs(p - target), strength[p], p)))
-            else:
-                reach = places[bisect_left(places, starts[-1] + 1) : bisect_left(places, starts[-1] + step + 1)]
-                bare += bool(reach)
-                starts.append(target)
-        if len(starts) == k and (best is None or (bare, k) < best[:2]):
-            best = bare, k, starts
-        if best and best[0] == 0:
-            break
-    return best[2]
+    rest = _Rest(n, limit, overlap, places)
+    k = rest.of(0)
+    size = (n - overlap) / k
+    starts = [0]
+    for i in range(1, k):
+        at, left = starts[-1], k - i
+        target = round(i * size)
+        a, b = rest.reach(at)
+        good = [places[x] for x in range(a, b) if rest.need[x] <= left]
+        near = [p for p in good if abs(p - target) <= size / 2]
+        if near:
+            starts.append(min(near, key=lambda p: (strength[p], abs(p - target), p)))
+        elif good:
+            starts.append(min(good, key=lambda p: (abs(p - target), strength[p], p)))
+        else:
+            far = at + rest.step
+            target = min(max(target, at + 1), far)
+            starts.append(target if rest.of(target) <= left else far)
+    return starts
 
 
 def pieces_of(spans: list[tuple[int, int]], limit: int, overlap: int, strength: dict[int, int]) -> Iterator[tuple[int, list[tuple[int, int]], bool]]:
@@ -79,11 +97,11 @@ def pieces_of(spans: list[tuple[int, int]], limit: int, overlap: int, strength:
     starts = cut_points(n, limit, overlap, by_place)
     for i, s in enumerate(starts):
         e = starts[i + 1] + overlap - 1 if i + 1 < len(starts) else n - 1
-        part = []
-        for (lo, hi), b in zip(spans, base):
-            a, z = max(s, b), min(e, b + hi - lo)
-            if a <= z:
-                part.append((lo + a - b, lo + z - b))
+        part, x = [], bisect_right(base, s) - 1
+        while x < len(spans) and base[x] <= e:
+            (lo, hi), b = spans[x], base[x]
+            part.append((lo + max(s, b) - b, lo + min(e, b + hi - lo) - b))
+            x += 1
         yield part[0][0], part, s in by_place
 
 
@@ -91,8 +109,8 @@ def split_items(df: DataFrame, key: str, spans: str, outline: str, limit: int =
     """(key, piece, n_pieces, page_from, page_to, n_pages, pages, at_boundary) of every item.
 
     ``spans``: array of (lo, hi), sorted and disjoint; ``outline``: array of (level, title, page),
-    null, empty, out of order or lacking pages. Items without a page give no row, small items one
-    piece. Only what exceeds the limit needs more, so filter before; each item is worked on alone.
+    null, empty, out of order or lacking pages. Keys may be of any type and repeat. Items without a
+    page give no row, small items one piece. Only what exceeds the limit needs more, so filter before; each item is worked on alone.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,6 +132,7 @@ def split_items(df: DataFrame, key: str, spans: str, outline: str, limit: int =
             yield pd.DataFrame(out, columns=["k", "piece", "n_pieces", "page_from", "page_to", "n_pages", "pages", "at_boundary"])
 
     ship(df.sparkSession)
-    schema = "k bigint, piece int, n_pieces int, page_from int, page_to int, n_pages int, pages string, at_boundary boolean"
-    slim = df.select(F.col(key).cast("long").alias("k"), F.col(spans).alias("s"), F.col(outline).alias("o"))
+    kind = df.select(key).schema[0].dataType.simpleString()
+    schema = f"k {kind}, piece int, n_pieces int, page_from int, page_to int, n_pages int, pages string, at_boundary boolean"
+    slim = df.select(F.col(key).alias("k"), F.col(spans).alias("s"), F.col(outline).alias("o"))
     return slim.mapInPandas(run, schema).withColumnRenamed("k", key)

@@ -23,6 +23,34 @@ def test_bounds_are_optimal():
             assert len(got) <= most and got[-1] == v[-1] and padding(v, c, got) == best
 
 
+def test_bounds_of_long_containers():
+    """20,000 lengths: one number a length and one link a length and row, no table of pairs."""
+    import tracemalloc
+
+    g = np.random.default_rng(1)
+    v, c = np.arange(1, 20_001), g.integers(1, 1000, 20_000)
+    tracemalloc.start()
+    got = packing.bucket_bounds(v, c, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 12 and got[-1] == 20_000 and peak < 32 << 20
+
+
+def test_blocks_find_the_segment():
+    random.seed(2)
+    segments, at = [], {}
+    for i in range(200):
+        b, ranks = random.randrange(4), random.choice([1, 1, 2, 500])
+        segments.append((b, at.get(b, 0), ranks, i, 1, 0, 0))
+        at[b] = at.get(b, 0) + ranks
+    width, rows = packing.by_blocks(segments)
+    assert len(rows) <= 9 * len(segments) + 8
+    for b, n in at.items():
+        for r in range(n):
+            hit = [x for x in rows if x[0] == b and x[1] == r // width[b] and x[2] <= r < x[2] + x[3]]
+            assert len(hit) == 1 and [s for s in segments if s[0] == b and s[1] <= r < s[1] + s[2]] == [(hit[0][0], *hit[0][2:])]
+
+
 def validate(rows, sizes, capacity):
     by, pieces = {}, {}
     for r in rows:

@@ -45,6 +45,45 @@ def test_balance_and_boundaries():
         splitting.cut_points(30, 5, 5, {})
 
 
+def test_every_start_in_reach_of_a_boundary_stands_on_one():
+    """Against all ways to cut: as few pieces as that rule allows, however many."""
+    from functools import lru_cache
+
+    random.seed(8)
+    for _ in range(300):
+        n, overlap = random.randrange(2, 60), random.randrange(0, 3)
+        limit = overlap + random.randrange(1, 9)
+        strength = {random.randrange(1, n): random.randrange(1, 4) for _ in range(random.randrange(0, 14))}
+        places = {p for p in strength if p < n - overlap}
+
+        @lru_cache(None)
+        def least(at):
+            if n - at <= limit:
+                return 1
+            reach = range(at + 1, at + limit - overlap + 1)
+            on = [p for p in reach if p in places]
+            return 1 + min(least(p) for p in on or reach)
+
+        got = splitting.cut_points(n, limit, overlap, strength)
+        assert n - got[-1] <= limit or len(got) == 1
+        for a, b in zip(got, got[1:]):
+            assert 0 < b - a <= limit - overlap and (b in places or not any(p in places for p in range(a + 1, a + limit - overlap + 1)))
+        assert len(got) == least(0)
+
+
+def test_huge_items_are_cut_in_linear_time():
+    import time
+
+    t = time.time()
+    got = splitting.cut_points(2_000_000, 12, 1, {p: p % 3 + 1 for p in range(5, 2_000_000, 7)})
+    assert len(got) > 180_000 and time.time() - t < 30
+
+
+def test_keys_of_any_type(spark):
+    d = spark.createDataFrame([("a-1", [(1, 30)], None), (None, [(1, 3)], None)], "id string, s array<struct<lo:int,hi:int>>, o array<struct<level:int,title:string,page:int>>")
+    assert sorted((r.id or "", r.piece) for r in splitting.split_items(d, "id", "s", "o").collect()) == [("", 1), ("a-1", 1), ("a-1", 2), ("a-1", 3)]
+
+
 def test_frames(spark):
     schema = "id long, s array<struct<lo:int,hi:int>>, o array<struct<level:int,title:string,page:int>>, piece string"
     d = spark.createDataFrame([
