@@ -6,20 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, point: str, forward: bool) -> DataFrame:
-    """Union of both sides, sorted once by (keys, place); the nearest point is carried to each left row.
+def _asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, point: str, forward: bool, width: int = 1024) -> DataFrame:
+    """Union of both sides, sorted by place within (keys, shard); the nearest point is carried to each left row.
 
-    No inequality join: the work is one shuffle by the keys and one sort, however many pairs match.
-    A null place finds nothing.
+    No inequality join: the work is one shuffle and one sort, however many pairs match. Shards are
+    ``width`` places wide, so a key with a third of all rows is shared out; where a shard has no point
+    on the near side, that of the nearest shard with one is taken, found along one row a shard. A null
+    place finds nothing. Places are numbers.
     """
     pack = F.struct(*[F.col(c) for c in left.columns])
     l = left.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_side"), pack.alias("_row"), F.lit(None).cast(right.schema[point].dataType).alias("_pt"))
     r = right.select(*keys, F.col(point).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(point).alias("_pt")).where(F.col("_at").isNotNull()).distinct()
-    u = l.unionByName(r)
-    # At one place: backward takes the point there, strict forward does not.
-    order = [F.col("_at").desc(), F.col("_side")] if forward else [F.col("_at"), F.col("_side").desc()]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return u.withColumn("found", F.when(F.col("_at").isNotNull(), F.last("_pt", ignorenulls=True).over(w))).where("_side = 0")
+    u = l.unionByName(r).withColumn("_shard", F.floor(F.col("_at") / F.lit(width)).cast("long"))
+    ends = u.groupBy(*keys, "_shard").agg((F.min("_pt") if forward else F.max("_pt")).alias("_pt"))
+    along = Window.partitionBy(*keys).orderBy(F.col("_shard").desc() if forward else F.col("_shard"))
+    carried = ends.select(
+        *keys, F.lit(None).cast(u.schema["_at"].dataType).alias("_at"), F.lit(2).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"),
+        F.last("_pt", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_pt"), "_shard",
+    ).where(F.col("_shard").isNotNull() & F.col("_pt").isNotNull())
+    # At one place: backward takes the point there, strict forward does not. What is carried comes first.
+    order = [F.col("_at").desc_nulls_first(), F.col("_side")] if forward else [F.col("_at").asc_nulls_first(), F.col("_side").desc()]
+    w = Window.partitionBy(*keys, "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return u.unionByName(carried).withColumn("found", F.when(F.col("_at").isNotNull(), F.last("_pt", ignorenulls=True).over(w))).where("_side = 0")
 
 
 def next_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, point: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import pages_text, section_number, title_slug
+from sheaf.operators import intervals
+from sheaf.operators.policy import top_k
 from sheaf.session import ship
 
 
@@ -125,19 +127,28 @@ def plan_fragments(outlines: DataFrame, doc: str, outline: str, total: str, wind
     )
 
 
-def coverage(spans: DataFrame, body: DataFrame, doc: str) -> DataFrame:
-    """Per document: pages of the body, covered ones, repeats, first and last named page, share covered in percent.
+def coverage(spans: DataFrame, body: DataFrame, doc: str, shown: int = 20) -> DataFrame:
+    """Per document: pages of the body, covered and uncovered ones, the share covered in percent, repeats,
+    first and last named page, and the first ``shown`` uncovered pages as text.
 
-    ``spans``: (doc, lo, hi); ``body``: (doc, body_start, body_end). Documents without spans are
-    reported with nothing covered. Pages repeat within an entity only as often as spans name them.
+    ``spans``: (doc, lo, hi); ``body``: (doc, body_start, body_end), one row a document. Documents
+    without spans are reported with nothing covered, spans of documents without a body are not.
+    ``repeats`` counts how often pages are named again. All is added up over spans, never over pages.
     """
-    pages = spans.select(doc, F.explode(F.sequence("lo", "hi")).alias("page")).groupBy(doc, "page").agg(F.count(F.lit(1)).alias("_n"))
-    g = pages.join(body, doc).groupBy(doc).agg(
-        F.sum(F.col("page").between(F.col("body_start"), F.col("body_end")).cast("long")).alias("covered"),
-        F.sum(F.col("_n") - 1).alias("repeats"), F.min("page").alias("first_page"), F.max("page").alias("last_page"),
-    )
+    size = F.col("hi").cast("long") - F.col("lo") + 1
+    named = spans.where("lo <= hi").groupBy(doc).agg(F.sum(size).alias("_named"), F.min("lo").alias("first_page"), F.max("hi").alias("last_page"))
+    aims = body.select(doc, F.col("body_start").alias("lo"), F.col("body_end").alias("hi"))
+    runs = intervals.periods_and_gaps(spans.select(doc, "lo", "hi"), aims, [doc])
+    is_gap = F.col("span_kind") == "gap"
+    g = runs.groupBy(doc).agg(F.sum(F.when(~is_gap, size)).alias("_distinct"), F.sum(F.when(is_gap, size)).alias("uncovered"))
+    # Of a gap no more pages than are shown, so of a document at most ``shown`` a gap that comes into question.
+    free = top_k(runs.where(is_gap), [doc], [F.col("lo")], shown).select(doc, F.explode(F.sequence("lo", F.least("hi", F.col("lo") + shown - 1))).alias("_p"))
+    sample = free.groupBy(doc).agg(F.array_join(F.slice(F.array_sort(F.collect_list("_p")), 1, shown), ",").alias("uncovered_pages"))
     n = F.greatest(F.col("body_end") - F.col("body_start") + 1, F.lit(0)).cast("long")
-    return body.join(g, doc, "left").select(
-        doc, n.alias("body_pages"), F.coalesce("covered", F.lit(0)).alias("covered"), (n - F.coalesce("covered", F.lit(0))).alias("uncovered"),
-        F.coalesce("repeats", F.lit(0)).alias("repeats"), "first_page", "last_page",
+    d = body.join(named, doc, "left").join(g, doc, "left").join(sample, doc, "left").withColumn("_n", n).withColumn("_u", F.when(F.col("_named").isNull(), F.col("_n")).otherwise(F.least(F.coalesce("uncovered", F.lit(0)), F.col("_n"))))
+    return d.select(
+        doc, F.col("_n").alias("body_pages"), (F.col("_n") - F.col("_u")).alias("covered"), F.col("_u").alias("uncovered"),
+        F.round(100.0 * (F.col("_n") - F.col("_u")) / F.greatest(F.lit(1), F.col("_n")), 2).alias("percent"),
+        F.coalesce(F.col("_named") - F.col("_distinct"), F.lit(0)).alias("repeats"), "first_page", "last_page",
+        F.when(F.col("_n") > 0, F.coalesce("uncovered_pages", F.lit(""))).otherwise("").alias("uncovered_pages"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from sheaf.functions import text
-from sheaf.functions.pages import page_items
+from sheaf.functions.pages import count_pages, merge_spans, page_items
 from sheaf.functions.paths import base_name, last_two_segments, normalize_path
 from sheaf.operators import drift, figures, intervals, lookups, planning, policy, reconcile, sampling, state
 from sheaf.plans.catalog import Catalog
@@ -114,13 +114,14 @@ def _simple(spark, root):
 @C.add(f"WITH {SIMPLE_SQL} SELECT frag_id, count(DISTINCT page) AS n_pages, min(page)::INT AS first_page, max(page)::INT AS last_page FROM (SELECT frag_id, unnest(generate_series(lo, hi)) AS page FROM spans) GROUP BY frag_id")
 def page_spec_sets(spark, root):
     """Different pages named by every fragment in the plain notation."""
-    e = _simple(spark, root).select("frag_id", F.explode(F.sequence("lo", "hi")).alias("page"))
-    return e.groupBy("frag_id").agg(F.countDistinct("page").alias("n_pages"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    f = table(spark, root, "fragments").where("pdf_file is not null").select("frag_id", merge_spans(text.simple_page_spans(F.col("pdf_pages"))).alias("s")).distinct().where(F.size("s") > 0)
+    return f.select("frag_id", count_pages(F.col("s")).alias("n_pages"), F.get("s", F.lit(0))["lo"].alias("first_page"), F.get("s", F.size("s") - 1)["hi"].alias("last_page"))
 
 
 @C.add(f"""WITH {SIMPLE_SQL}, pages AS (SELECT pdf_file, page, count(*) AS n FROM (SELECT pdf_file, unnest(generate_series(lo, hi)) AS page FROM (SELECT DISTINCT frag_id, pdf_file, lo, hi FROM spans)) GROUP BY ALL
 ), body AS (SELECT pdf_file, min(page) AS body_start, max(page) AS body_end FROM pages GROUP BY pdf_file)
-SELECT pdf_file, max(body_end - body_start + 1)::BIGINT AS body_pages, count(*) AS covered, max(body_end - body_start + 1)::BIGINT - count(*) AS uncovered, sum(n - 1)::BIGINT AS repeats, min(page)::INT AS first_page, max(page)::INT AS last_page
+SELECT pdf_file, max(body_end - body_start + 1)::BIGINT AS body_pages, count(*) AS covered, max(body_end - body_start + 1)::BIGINT - count(*) AS uncovered, sum(n - 1)::BIGINT AS repeats, min(page)::INT AS first_page, max(page)::INT AS last_page,
+  round(100.0 * count(*) / max(body_end - body_start + 1), 2) AS percent, coalesce((SELECT array_to_string(list_slice(list(p ORDER BY p), 1, 20), ',') FROM (SELECT unnest(generate_series(b.body_start, b.body_end)) AS p FROM body b WHERE b.pdf_file = pages.pdf_file) WHERE p NOT IN (SELECT page FROM pages q WHERE q.pdf_file = pages.pdf_file)), '') AS uncovered_pages
 FROM pages JOIN body USING (pdf_file) GROUP BY pdf_file""")
 def page_coverage(spark, root):
     """Pages covered, repeated and missing per PDF, between its first and last named page."""
@@ -136,7 +137,7 @@ def first_uncovered(spark, root):
     """The first 20 pages of every PDF that no fragment names, out of its gaps."""
     s = _simple(spark, root).select("pdf_file", "lo", "hi")
     gaps = intervals.periods_and_gaps(s, s.limit(0), ["pdf_file"]).where("span_kind = 'gap'")
-    free = gaps.select("pdf_file", F.explode(F.sequence("lo", "hi")).alias("page")).select("pdf_file", F.col("page").cast("int").alias("page"))
+    free = gaps.select("pdf_file", F.explode(F.sequence("lo", F.least("hi", F.col("lo") + 19))).alias("page")).select("pdf_file", F.col("page").cast("int").alias("page"))
     return policy.top_k(free, ["pdf_file"], [F.col("page")], 20)
 
 
@@ -502,8 +503,7 @@ NAMED_SQL = f"""WITH {SIMPLE_SQL}, named AS (SELECT DISTINCT pdf_file, unnest(ge
 
 
 def _tolerant(spark, root):
-    named = _simple(spark, root).select("pdf_file", F.explode(F.sequence("lo", "hi")).alias("page"))
-    return intervals.tolerant_runs(named, ["pdf_file"], "page", 2, 3)
+    return intervals.tolerant_runs(_simple(spark, root), ["pdf_file"], "lo", 2, 3, "hi")
 
 
 @C.add(NAMED_SQL + " SELECT pdf_file, lo, hi FROM runs")

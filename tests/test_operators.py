@@ -42,6 +42,50 @@ def test_periods_and_gaps(spark):
         want += [(k, "period", *r) for r in runs(c)] + [(k, "gap", *r) for r in runs(t - c)]
     assert got == sorted(want, key=repr)
     assert rows(intervals.periods(cover.limit(0), ["k"])) == []
+    assert rows(intervals.periods_and_gaps(cover.limit(0), target.limit(0), ["k"])) == []
+    assert rows(intervals.periods(cover, ["k"], 16)) == sorted([w[:1] + w[2:] for w in want if w[1] == "period"], key=repr)
+    # A long interval is two rows, whatever it spans.
+    long = spark.createDataFrame([("a", 1, 999_999_999), ("a", 5, 6), ("a", -7, -3), ("a", 1_000_000_002, 1_000_000_003)], "k string, lo int, hi int")
+    assert intervals.clip(long, None, ["k"], 256).count() == 8
+    assert rows(intervals.periods_and_gaps(long, target.limit(0), ["k"])) == [("a", "gap", -2, 0), ("a", "gap", 1000000000, 1000000001), ("a", "period", -7, -3), ("a", "period", 1, 999999999), ("a", "period", 1000000002, 1000000003)]
+
+
+def test_runs_upwards(spark):
+    random.seed(12)
+    found = [(random.choice("ab"), random.randrange(400)) for _ in range(160)]
+    d = spark.createDataFrame(found, "k string, n int")
+    got = intervals.tolerant_runs(d, ["k"], "n", 3, 2)
+    want, last = [], {}
+    for k in "ab":
+        runs = []
+        for x in sorted({n for q, n in found if q == k}):
+            if runs and x - runs[-1][1] - 1 <= 3:
+                runs[-1][1] = x
+            else:
+                runs.append([x, x])
+        runs = [r for r in runs if r[1] - r[0] >= 2]
+        want += [(k, *r) for r in runs]
+        lo, hi = runs[-1]
+        for a, b in reversed(runs[:-1]):
+            if lo - b > 6 or b - a >= 25:
+                break
+            lo = a
+        last[k] = (k, lo, hi)
+    assert rows(got) == sorted(want, key=repr)
+    assert rows(intervals.merge_upwards(got, ["k"], 6, 25, 16)) == [last["a"], last["b"]]
+
+
+def test_as_of_over_shards(spark):
+    random.seed(13)
+    left = [(random.choice(["hot", "hot", "b", None]), random.choice([None, *range(-40, 300)]), i) for i in range(300)]
+    right = [(random.choice(["hot", "b", "c"]), random.choice([None, *range(-40, 300, 7)])) for _ in range(40)]
+    l, r = spark.createDataFrame(left, "k string, at int, i int"), spark.createDataFrame(right, "k string, pt int")
+    pts = {k: sorted({p for q, p in right if q == k and p is not None}) for k in ("hot", "b", "c")}
+    fwd = {x.i: x.found for x in lookups._asof(l, r, ["k"], "at", "pt", True, 16).select("_row.*", "found").collect()}
+    back = {x.i: x.found for x in lookups._asof(l, r, ["k"], "at", "pt", False, 16).select("_row.*", "found").collect()}
+    for k, at, i in left:
+        own = pts.get(k, []) if at is not None else []
+        assert fwd[i] == min((p for p in own if p > at), default=None) and back[i] == max((p for p in own if p <= at), default=None), (k, at)
 
 
 def test_previous_over_shards(spark):
@@ -197,7 +241,9 @@ def test_tile_and_coverage(spark):
         planning.tile(F.col("s"), F.col("e"), 3, 3)
     spans = spark.createDataFrame([("d", 1, 5), ("d", 5, 7), ("d", 40, 41)], "doc string, lo int, hi int")
     body = spark.createDataFrame([("d", 1, 10), ("e", 1, 2)], "doc string, body_start int, body_end int")
-    assert rows(planning.coverage(spans, body, "doc")) == [("d", 10, 7, 3, 1, 1, 41), ("e", 2, 0, 2, 0, None, None)]
+    assert rows(planning.coverage(spans, body, "doc")) == [("d", 10, 7, 3, 70.0, 1, 1, 41, "8,9,10"), ("e", 2, 0, 2, 0.0, 0, None, None, "1,2")]
+    long = spark.createDataFrame([("d", 1, 999_999_999), ("d", 500, 600)], "doc string, lo int, hi int")
+    assert rows(planning.coverage(long, spark.createDataFrame([("d", 1, 1_000_000_100)], "doc string, body_start int, body_end int"), "doc"))[0][2:6] == (999_999_999, 101, 100.0, 101)
 
 
 def test_plan_windows_cover_sections(spark, data):
