@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.operators.lagged import previous
+from sheaf.session import written
 
 
 def clip(cover: DataFrame, target: DataFrame | None, keys: list[str], width: int) -> DataFrame:
@@ -83,7 +84,8 @@ def periods_and_gaps(cover: DataFrame, target: DataFrame, keys: list[str], width
     An entity without a target interval is held against the range from its first to its last
     covered place; one without any cover has its whole target as gaps. Null keys are an entity, too.
     """
-    return stitch(merge_local(clip(cover, target, keys, width), keys), keys)
+    # Changes by place are few integers; they are written once, as the two levels read them several times.
+    return stitch(merge_local(written(clip(cover, target, keys, width)), keys), keys)
 
 
 def tolerant_runs(df: DataFrame, keys: list[str], place: str, gap: int, least: int, last: str | None = None) -> DataFrame:
