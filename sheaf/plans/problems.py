@@ -106,12 +106,11 @@ def pdf_pages(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Covered periods and gaps in the target pages of every PDF."""
-    spans = (
-        table(spark, root, "fragments").where(F.col("pdf_file").isNotNull() & F.col("pdf_pages").isNotNull())
-        .select("pdf_file", F.inline(page_spans(F.col("pdf_pages"))))
-    )
-    closed = spans.where(F.col("hi").isNotNull())
-    opened = spans.where(F.col("hi").isNull()).distinct().join(pdf_pages(spark, root), "pdf_file", "left")
+    lists = table(spark, root, "fragments").where(F.col("pdf_file").isNotNull() & F.col("pdf_pages").isNotNull()).select("pdf_file", "pdf_pages")
+    closed = lists.select("pdf_file", F.inline(page_spans(F.col("pdf_pages")))).where(F.col("hi").isNotNull())
+    # Only lists with the word can have an open end; no other is read apart a second time.
+    ending = lists.where(F.lower("pdf_pages").contains("end")).select("pdf_file", F.inline(page_spans(F.col("pdf_pages"))))
+    opened = ending.where(F.col("hi").isNull()).distinct().join(pdf_pages(spark, root), "pdf_file", "left")
     opened = opened.select("pdf_file", "lo", F.coalesce(F.greatest("lo", "last_page"), "lo").alias("hi"))
     aims = (
         table(spark, root, "doc_meta").where(F.col("pdf_file").isNotNull())
