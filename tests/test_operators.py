@@ -356,8 +356,19 @@ def test_figures(spark):
     w = [("p", 10, 100, 20, 110, "Figure"), ("p", 21, 100, 25, 110, "3"), ("p", 26, 101, 40, 111, "Frames"), ("p", 60, 100, 70, 110, "Fig."), ("p", 71, 100, 75, 110, "4:"), ("p", 2, 100, 4, 110, "17"), ("p", 10, 5, 20, 9, "Figure"), ("p", 21, 5, 25, 9, "9")]
     d = spark.createDataFrame([(a, float(x0), float(y0), float(x1), float(y1), t) for a, x0, y0, x1, y1, t in w], "page string, x0 double, y0 double, x1 double, y1 double, word string")
     assert sorted((r.num, r.text) for r in figures.captions(d, ["page"], 800.0).collect()) == [(3, "Figure 3 Frames"), (4, "Fig. 4:")]
-    once, h, a, t = figures.inject("# Figure 03 x\ntext", [{"num": 3, "caption": "c", "page": 1, "image": "i.png"}, {"num": 4, "caption": "Figure 4: d", "page": 2, "image": "j.png"}])
-    assert (h, a, t) == (1, 1, 0) and "**Figure 4 — d**" in once and figures.inject(once, [{"num": 3, "caption": "c", "page": 1, "image": "i.png"}])[3] == 1
+    f = spark.createDataFrame([("# Figure 03 x\ntext",)], "raw string").withColumn("file", F.lit("a"))
+    g = spark.createDataFrame([("a", 3, "c", 1, "i.png"), ("a", 4, "Figure 4: d", 2, "j.png")], "file string, num int, caption string, page int, image string")
+    once, h, a, t = figures.inject_figures(f, g).select("raw", "n_heading", "n_appended", "n_there").collect()[0]
+    assert (h, a, t) == (1, 1, 0) and "**Figure 4 — d**" in once
+    twice = figures.inject_figures(figures.inject_figures(f, g).select("file", "raw"), g).collect()[0]
+    assert (twice.raw, twice.n_heading, twice.n_appended, twice.n_there) == (once, 0, 0, 2)
+    assert once == "# Figure 03 x\n\n![c (source p.1)](i.png)\n\ntext\n\n## Figures\n\n**Figure 4 — d** (source p.2)\n\n![Figure 4](j.png)\n"
+    # Several below one heading, the greatest number first; one image twice, a null page, clashing and null texts.
+    f = spark.createDataFrame([("a", "x\n## Fig. 2 and figure 10\r\n# figure 2\nend \n"), ("b", None), ("c", "")], "file string, raw string")
+    g = spark.createDataFrame([("a", 2, " p ", None, "p.png"), ("a", 10, "q", 7, "q.png"), ("a", 10, "r", 8, "q.png"), ("a", 1, None, 1, "s.png"), ("b", 1, "c", 1, "i.png"), ("zz", 1, "c", 1, "i.png"), ("a", None, "n", 1, "n.png")], "file string, num int, caption string, page int, image string")
+    got = {r.file: r for r in figures.inject_figures(f, g).collect()}
+    assert got["a"].raw == "x\n## Fig. 2 and figure 10\r\n\n![q (source p.7)](q.png)\n\n\n![p (source p.?)](p.png)\n\n# figure 2\nend\n\n## Figures\n\n**Figure 1 — ** (source p.1)\n\n![Figure 1](s.png)\n"
+    assert tuple(got["a"])[2:] == (2, 1, 1) and tuple(got["b"])[1:] == (None, 0, 0, 0) and got["c"].raw == ""
     files, figs = spark.createDataFrame([("a.md", "# Fig 1"), ("b.md", "x")], "file string, raw string"), spark.createDataFrame([("a.md", 1, "c", 1, "i.png")], "file string, num int, caption string, page int, image string")
     assert {r.file: r.n_heading for r in figures.inject_figures(files, figs).collect()} == {"a.md": 1, "b.md": 0}
     import numpy as np
@@ -368,3 +379,18 @@ def test_figures(spark):
     r = spark.createDataFrame([(bytearray(img.tobytes()), 50), (None, 50)], "b binary, w int")
     out = r.select(figures.ink_region("b", "w").alias("i"), figures.crop_box("b", "w").alias("c")).collect()
     assert tuple(out[0].i) == (60, 94, 10, 39) and out[1].i.top is None and tuple(out[0].c) == (0, 100, 0, 50)
+    # A narrow block close above joins, with vectors only if it has one; then the guards.
+    img[2:30, :5] = img[2:30, 30:] = 255
+    path = lambda *r: [dict(zip(("x0", "y0", "x1", "y1"), map(float, x))) for x in r]
+    boxes = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+    r = spark.createDataFrame([(bytearray(img.tobytes()), 50, path((10, 10, 20, 20), (12, 70, 30, 80)), []), (bytearray(img.tobytes()), 50, path((10, 10, 11, 11)), path((0, 0, 90, 90))), (bytearray(img.tobytes()), 50, None, None), (bytearray(b"\xff" * 100), 50, [], [])], f"b binary, w int, v {boxes}, m {boxes}")
+    out = r.select(figures.ink_region("b", "w").alias("i"), figures.ink_region("b", "w", vectors="v").alias("g"), "v", "m").select("i", "g", *[figures.is_figure(F.col("g"), F.col("v"), F.col("m"), F.lit(x), F.lit(x + 10), 100).alias(f"f{x}") for x in (20, 80)]).collect()
+    assert [tuple(x.i) for x in out[:3]] == [(2, 94, 5, 39)] * 3 and [tuple(x.g) for x in out] == [(2, 94, 5, 39), (60, 94, 10, 39), (60, 94, 10, 39), (None,) * 4]
+    assert [(x.f20, x.f80) for x in out] == [(True, False), (True, False), (False, False), (False, False)]
+    png = r.limit(1).withColumn("c", F.struct(F.lit(58).alias("top"), F.lit(97).alias("bottom"), F.lit(8).alias("left"), F.lit(42).alias("right"))).select(figures.cropped_png("b", "w", "c").alias("p")).collect()[0].p
+    import struct
+    import zlib
+
+    wide, high = struct.unpack(">II", png[16:24])
+    data = png[png.index(b"IDAT") + 4 : -16]
+    assert (wide, high) == (34, 39) and png[:4] == b"\x89PNG" and zlib.decompress(data) == b"".join(b"\0" + img[y, 8:42].tobytes() for y in range(58, 97))
