@@ -10,12 +10,21 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.bind import strip
 
+# The patterns, marks and limits of this module (section numbers, slugs, anchors, printed numbers, templates,
+# declarations, scalars) define the results and are the same in every reading of these documents.
+
 #: Unicode white space, written out so that every regex engine agrees on it.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # The accented letters that lean a page to the second language.
 ACCENTS = "éèêàçâîôûïë"
 HEADER_SCAN_CHARS = 600
+# What an unfinished plan still says in brackets.
+HINTS = (
+    "feature name", "authoritative source", "feature-slug", "ready | conditional | draft", "path or none", "branch, commit", "wpx", "title", "capability or", "material decision",
+    "person, design", "trigger", "purpose", "package-or-module", "optional formatter", "targeted tests", "full required verification", "summary or links", "summary and rationale",
+    "commands and results", "configuration or re-grounding", "concise list",
+)
 
 
 def without_space(c: Column) -> Column:
@@ -204,6 +213,13 @@ def matches_globs(path: Column, globs: Sequence[str]) -> Column:
     return hit
 
 
+def letters(n: Column) -> Column:
+    """a to z for 1 to 26, then aa, ab and so on; the empty string for 0."""
+    # Seven letters count further than rows of one group can.
+    step = lambda a, _: F.when(a["n"] > 0, F.struct(F.floor((a["n"] - 1) / 26).alias("n"), F.concat(F.chr(F.lit(97) + (a["n"] - 1) % 26), a["s"]).alias("s"))).otherwise(a)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), F.struct(n.cast("long").alias("n"), F.lit("").alias("s")), step, lambda a: a["s"])
+
+
 def first_non_blank(*cols: Column) -> Column:
     """The first value with anything but white space, as it is; else the empty string."""
     return F.coalesce(*[F.when(strip(c) != "", c) for c in cols], F.lit(""))
@@ -214,7 +230,7 @@ def first_integer(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(c.cast("string"), r"([+-]?\d{1,9})", 1), F.lit("")).cast("int") for c in cols], F.lit(0))
 
 
-def placeholders(c: Column, hints: Sequence[str]) -> Column:
+def placeholders(c: Column, hints: Sequence[str] = HINTS) -> Column:
     """array<string> of what a finished document must not contain any more."""
     hinted = F.filter(
         F.regexp_extract_all(c, F.lit(r"\[([^\]\n]+)\]"), 1), lambda v: F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: F.contains(F.lower(v), h))

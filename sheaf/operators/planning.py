@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import pages_text, section_number, title_slug
+from sheaf.functions.text import letters, pages_text, section_number, title_slug
 from sheaf.operators import intervals
 from sheaf.operators.policy import top_k
 from sheaf.session import ship
@@ -118,7 +118,7 @@ def plan_fragments(outlines: DataFrame, doc: str, outline: str, total: str, wind
     kids = children_of(entries, doc).withColumnRenamed("parent", "clause")
     d = pack_sections(spans.join(kids, [doc, "clause"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<int>"))), "page", "section_end", "children", window, overlap)
     w = d.select(doc, "pos", "clause", "title", F.size("windows").alias("_n"), F.col("windows").alias("_all"), F.posexplode("windows").alias("_i", "_w"))
-    suffix = F.when(F.col("_n") > 1, F.chr(F.lit(97) + F.col("_i"))).otherwise("")
+    suffix = F.when(F.col("_n") > 1, letters(F.col("_i") + 1)).otherwise("")
     return w.select(
         doc, "pos", F.col("_i").alias("part"), "clause", F.trim("title").alias("title"), pages_text(F.col("_w.lo"), F.col("_w.hi")).alias("pdf_pages"),
         F.concat(F.col(doc), F.lit("/"), F.col("clause"), suffix, F.lit("-"), title_slug(F.col("title")), F.lit(".md")).alias("target_file"),

@@ -69,13 +69,34 @@ def tiled_windows(spark, root):
     return s.select("doc", "pos", F.posexplode(planning.tile(F.col("page"), F.col("section_end"), 12, 1)).alias("part", "w")).select("doc", "pos", "part", "w.lo", "w.hi")
 
 
-@C.add()
+PLANNED_SQL = OUTLINES_SQL.replace("WITH probed", "WITH RECURSIVE probed") + r""", kids AS (SELECT doc, regexp_replace(clause, '\.[^.]*$', '') AS parent, page AS c FROM numbered WHERE depth >= 2
+), stops AS (SELECT DISTINCT s.doc, s.pos, c AS stop FROM spans s JOIN kids k ON k.doc = s.doc AND k.parent = s.clause WHERE s.page < c AND c <= s.section_end AND s.section_end - s.page + 1 > 12
+), ends AS (SELECT * FROM stops UNION SELECT DISTINCT doc, pos, (SELECT section_end + 1 FROM spans s WHERE s.doc = t.doc AND s.pos = t.pos) FROM stops t
+), walk AS (SELECT doc, pos, page AS s, section_end AS e, page AS lo, 0 AS nr, (SELECT coalesce(max(stop) FILTER (stop - page <= 12), min(stop)) FROM ends d WHERE d.doc = p.doc AND d.pos = p.pos) AS nxt
+    FROM spans p WHERE EXISTS (SELECT 1 FROM stops q WHERE q.doc = p.doc AND q.pos = p.pos)
+  UNION ALL SELECT doc, pos, s, e, w.nxt, nr + 1, (SELECT coalesce(max(stop) FILTER (stop - w.nxt <= 12), min(stop)) FROM ends d WHERE d.doc = w.doc AND d.pos = w.pos AND stop > w.nxt) FROM walk w WHERE w.nxt <= e
+), parts AS (SELECT doc, pos, nr, CASE WHEN nr = 0 THEN lo ELSE greatest(s, lo - 1) END AS a, nxt - 1 AS z FROM walk
+  UNION ALL SELECT doc, pos, 0, page, greatest(page, section_end) FROM spans p WHERE NOT EXISTS (SELECT 1 FROM stops q WHERE q.doc = p.doc AND q.pos = p.pos)
+), tiles AS (SELECT doc, pos, nr, i, (a + i * 11)::INT AS lo, least(z, a + i * 11 + 11)::INT AS hi FROM parts, unnest(generate_series(0, CASE WHEN z - a + 1 <= 12 THEN 0 ELSE ceil((z - a + 1 - 12) / 11)::INT END)) AS g(i)
+), planned AS (SELECT *, (row_number() OVER w - 1)::INT AS part, count(*) OVER (PARTITION BY doc, pos) AS n, lag(hi) OVER w AS prev_end FROM tiles WINDOW w AS (PARTITION BY doc, pos ORDER BY nr, i))"""
+_SLUG_SQL = r"""coalesce(nullif(rtrim(trim(regexp_replace(lower(regexp_replace(regexp_replace(title, '^\s*Annex\s+[A-Z]+\s*[-–:]?\s*', '', 'i'),
+  '^\s*[0-9A-Z]+(?:\.[0-9]+)*\s*[-–:.]?\s*', '')), '[^a-z0-9]+', '-', 'g'), '-')[1:56], '-'), ''), 'section')"""
+
+
+@C.add(PLANNED_SQL + f""" SELECT doc, pos::INT AS pos, part, clause, trim(title) AS title, CASE WHEN hi > lo THEN lo || '-' || hi ELSE lo::VARCHAR END AS pdf_pages,
+  doc || '/' || clause || CASE WHEN n = 1 THEN '' WHEN part < 26 THEN chr(97 + part) WHEN part < 702 THEN chr(96 + part // 26) || chr(97 + part % 26) ELSE error('three letters') END || '-' || {_SLUG_SQL} || '.md' AS target_file,
+  hi - lo + 1 AS est_pages, prev_end FROM planned JOIN numbered USING (doc, pos)""")
 def planned_fragments(spark, root):
     """Fragments planned from the outlines, windows ending on child sections where they can."""
     return planning.plan_fragments(outlines(spark, root), "doc", "outline", "pages").drop("lo", "hi")
 
 
-@C.add()
+@C.add(PLANNED_SQL + """, named AS (SELECT doc, unnest(generate_series(lo, hi)) AS p FROM planned), once AS (SELECT doc, p, count(*) AS k FROM named GROUP BY ALL
+), aims AS (SELECT doc, unnest(generate_series(body_start, body_end)) AS p FROM body), free AS (SELECT * FROM aims ANTI JOIN once USING (doc, p)
+), o AS (SELECT doc, sum(k - 1)::BIGINT AS repeats, min(p)::INT AS first_page, max(p)::INT AS last_page FROM once GROUP BY doc
+), a AS (SELECT doc, count(*) AS n FROM aims GROUP BY doc), f AS (SELECT doc, count(*) AS u, array_to_string(list_slice(list(p ORDER BY p), 1, 20), ',') AS pages FROM free GROUP BY doc)
+SELECT b.doc, coalesce(n, 0) AS body_pages, coalesce(n, 0) - coalesce(u, 0) AS covered, coalesce(u, 0) AS uncovered, round(100.0 * (coalesce(n, 0) - coalesce(u, 0)) / greatest(1, coalesce(n, 0)), 2) AS percent,
+  coalesce(repeats, 0) AS repeats, first_page, last_page, coalesce(pages, '') AS uncovered_pages FROM body b LEFT JOIN o ON o.doc = b.doc LEFT JOIN a ON a.doc = b.doc LEFT JOIN f ON f.doc = b.doc""")
 def planned_coverage(spark, root):
     """How much of the body the planned fragments cover, per PDF."""
     o = outlines(spark, root)
@@ -424,10 +445,7 @@ def figure_names(spark, root):
     f = table(spark, root, "fragments").select("frag_id", "pdf_file", "figures").distinct().select("frag_id", "pdf_file", F.posexplode("figures").alias("i", "fig"))
     n = F.row_number().over(Window.partitionBy("pdf_file", "fig").orderBy("frag_id", "i"))
     padded = F.when(F.length("fig") < 2, F.lpad("fig", 2, "0")).otherwise(F.col("fig"))
-    # Seven letters count further than row numbers of one group can.
-    step = lambda a, _: F.when(a["n"] > 0, F.struct(F.floor((a["n"] - 1) / 26).alias("n"), F.concat(F.chr(F.lit(97) + (a["n"] - 1) % 26), a["s"]).alias("s"))).otherwise(a)
-    letters = F.aggregate(F.sequence(F.lit(1), F.lit(7)), F.struct(F.col("nr").cast("long").alias("n"), F.lit("").alias("s")), step, lambda a: a["s"])
-    return f.withColumn("nr", n).select("frag_id", "fig", F.concat(F.lit("figure-"), padded, F.when(F.col("nr") > 1, letters).otherwise("")).alias("name"))
+    return f.withColumn("nr", n).select("frag_id", "fig", F.concat(F.lit("figure-"), padded, F.when(F.col("nr") > 1, text.letters(F.col("nr"))).otherwise("")).alias("name"))
 
 
 @C.add("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events")
@@ -546,7 +564,11 @@ def line_boxes(spark, root):
     return b.select("doc_id", F.col("line").alias("y"), "x0", "x1", "text")
 
 
-@C.add()
+@C.add(WORDS_SQL + r""", ln AS (SELECT doc_id, y, list(word ORDER BY x) AS ws FROM words GROUP BY ALL
+), heads AS (SELECT doc_id, y, ws, generate_subscripts(ws, 1) AS i FROM ln
+), found AS (SELECT doc_id, y, ws, i, regexp_extract(ws[i + 1], '^(\d{1,9})', 1)::INT AS num FROM heads WHERE regexp_matches(ws[i], '(?i)^(?:figure|fig\.?)$') AND i < len(ws) AND regexp_matches(ws[i + 1], '^\d')
+), upto AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY doc_id, y ORDER BY i) - 1, len(ws)) AS z FROM found)
+SELECT doc_id, num, trim(regexp_replace(array_to_string(ws[i:z], ' '), '\s+', ' ', 'g')) AS text FROM upto""")
 def figure_captions(spark, root):
     """Mentions of a figure and its number in positioned words, each up to the next in its line."""
     w = words(spark, root).select("doc_id", (F.col("x") * 10.0).alias("x0"), (F.col("y") * 12.0 + 100).alias("y0"), (F.col("x") * 10.0 + 8).alias("x1"), (F.col("y") * 12.0 + 110).alias("y1"), "word")
@@ -588,12 +610,23 @@ def emitted_frontmatter(spark, root):
     return r.select("research_id", fm.alias("frontmatter"))
 
 
-@C.add()
+@C.add(rf"""WITH f AS (SELECT file, arg_max(raw, (written_at, raw)) AS raw FROM fragment_file WHERE raw IS NOT NULL GROUP BY file
+), heads AS (SELECT file, i, unnest(regexp_extract_all(l, '(?i)\bfig(?:ure|\.)?[ \t]*(\d+)', 1))::BIGINT AS num FROM (SELECT file, unnest(string_split(raw, chr(10))) AS l, generate_subscripts(string_split(raw, chr(10)), 1) AS i FROM f) WHERE regexp_matches(l, '^#{{1,6}}[ \t]')
+), g AS (SELECT DISTINCT {NORM.format('target_file')} AS file, title, pdf_pages, unnest(figures) AS fig FROM fragments WHERE target_file IS NOT NULL
+), figs AS (SELECT DISTINCT file, fig::BIGINT AS num, trim(title) AS caption, coalesce(nullif(regexp_extract(pdf_pages, '(\d{{1,9}})', 1), ''), '?')::VARCHAR AS page, 'figures/figure-' || fig || '.png' AS image FROM g WHERE regexp_matches(fig, '^\d{{1,18}}$') AND title IS NOT NULL
+), put AS (SELECT figs.*, raw, EXISTS (SELECT 1 FROM heads h WHERE h.file = figs.file AND h.num = figs.num) AS below, contains(raw, '(' || image || ')') AS there0,
+    row_number() OVER (PARTITION BY figs.file, image ORDER BY figs.num, caption, page) AS nr FROM figs JOIN f USING (file)
+), done AS (SELECT *, there0 OR (below AND nr > 1) AS there FROM put
+), n AS (SELECT file, count(*) FILTER (NOT there AND below) AS n_heading, count(*) FILTER (NOT there AND NOT below) AS n_appended, count(*) FILTER (there) AS n_there,
+    coalesce(sum(length(chr(10) || chr(10) || '![' || caption || ' (source p.' || CASE WHEN page = '?' THEN page ELSE (page::INT)::VARCHAR END || ')](' || image || ')' || chr(10))) FILTER (NOT there AND below), 0) AS more_below,
+    coalesce(sum(length(chr(10) || '**Figure ' || num || ' — ' || regexp_replace(caption, '(?i)^\s*fig(?:ure|\.)?\s*\d+[:.\s-]*', '') || '** (source p.' || CASE WHEN page = '?' THEN page ELSE (page::INT)::VARCHAR END || ')' || chr(10) || chr(10) || '![Figure ' || num || '](' || image || ')' || chr(10))) FILTER (NOT there AND NOT below), 0) AS more_last FROM done GROUP BY file)
+SELECT f.file, coalesce(n_heading, 0) AS n_heading, coalesce(n_appended, 0) AS n_appended, coalesce(n_there, 0) AS n_there,
+  (CASE WHEN coalesce(n_appended, 0) > 0 THEN length(rtrim(raw, chr(32) || chr(10) || chr(13) || chr(9))) + length(chr(10) || chr(10) || '## Figures' || chr(10)) ELSE length(raw) END + coalesce(more_below, 0) + coalesce(more_last, 0))::INT AS n_chars FROM f LEFT JOIN n USING (file)""")
 def injected_figures(spark, root):
     """Figures of fragments put into their files: how many below a heading, appended, or there before."""
     fl = table(spark, root, "fragment_file").where(F.col("raw").isNotNull()).groupBy("file").agg(F.max_by("raw", F.struct("written_at", "raw")).alias("raw"))
     fr = table(spark, root, "fragments").where(F.col("target_file").isNotNull()).select(normalize_path(F.col("target_file")).alias("file"), "title", "pdf_pages", F.explode("figures").alias("f"))
-    fg = fr.where(F.col("f").rlike(r"^\d{1,6}\z")).select("file", F.col("f").cast("int").alias("num"), F.col("title").alias("caption"), F.regexp_extract("pdf_pages", r"(\d{1,9})", 1).try_cast("int").alias("page"), F.concat(F.lit("figures/figure-"), "f", F.lit(".png")).alias("image")).where("caption is not null").distinct()
+    fg = fr.where(F.col("f").rlike(r"^\d{1,18}\z")).select("file", F.col("f").cast("long").alias("num"), F.col("title").alias("caption"), F.regexp_extract("pdf_pages", r"(\d{1,9})", 1).try_cast("int").alias("page"), F.concat(F.lit("figures/figure-"), "f", F.lit(".png")).alias("image")).where("caption is not null").distinct()
     return figures.inject_figures(fl, fg).select("file", "n_heading", "n_appended", "n_there", F.length("raw").alias("n_chars"))
 
 
