@@ -63,6 +63,8 @@ def _report(df: DataFrame, key: str, found: list[Column]) -> DataFrame:
     return df.select(key, F.inline(F.array_compact(F.array(*found))))
 
 
+# The fields, statuses and labels that these documents are checked for.
+METADATA = ("Plan ID", "Status", "Parent manifest", "Grounded against", "Re-ground before")
 REQUIRED = ("date", "researcher", "topic", "tags", "status", "last_updated", "last_updated_by")
 TEXTS = ("date", "researcher", "repository", "git_commit", "branch", "topic", "status", "last_updated", "last_updated_by", "last_updated_note")
 STATUSES = ("draft", "in-progress", "complete")
@@ -130,11 +132,15 @@ def research_document(docs: DataFrame, key: str, raw: str) -> DataFrame:
 
 
 def plan_document(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, severity, check, detail) of every rule a plan breaks: metadata, decisions, packages, files, placeholders."""
+    """(key, severity, check, detail) of every rule a plan breaks: metadata, decisions, packages, files, placeholders.
+
+    A placeholder left in the plan is one row each: ``comment``, ``marker``, ``ellipsis`` or the
+    bracketed hint itself. Null texts give no row.
+    """
     t = F.col(text)
     d = docs.where(t.isNotNull()).select(key, t.alias("_t")).withColumn("_s", sections_of(F.col("_t")))
     t = F.col("_t")
-    d = d.withColumn("_status", T.label_value(t, "Status")).withColumn("_reground", T.label_value(t, "Re-ground before"))
+    d = d.withColumn("_status", T.label_value(t, "Status")).withColumn("_reground", T.label_value(t, "Re-ground before")).withColumn("_left", T.placeholders(t))
     named = lambda n: F.get(F.filter("_s", lambda s: s["heading"] == n), F.size(F.filter("_s", lambda s: s["heading"] == n)) - 1)["body"]
     d = d.withColumn("_decisions", named("Open Decisions")).withColumn("_inventory", named("File Inventory")).withColumn("_progress", named("Progress"))
     package = r"^Work Package (\d+):\s+.+"
@@ -145,8 +151,7 @@ def plan_document(docs: DataFrame, key: str, text: str) -> DataFrame:
     undeclared = F.filter("_decl", lambda x: ~F.contains(F.col("_inventory"), x["path"]))
     ids = F.array_compact(F.transform("_wp", lambda w: T.label_value(w["body"], "ID")))
     found = [
-        _violation(F.col("_status").isNull(), "missing metadata", "Status"),
-        _violation(F.col("_reground").isNull(), "missing metadata", "Re-ground before"),
+        *[_violation(F.coalesce(T.label_value(t, n), F.lit("")) == "", "missing metadata", n) for n in METADATA],
         _violation(~F.col("_status").isin("Ready", "Conditional", "Draft"), "unknown status", F.col("_status")),
         _violation((F.col("_status") == "Ready") & F.col("_decisions").isNotNull(), "ready with open decisions"),
         _violation(waiting & F.col("_decisions").isNull(), "no open decisions"),
@@ -159,10 +164,8 @@ def plan_document(docs: DataFrame, key: str, text: str) -> DataFrame:
         _violation(F.col("_inventory").isNotNull() & (F.size(undeclared) > 0), "not in inventory", F.array_join(F.transform(undeclared, lambda x: x["path"]), ", ")),
         _violation(F.col("_progress").isNotNull() & (F.size(boxes) != F.size("_wp")), "progress boxes", F.size(boxes)),
         _violation(F.exists(boxes, lambda x: x.rlike(r"^[ \t]")), "indented boxes"),
-        _violation(t.contains("<!--") | t.contains("-->"), "placeholder", "comment"),
-        _violation(t.rlike(r"(?i)\b(?:TBD|TODO)\b"), "placeholder", "marker"),
-        _violation(t.contains("…"), "placeholder", "ellipsis"),
     ]
+    left = d.select(key, F.explode("_left").alias("detail")).select(key, F.lit("error").alias("severity"), F.lit("placeholder").alias("check"), "detail")
     w = d.select(key, F.explode("_wp").alias("_w")).select(key, F.regexp_extract("_w.heading", package, 1).alias("_n"), F.col("_w.body").alias("_b"))
     b = F.col("_b")
     wid = F.concat(F.lit("WP"), F.col("_n"))
@@ -171,7 +174,7 @@ def plan_document(docs: DataFrame, key: str, text: str) -> DataFrame:
     per += [_violation(T.label_value(b, n).isNull(), f"package without {n.lower()}", wid) for n in ("Depends on", "Done when", "Checkpoint")]
     per += [_violation(~b.rlike(rf"(?md)^### {n}\s*$"), f"package without {n.lower()}", wid) for n in ("Tests", "Verification", "Implementation Notes")]
     per += [_violation(F.size(subs) == 0, "package without subtasks", wid), _violation(F.exists(subs, lambda s: F.size(T.declarations(s["body"])) == 0), "subtask without declaration", wid)]
-    return _report(d, key, found).unionByName(_report(w, key, per))
+    return _report(d, key, found).unionByName(left).unionByName(_report(w, key, per))
 
 
 def summary(violations: DataFrame, keys: DataFrame, key: str, strict: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions import frontmatter, text
+from sheaf.functions.bind import BLANK
 from sheaf.operators import pages, policy, reconcile, validate
 from sheaf.plans.catalog import Catalog
 from sheaf.sources.tables import table
@@ -328,7 +329,41 @@ def frontmatter_checked(spark, root):
     return d.select("file", "written_at", F.col("_f.err").alias("err"), F.array_join(F.array_sort(F.map_keys(f)), ",").alias("keys"), reconcile.missing_fields(*need).alias("missing"))
 
 
-@C.add()
+# A strict scalar in SQL: empty, bool, string, array or error.
+KIND_SQL = r"""CASE WHEN {0} = '' THEN 'empty' WHEN {0} IN ('true', 'false') THEN 'bool' WHEN regexp_matches({0}, '^(?:"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*'')$') THEN 'string'
+  WHEN regexp_matches({0}, '^\[\s*(?:(?:"[^"\\]*"|''[^''\\]*''|-?\d+)\s*(?:,\s*(?:"[^"\\]*"|''[^''\\]*''|-?\d+)\s*)*,?\s*)?\]$') THEN 'array'
+  WHEN regexp_matches({0}, '^["''\[]') OR regexp_matches({0}, ':\s') OR regexp_matches({0}, '^[{{|>&*!]') THEN 'error' ELSE 'string' END"""
+BLANKS = "'" + BLANK + "'"
+
+
+def lines_sql(c: str) -> str:
+    """Lines of a text in SQL."""
+    return f"CASE WHEN {c} = '' THEN [] ELSE regexp_split_to_array(regexp_replace({c}, '(?:{EOL})$', ''), '{EOL}') END"
+
+
+
+def _strict_sql(docs: str) -> str:
+    """CTEs ``d`` (k, raw, ls, starts, e) and ``p`` (k, line, name, v, kind, nth) of the frontmatter of ``docs`` (k, raw)."""
+    return f"""docs AS ({docs}), cut AS (SELECT k, raw, {lines_sql('raw')} AS ls, starts_with(raw, '---' || chr(10)) AS starts FROM docs WHERE raw IS NOT NULL
+), d AS (SELECT *, CASE WHEN starts THEN coalesce(list_position(ls[2:], '---'), 0) ELSE 0 END AS e FROM cut
+), block AS (SELECT k, unnest(ls[2:e]) AS l, generate_subscripts(ls[2:e], 1) + 1 AS line FROM d WHERE e > 0
+), named AS (SELECT k, line, nullif(regexp_extract(l, '^([A-Za-z_][A-Za-z0-9_-]*):\\s*(.*)$', 1), '') AS name, regexp_extract(l, '^([A-Za-z_][A-Za-z0-9_-]*):\\s*(.*)$', 2) AS value
+  FROM block WHERE trim(l, {BLANKS}) <> '' AND NOT starts_with(ltrim(l), '#')
+), p AS (SELECT *, trim(value, {BLANKS}) AS v, {KIND_SQL.format(f"trim(value, {BLANKS})")} AS kind, row_number() OVER (PARTITION BY k, name ORDER BY line) AS nth FROM named)"""
+
+
+def _headings_sql(ls: str) -> str:
+    """CTE ``hd`` (k, level, title, line) of the headings outside fences of ``ls`` (k, ls)."""
+    return f"""l0 AS ({ls}), l1 AS (SELECT k, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM l0
+), marks AS (SELECT k, i, left(ltrim(l), 3) AS m, row_number() OVER (PARTITION BY k ORDER BY i) AS nr FROM l1 WHERE left(ltrim(l), 3) IN ('```', '~~~')
+), fences AS (SELECT k, nr, i, m AS open FROM marks WHERE nr = 1
+  UNION ALL SELECT m.k, m.nr, m.i, CASE WHEN f.open IS NULL THEN m.m WHEN f.open <> m.m THEN f.open END FROM fences f JOIN marks m ON m.k = f.k AND m.nr = f.nr + 1
+), hd AS (SELECT k, length(regexp_extract(l, '^(#{{1,6}})\\s+(.+?)\\s*$', 1)) AS level, regexp_extract(l, '^(#{{1,6}})\\s+(.+?)\\s*$', 2) AS title, i::INT AS line FROM l1
+  WHERE regexp_matches(l, '^(#{{1,6}})\\s+(.+?)\\s*$') AND (SELECT arg_max(open, f.i) FILTER (true) FROM fences f WHERE f.k = l1.k AND f.i < l1.i AND f.i = (SELECT max(g.i) FROM fences g WHERE g.k = l1.k AND g.i < l1.i)) IS NULL)"""
+
+
+@C.add("WITH " + _strict_sql("SELECT DISTINCT {'file': file, 'written_at': written_at} AS k, raw FROM fragment_file") + """ SELECT k.file AS file, k.written_at AS written_at, line::INT AS line, name, CASE WHEN name IS NULL THEN '' ELSE value END AS value, CASE WHEN name IS NOT NULL THEN kind END AS kind,
+  CASE WHEN name IS NULL THEN 'malformed' WHEN nth > 1 THEN 'duplicate' WHEN kind = 'error' THEN 'scalar' END AS err FROM p""")
 def frontmatter_strict(spark, root):
     """Every frontmatter line by the strict grammar, with duplicate and malformed ones marked."""
     d = _raw_files(spark, root).select(F.struct("file", "written_at").alias("k"), "raw")
@@ -347,26 +382,104 @@ def labels_and_placeholders(spark, root):
     )
 
 
-@C.add()
+@C.add("WITH RECURSIVE " + _headings_sql(f"SELECT doc_id AS k, {lines_sql('text')} AS ls FROM documents WHERE text IS NOT NULL") + " SELECT k AS doc_id, level::INT AS level, title, line FROM hd")
 def document_headings(spark, root):
     """Headings of every document outside fenced code."""
     return validate.headings(table(spark, root, "documents"), "doc_id", "text")
 
 
-@C.add()
+SECTIONS_SQL = r"""s AS (SELECT k, unnest(hs) AS h, unnest(bs[2:]) AS body, generate_subscripts(hs, 1) - 1 AS pos FROM (SELECT k, regexp_extract_all(t, '(?m)^## (.+)$', 1) AS hs, regexp_split_to_array(t, '(?m)^## .+$') AS bs FROM docs)
+), secs AS (SELECT k, pos, trim(h, {blanks}) AS heading, body FROM s)""".replace("{blanks}", BLANKS)
+
+
+@C.add(f"WITH docs AS (SELECT doc_id AS k, text AS t FROM documents WHERE text IS NOT NULL), {SECTIONS_SQL} SELECT k AS doc_id, pos::INT AS pos, heading, length(body) AS body_length FROM secs")
 def section_bodies(spark, root):
     """Second-level sections with the length of their bodies."""
     return validate.sections(table(spark, root, "documents"), "doc_id", "text").select("doc_id", "pos", "heading", F.length("body").alias("body_length"))
 
 
-@C.add()
+def _research_sql() -> str:
+    unquoted = "CASE WHEN length(v) >= 2 AND v[1] = v[-1] AND v[1] IN ('\"', '''') THEN v[2:-2] ELSE v END"
+    fields = ", ".join(f"'{n}'" for n in ("date", "researcher", "topic", "tags", "status", "last_updated", "last_updated_by"))
+    texts = ", ".join(f"'{n}'" for n in ("date", "researcher", "repository", "git_commit", "branch", "topic", "status", "last_updated", "last_updated_by", "last_updated_note"))
+    iso = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d{3,6})?)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+    docs = "SELECT doc_id AS k, text AS raw FROM documents WHERE kind = 'research'"
+    return f"""WITH RECURSIVE {_strict_sql(docs)}, body AS (SELECT k, raw, starts, e, CASE WHEN NOT starts THEN ls WHEN e > 0 THEN ls[(e + 2):] ELSE [] END AS b FROM d
+), {_headings_sql('SELECT k, b AS ls FROM body')}, m AS (SELECT k, name, v, kind, {unquoted} AS u FROM p WHERE name IS NOT NULL AND nth = 1 AND kind <> 'error'
+), h1 AS (SELECT k, (SELECT count(*) FROM hd WHERE hd.k = body.k AND level = 1) AS n FROM body
+), c AS (SELECT k, list_filter(list_transform(b, lambda x: trim(x, {BLANKS})), lambda x: x <> '') AS c, lower(array_to_string(b, chr(10))) AS low FROM body
+), c1 AS (SELECT *, coalesce(list_position(list_transform(c, lambda x: starts_with(x, '# ')), true), 0) AS top FROM c
+), c2 AS (SELECT *, c[(top + 1):] AS after FROM c1), c3 AS (SELECT *, coalesce(list_position(list_transform(after, lambda x: starts_with(x, '## ')), true), 0) AS stop FROM c2
+), t AS (SELECT k, kind, list_filter(list_transform(string_split(regexp_replace(v, '^\\[|\\]$', '', 'g'), ','), lambda x: trim(x, {BLANKS})), lambda x: x <> '') AS tags FROM m WHERE name = 'tags'
+), tg AS (SELECT k, kind = 'array' AND len(tags) > 0 AND len(list_filter(tags, lambda x: regexp_matches(x, '^(?:"[^"]*\\S[^"]*"|''[^'']*\\S[^'']*'')$'))) = len(tags) AS good, len(list_filter(tags, lambda x: x IN ('"research"', '''research'''))) AS n FROM t
+), lack AS (SELECT d.k, list(n ORDER BY n) AS l FROM d, unnest(['branch', 'dirty', 'git_commit', 'repository']) AS f(n) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.k = d.k AND m.name = n) GROUP BY d.k)
+SELECT k AS doc_id, 'error' AS severity, 'start' AS "check", '' AS detail FROM d WHERE NOT starts
+UNION ALL SELECT k, 'error', 'not closed', '' FROM d WHERE starts AND e = 0
+UNION ALL SELECT DISTINCT k, 'error', 'malformed line', '' FROM p WHERE name IS NULL
+UNION ALL SELECT DISTINCT k, 'error', 'duplicate key', '' FROM p WHERE name IS NOT NULL AND nth > 1
+UNION ALL SELECT DISTINCT k, 'error', 'malformed value', '' FROM p WHERE name IS NOT NULL AND nth = 1 AND kind = 'error'
+UNION ALL SELECT k, 'error', 'missing field', n FROM d, unnest([{fields}]) AS f(n) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.k = d.k AND m.name = n)
+UNION ALL SELECT k, 'error', 'not a string', name FROM m WHERE name IN ({texts}) AND kind NOT IN ('string', 'empty')
+UNION ALL SELECT k, 'error', 'empty field', name FROM m WHERE name IN ({texts}) AND name IN ({fields}) AND kind IN ('string', 'empty') AND trim(u, {BLANKS}) = ''
+UNION ALL SELECT k, 'error', 'not ISO 8601', name FROM m WHERE name IN ('date', 'last_updated') AND kind IN ('string', 'empty') AND NOT (regexp_matches(u, '{iso}') AND try_cast(u[1:10] AS DATE) IS NOT NULL
+  AND coalesce(try_cast(u[12:13] AS INT), 0) < 24 AND coalesce(try_cast(u[15:16] AS INT), 0) < 60)
+UNION ALL SELECT k, 'error', 'unknown status', u FROM m WHERE name = 'status' AND kind IN ('string', 'empty') AND u NOT IN ('draft', 'in-progress', 'complete')
+UNION ALL SELECT k, 'error', 'bad tags', '' FROM tg WHERE NOT good UNION ALL SELECT k, 'warning', 'no research tag', '' FROM tg WHERE good AND n = 0
+UNION ALL SELECT k, 'error', 'dirty is no bool', '' FROM m WHERE name = 'dirty' AND kind <> 'bool'
+UNION ALL SELECT k, 'error', 'repository incomplete', array_to_string(l, ', ') FROM lack WHERE len(l) BETWEEN 1 AND 3
+UNION ALL SELECT k, 'error', 'titles', n::VARCHAR FROM h1 WHERE n <> 1
+UNION ALL SELECT k, 'warning', 'title not first', '' FROM c WHERE len(c) > 0 AND NOT starts_with(c[1], '# ')
+UNION ALL SELECT k, 'warning', 'no summary', '' FROM c3 JOIN h1 USING (k) WHERE n > 0 AND top > 0 AND len(list_filter(CASE WHEN stop > 0 THEN after[1:(stop - 1)] ELSE after END, lambda x: NOT starts_with(x, '#') AND NOT starts_with(x, '<!--'))) = 0
+UNION ALL SELECT k, 'warning', 'no open questions', '' FROM c WHERE NOT contains(low, 'open question') AND NOT contains(low, 'unresolved')
+UNION ALL SELECT k, 'warning', 'no final line end', '' FROM d WHERE raw <> '' AND right(raw, 1) <> chr(10)"""
+
+
+@C.add(_research_sql())
 def research_violations(spark, root):
-    """Violations of the research-document rules, over files as they are."""
-    d = _raw_files(spark, root).select(F.concat_ws("@", "file", "written_at").alias("k"), "raw")
-    return validate.research_document(d, "k", "raw")
-
-
-@C.add()
+    """Violations of the research-document rules, over the documents of kind research."""
+    return validate.research_document(table(spark, root, "documents").where("kind = 'research'").select("doc_id", "text"), "doc_id", "text")
+
+
+def _plan_sql() -> str:
+    label = lambda t, n: rf"nullif(trim(trim(regexp_extract({t}, '(?m)^\*\*{n}:\*\*\s*(\S.*?)\s*$', 1), {BLANKS}), '`'), '')"
+    hints = ", ".join(f"'{h}'" for h in text.HINTS)
+    metadata = " UNION ALL ".join(f"SELECT k, 'error', 'missing metadata', '{n}' FROM docs WHERE {label('t', n)} IS NULL" for n in ("Plan ID", "Status", "Parent manifest", "Grounded against", "Re-ground before"))
+    per = " ".join(f"UNION ALL SELECT k, 'error', 'package without {n.lower()}', 'WP' || n FROM wp WHERE {label('body', n)} IS NULL" for n in ("Depends on", "Done when", "Checkpoint"))
+    per += " " + " ".join(rf"UNION ALL SELECT k, 'error', 'package without {n.lower()}', 'WP' || n FROM wp WHERE NOT regexp_matches(body, '(?m)^### {n}\s*$')" for n in ("Tests", "Verification", "Implementation Notes"))
+    decl = r"(?m)^\*\*(?:File|New file|Destination|Artifact):\*\*\s*.+$"
+    return rf"""WITH docs AS (SELECT doc_id AS k, text AS t FROM documents WHERE kind = 'plans' AND text IS NOT NULL), {SECTIONS_SQL}
+, x AS (SELECT k, t, {label('t', 'Status')} AS status, {label('t', 'Re-ground before')} AS reground, (SELECT arg_max(body, pos) FROM secs WHERE secs.k = docs.k AND heading = 'Open Decisions') AS decisions,
+  (SELECT arg_max(body, pos) FROM secs WHERE secs.k = docs.k AND heading = 'File Inventory') AS inventory, (SELECT arg_max(body, pos) FROM secs WHERE secs.k = docs.k AND heading = 'Progress') AS progress,
+  (SELECT count(*) FROM secs WHERE secs.k = docs.k AND regexp_matches(heading, '^Work Package (\d+):\s+.+')) AS n_wp FROM docs
+), wp AS (SELECT k, pos, regexp_extract(heading, '^Work Package (\d+):\s+.+', 1) AS n, body, {label('body', 'ID')} AS id FROM secs WHERE regexp_matches(heading, '^Work Package (\d+):\s+.+')
+), dl AS (SELECT k, unnest(regexp_extract_all(t, '{decl}')) AS l FROM docs), dp AS (SELECT k, regexp_extract(l, '^\*\*([^:]+):', 1) AS kind, unnest(regexp_extract_all(l, '`([^`]+)`', 1)) AS path, generate_subscripts(regexp_extract_all(l, '`([^`]+)`', 1), 1) AS i FROM dl
+), rows_ AS (SELECT k, len(list_filter({lines_sql('decisions')}, lambda r: starts_with(r, '|') AND NOT contains(r, 'Decision') AND NOT regexp_matches(r, '^\|[\s|:-]+\|$'))) AS n FROM x WHERE decisions IS NOT NULL
+), boxes AS (SELECT k, list_filter({lines_sql('progress')}, lambda r: regexp_matches(r, '^\s*- \[[ xX]\]')) AS b FROM x WHERE progress IS NOT NULL
+), subs AS (SELECT k, pos, n, unnest(regexp_extract_all(body, '(?m)^### (.+)$', 1)) AS h, unnest(regexp_split_to_array(body, '(?m)^### .+$')[2:]) AS b FROM wp
+), sub AS (SELECT k, pos, n, b FROM subs WHERE regexp_matches(trim(h, {BLANKS}), '^\d+\.\d+\s+') AND starts_with(trim(h, {BLANKS}), n || '.'))
+SELECT k AS doc_id, severity, "check", detail FROM ({metadata.replace("SELECT k, 'error', 'missing metadata', 'Plan ID'", "SELECT k, 'error' AS severity, 'missing metadata' AS " + '"check"' + ", 'Plan ID' AS detail", 1)}
+UNION ALL SELECT k, 'error', 'unknown status', status FROM x WHERE status NOT IN ('Ready', 'Conditional', 'Draft')
+UNION ALL SELECT k, 'error', 'ready with open decisions', '' FROM x WHERE status = 'Ready' AND decisions IS NOT NULL
+UNION ALL SELECT k, 'error', 'no open decisions', '' FROM x WHERE status IN ('Conditional', 'Draft') AND decisions IS NULL
+UNION ALL SELECT k, 'error', 'no decision row', '' FROM x JOIN rows_ USING (k) WHERE status IN ('Conditional', 'Draft') AND n = 0
+UNION ALL SELECT k, 'error', 'no trigger', '' FROM x WHERE status = 'Conditional' AND lower(reground) = 'none'
+UNION ALL SELECT k, 'error', 'no packages', '' FROM x WHERE n_wp = 0
+UNION ALL SELECT k, 'error', 'package ids repeat', '' FROM wp GROUP BY k HAVING count(id) <> count(DISTINCT id)
+UNION ALL SELECT k, 'error', 'no inventory', '' FROM x WHERE n_wp > 1 AND inventory IS NULL
+UNION ALL SELECT DISTINCT k, 'error', 'destination in ready plan', '' FROM x JOIN dp USING (k) WHERE status = 'Ready' AND kind = 'Destination'
+UNION ALL SELECT k, 'error', 'not in inventory', string_agg(path, ', ') FROM x JOIN dp USING (k) WHERE inventory IS NOT NULL AND NOT contains(inventory, path) GROUP BY k
+UNION ALL SELECT k, 'error', 'progress boxes', len(b)::VARCHAR FROM x JOIN boxes USING (k) WHERE len(b) <> n_wp
+UNION ALL SELECT k, 'error', 'indented boxes', '' FROM boxes WHERE len(list_filter(b, lambda r: regexp_matches(r, '^[ \t]'))) > 0
+UNION ALL SELECT k, 'error', 'placeholder', 'comment' FROM docs WHERE contains(t, '<!--') OR contains(t, '-->')
+UNION ALL SELECT k, 'error', 'placeholder', 'marker' FROM docs WHERE regexp_matches(t, '(?i)\b(?:TBD|TODO)\b')
+UNION ALL SELECT k, 'error', 'placeholder', 'ellipsis' FROM docs WHERE contains(t, '…')
+UNION ALL SELECT k, 'error', 'placeholder', '[' || v || ']' FROM (SELECT k, unnest(regexp_extract_all(t, '\[([^\]\n]+)\]', 1)) AS v FROM docs) WHERE len(list_filter([{hints}], lambda h: contains(lower(v), h))) > 0
+UNION ALL SELECT k, 'error', 'package without id', 'WP' || n FROM wp WHERE id IS NULL UNION ALL SELECT k, 'error', 'wrong package id', id FROM wp WHERE id <> 'WP' || n {per}
+UNION ALL SELECT k, 'error', 'package without subtasks', 'WP' || n FROM wp WHERE NOT EXISTS (SELECT 1 FROM sub WHERE sub.k = wp.k AND sub.pos = wp.pos)
+UNION ALL SELECT DISTINCT k, 'error', 'subtask without declaration', 'WP' || n FROM sub WHERE NOT regexp_matches(b, '(?m)^\*\*(?:File|New file|Destination|Artifact):\*\*\s*.*`[^`]+`'))"""
+
+
+@C.add(_plan_sql())
 def plan_violations(spark, root):
     """Violations of the plan rules, over documents of kind plans."""
     d = table(spark, root, "documents").where("kind = 'plans'")
