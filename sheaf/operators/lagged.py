@@ -1,4 +1,4 @@
-"""The row before, for keys of any size."""
+"""The row before, and the place of a row, for keys of any size."""
 
 from __future__ import annotations
 
@@ -23,3 +23,23 @@ def previous(df: DataFrame, keys: list[str], order: str, payload: list[str], sha
     out = local.join(heads, [*keys, "_shard"], "left")
     before = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_before"))
     return out.select(*df.columns, *[before[c].alias(c + suffix) for c in payload])
+
+
+def placed(df: DataFrame, keys: list[str], order: str, shard: Column, place: str = "_i", total: str = "_n") -> DataFrame:
+    """Adds each row's ``place`` from 0, by ``order`` within ``keys``, and the ``total`` of rows of its keys.
+
+    ``shard`` is a whole number that never falls as ``order`` rises. Rows are counted within their
+    (keys, shard), and each shard goes on from those before it, counted along one row a shard. Null
+    keys are a key of their own; equal ``order`` is placed in no set order.
+    """
+    d = df.withColumn("_shard", shard.cast("long"))
+    sizes = d.groupBy(*keys, "_shard").agg(F.count(F.lit(1)).alias("_c"))
+    along = Window.partitionBy(*keys).orderBy("_shard")
+    heads = sizes.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_shard").alias("_of"), (F.sum("_c").over(along) - F.col("_c")).alias("_start"), F.sum("_c").over(Window.partitionBy(*keys)).alias(total)
+    )
+    local = d.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_shard").orderBy(order)) - 1)
+    same = F.col("_shard").eqNullSafe(F.col("_of"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return local.join(heads, same).withColumn(place, F.col("_at") + F.col("_start")).select(*df.columns, place, total)

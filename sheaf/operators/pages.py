@@ -6,20 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import lines, without_space
+from sheaf.operators import intervals
+from sheaf.operators.lagged import placed, previous
 
 
 def stride_sample(pages: DataFrame, doc: str, page: str) -> DataFrame:
-    """All pages of documents of up to 60, else every ``max(1, n div 50)``-th, counted from the first."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(doc))
-    place = F.row_number().over(Window.partitionBy(doc).orderBy(page)) - 1
+    """All pages of documents of up to 60, else every ``max(1, n div 50)``-th, counted from the first.
+
+    Pages are chosen by their numbers alone; texts are read for the chosen ones only. Documents and
+    pages are not null, a page is there once.
+    """
     stride = F.when(F.col("_n") <= 60, 1).otherwise(F.greatest(F.lit(1), F.expr("_n div 50")))
-    return pages.withColumn("_n", n).withColumn("_i", place).where(F.col("_i") % stride == 0).drop("_n", "_i")
+    chosen = placed(pages.select(doc, page), [doc], page, F.floor(F.col(page) / 4096)).where(F.col("_i") % stride == 0)
+    return pages.join(chosen.select(doc, page), [doc, page], "left_semi")
 
 
 def _page_lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     return pages.select(doc, page, F.explode(lines(F.col(text))).alias("_line")).select(doc, page, without_space(F.col("_line")).alias("norm"))
 
 
+def _marked(df: DataFrame, n: DataFrame, doc: str, page: str, line: list[str], ratio: float, least: int) -> DataFrame:
+    """(doc, *line) of lines on at least ``max(least, int(ratio * pages))`` pages of documents of 3 pages or more."""
+    df = df.select(doc, page, *line).distinct().groupBy(doc, *line).agg(F.count(F.lit(1)).alias("_df"))
+    return df.join(n, doc).where((F.col("_n") >= 3) & (F.col("_df") >= F.greatest(F.lit(least), F.floor(F.col("_n") * ratio)))).select(doc, *line)
+
+
 def boilerplate(pages: DataFrame, doc: str, page: str, text: str, ratio: float = 0.8, least: int = 3) -> DataFrame:
     """(doc, norm): lines found on at least ``max(least, int(ratio * pages))`` pages of a document.
 
@@ -27,27 +38,23 @@ def boilerplate(pages: DataFrame, doc: str, page: str, text: str, ratio: float =
     of fewer than 3 pages have none. Each line counts once a page; the distinct combines map-side.
     """
     n = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
-    df = (
-        _page_lines(pages, doc, page, text).where(F.length("norm") >= 8).distinct()
-        .groupBy(doc, "norm").agg(F.count(F.lit(1)).alias("_df"))
-    )
-    enough = F.greatest(F.lit(least), F.floor(F.col("_n") * ratio))
-    return df.join(n, doc).where((F.col("_n") >= 3) & (F.col("_df") >= enough)).select(doc, "norm")
+    return _marked(_page_lines(pages, doc, page, text).where(F.length("norm") >= 8), n, doc, page, ["norm"], ratio, least)
 
 
 def text_layer(pages: DataFrame, doc: str, page: str, text: str, ratio: float = 0.8, least: int = 3) -> DataFrame:
-    """Per document: pages, pages with more than 20 characters of own text, characters and a verdict."""
-    marks = boilerplate(pages, doc, page, text, ratio, least)
-    kept = (
-        _page_lines(pages, doc, page, text).join(marks, [doc, "norm"], "left_anti")
-        .groupBy(doc, page).agg(F.sum(F.length("norm")).alias("_chars"))
-    )
-    every = pages.select(doc, page).join(kept, [doc, page], "left").withColumn("_c", F.coalesce("_chars", F.lit(0)))
-    stats = every.groupBy(doc).agg(
-        F.count(F.lit(1)).alias("pages_sampled"), F.sum((F.col("_c") > 20).cast("long")).alias("pages_with_text"), F.sum("_c").alias("chars_total")
-    )
+    """Per document: pages, pages with more than 20 characters of own text, their share, characters and a verdict.
+
+    As ``boilerplate``, but lines travel as a 64-bit hash and their length (two lines of a document
+    count as one if they agree in both).
+    """
+    n = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
+    ls = _page_lines(pages, doc, page, text).select(doc, page, F.xxhash64("norm").alias("_h"), F.length("norm").alias("_len"))
+    marks = _marked(ls.where("_len >= 8"), n, doc, page, ["_h", "_len"], ratio, least)
+    kept = ls.where("_len > 0").join(marks, [doc, "_h", "_len"], "left_anti").groupBy(doc, page).agg(F.sum("_len").alias("_chars"))
+    got = kept.groupBy(doc).agg(F.sum((F.col("_chars") > 20).cast("long")).alias("_with"), F.sum("_chars").alias("_all"))
     share = F.col("pages_with_text") / F.col("pages_sampled")
-    return stats.select("*", verdict(share).alias("verdict"))
+    stats = n.join(got, doc, "left").select(doc, F.col("_n").alias("pages_sampled"), F.coalesce("_with", F.lit(0)).alias("pages_with_text"), F.coalesce("_all", F.lit(0)).alias("chars_total"))
+    return stats.select("*", F.round(share, 4).alias("fraction"), verdict(share).alias("verdict"))
 
 
 def verdict(fraction: Column) -> Column:
@@ -60,12 +67,14 @@ def usable_text(pages: DataFrame, doc: str, text: str) -> DataFrame:
 
     Usable: median of at least 200 and, from 5 pages on, more than 2 distinct texts.
     """
-    t = pages.select(doc, F.coalesce(F.btrim(text, F.lit(" \t\r\n\f\x0b")), F.lit("")).alias("_t")).withColumn("_len", F.length("_t"))
+    t = pages.select(doc, F.coalesce(F.btrim(text, F.lit(" \t\r\n\f\x0b")), F.lit("")).alias("_t")).select(doc, F.length("_t").alias("_len"), F.sha2("_t", 256).alias("_h"))
+    # Texts travel as their digests, lengths as counts: a document's pages are never sorted.
+    each = t.groupBy(doc, "_len", "_h").agg(F.count(F.lit(1)).alias("_c"))
+    by = each.groupBy(doc, "_len").agg(F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_d"))
     w = Window.partitionBy(doc)
-    d = t.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy("_len")))
-    g = d.groupBy(doc).agg(
-        F.max("_n").alias("n_pages"), F.countDistinct("_t").alias("n_distinct"), F.max(F.when(F.col("_r") == F.expr("_n div 2") + 1, F.col("_len"))).alias("median_length")
-    )
+    upto = F.sum("_c").over(w.orderBy("_len").rowsBetween(Window.unboundedPreceding, 0))
+    d = by.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(w))
+    g = d.groupBy(doc).agg(F.max("_n").alias("n_pages"), F.sum("_d").alias("n_distinct"), F.min(F.when(F.col("_upto") >= F.expr("_n div 2") + 1, F.col("_len"))).alias("median_length"))
     return g.withColumn("usable", (F.col("median_length") >= 200) & ((F.col("n_pages") < 5) | (F.col("n_distinct") > 2)))
 
 
@@ -89,19 +98,21 @@ def forward_fill(df: DataFrame, key: str, order: str, col: str, out: str, before
     return out_of.withColumn(out, F.coalesce("_local", "_carry", F.lit(before))).drop("_shard", "_local", "_key", "_of", "_carry")
 
 
-def runs(df: DataFrame, key: str, order: str, same: list[str]) -> DataFrame:
-    """(key, *same, start, end): longest runs of rows, in order, alike in ``same``."""
-    w = Window.partitionBy(key).orderBy(order)
-    flag = F.lit(False)
+def runs(df: DataFrame, key: str, order: str, same: list[str], width: int = 4096) -> DataFrame:
+    """(key, *same, start, end): longest runs of rows, in order, alike in ``same``.
+
+    A run begins at a row unlike the one before and ends with the row before the next such row; only
+    those rows are looked at again. ``order`` is a number, shards of it are ``width`` wide; keys are
+    not null and ``order`` does not repeat within them.
+    """
+    d = previous(df.select(key, order, *same), [key], order, [order, *same], F.floor(F.col(order) / width))
+    unlike = F.col(f"{order}_before").isNull()
     for c in same:
-        flag = flag | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    first = F.row_number().over(w) == 1
-    return (
-        df.withColumn("_new", F.when(first | flag, 1).otherwise(0))
-        .withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(key, "_run", *same).agg(F.min(order).alias("start"), F.max(order).alias("end"))
-        .drop("_run")
-    )
+        unlike = unlike | ~F.col(c).eqNullSafe(F.col(f"{c}_before"))
+    begin = d.where(unlike).select(key, *same, order, F.col(f"{order}_before").alias("_ended"), (-F.col(order)).alias("_down"))
+    begin = previous(begin, [key], "_down", ["_ended"], F.floor(F.col("_down") / width))
+    last = df.groupBy(key).agg(F.max(order).alias("_last"))
+    return begin.join(last, key).select(key, *same, F.col(order).alias("start"), F.coalesce("_ended_before", "_last").alias("end"))
 
 
 def region_matches(lang: Column, version: Column, target_lang: str, target_version: str) -> Column:
@@ -115,16 +126,9 @@ def target_region(regions: DataFrame, key: str, target_lang: str, target_version
     The longest run's island among runs joined over gaps; the first of equally long ones.
     """
     c = regions.where(region_matches(F.col("lang"), F.col("version"), target_lang, target_version)).select(key, "start", "end")
-    w = Window.partitionBy(key).orderBy("start")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = c.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0))
-    d = d.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    longest = F.row_number().over(Window.partitionBy(key).orderBy((F.col("end") - F.col("start")).desc(), "start"))
-    all_of = Window.partitionBy(key, "_island")
-    return (
-        d.withColumn("_longest", longest).withColumn("_s", F.min("start").over(all_of)).withColumn("_e", F.max("end").over(all_of))
-        .where("_longest = 1").select(key, F.col("_s").alias("start"), F.col("_e").alias("end"))
-    )
+    islands = intervals.periods(c.select(key, F.col("start").alias("lo"), (F.col("end") + gap - 1).alias("hi")), [key])
+    spine = c.groupBy(key).agg(F.max_by("start", F.struct(F.col("end") - F.col("start"), -F.col("start"))).alias("_at"))
+    return islands.join(spine, key).where(F.col("_at").between(F.col("lo"), F.col("hi"))).select(key, F.col("lo").cast("int").alias("start"), (F.col("hi") - (gap - 1)).cast("int").alias("end"))
 
 
 def page_offset(pages: DataFrame, key: str, page: str, candidates: str, region: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import letters, pages_text, section_number, title_slug
 from sheaf.operators import intervals
 from sheaf.operators.policy import top_k
-from sheaf.session import ship
 
 
 def tile(start: Column, end: Column, window: int, overlap: int) -> Column:
@@ -27,52 +27,23 @@ def tile(start: Column, end: Column, window: int, overlap: int) -> Column:
     )
 
 
-def pack_section(s: int, e: int, children: list[int], window: int, overlap: int) -> list[tuple[int, int]]:
-    """Windows of [s, e] that end before a child's first page where they can.
+def pack(start: Column, end: Column, children: Column, window: int, overlap: int) -> Column:
+    """array<struct(lo, hi)>: windows of [start, end] that end before a child's first page where they can.
 
     As many whole children as fit go into a window; inner windows start ``overlap`` pages early;
-    what is still longer than ``window`` is tiled.
+    what is still longer than ``window`` is tiled. ``children``: sorted array of different pages.
     """
+    stops = F.filter(children, lambda c: (c > start) & (c <= end))
+    closed = lambda a: F.concat(a["out"], F.array(F.struct(a["lo"].alias("lo"), (a["last"] - 1).alias("hi"))))
+    none = F.struct(start.alias("lo"), F.lit(None).cast("int").alias("last"), F.array().cast("array<struct<lo:int,hi:int>>").alias("out"))
 
-    def tiled(lo: int, hi: int) -> list[tuple[int, int]]:
-        out = [(lo, min(hi, lo + window - 1))]
-        while out[-1][1] < hi:
-            lo = out[-1][1] - overlap + 1
-            out.append((lo, min(hi, lo + window - 1)))
-        return out
-
-    stops = sorted({c for c in children if s < c <= e})
-    if e - s + 1 <= window or not stops:
-        return tiled(s, max(s, e))
-    stops.append(e + 1)
-    out: list[tuple[int, int]] = []
-    at = i = 0
-    lo = s
-    while lo <= e:
-        while stops[i] <= lo:
-            i += 1
-        at = i
-        while at + 1 < len(stops) and stops[at + 1] - lo <= window:
-            at += 1
-        hi = stops[at] - 1
-        from_ = lo if not out and lo == s else max(s, lo - overlap)
-        out.extend([(from_, hi)] if hi - from_ + 1 <= window else tiled(from_, hi))
-        lo = stops[at]
-    return out
-
-
-def pack_sections(df: DataFrame, start: str, end: str, children: str, window: int, overlap: int, out: str = "windows") -> DataFrame:
-    """Adds array<struct(lo, hi)> of ``pack_section``; sequential by nature, so an Arrow-batched function."""
-    if not 0 <= overlap < window:
-        raise ValueError("overlap must be at least 0 and less than window")
-
-    ship(df.sparkSession)
-
-    @F.pandas_udf("array<struct<lo:int,hi:int>>")
-    def packed(s: pd.Series, e: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([[{"lo": a, "hi": z} for a, z in pack_section(int(x), int(y), [int(k) for k in (ks if ks is not None else ())], window, overlap)] for x, y, ks in zip(s, e, c)])
+    def step(a: Column, stop: Column) -> Column:
+        fits = a["last"].isNull() | (stop - a["lo"] <= window)
+        return F.when(fits, F.struct(a["lo"].alias("lo"), stop.alias("last"), a["out"].alias("out"))).otherwise(F.struct(a["last"].alias("lo"), stop.alias("last"), closed(a).alias("out")))
 
-    return df.withColumn(out, packed(F.col(start), F.col(end), F.col(children)))
+    spans = F.aggregate(F.concat(stops, F.array(end + 1)), none, step, closed)
+    early = F.transform(spans, lambda p, i: tile(F.when(i == 0, p["lo"]).otherwise(F.greatest(start, p["lo"] - overlap)), p["hi"], window, overlap))
+    return F.when((end - start + 1 <= window) | (F.size(stops) == 0), tile(start, F.greatest(start, end), window, overlap)).otherwise(F.flatten(early))
 
 
 def numbered_entries(outlines: DataFrame, doc: str, outline: str) -> DataFrame:
@@ -90,13 +61,17 @@ def body_range(entries: DataFrame, totals: DataFrame, doc: str, total: str) -> D
     )
 
 
-def section_spans(entries: DataFrame, body: DataFrame, doc: str) -> DataFrame:
+def section_spans(entries: DataFrame, body: DataFrame, doc: str, heads: Sequence[str] | None = None) -> DataFrame:
     """(doc, pos, page, title, sec, section_end, body_end): chapters and their sections, each up to the next start.
 
+    ``heads`` keeps the chapters named there only.
+
     The end is the last page before the next different start (sections that start on one page span
     the same), found with ``lead`` over distinct starts.
     """
     units = entries.join(body, doc).where((F.size("sec") <= 2) & F.col("page").between(F.col("body_start"), F.col("body_end")))
+    if heads is not None:
+        units = units.where(F.get("sec", F.lit(0)).isin(*heads))
     starts = units.select(doc, "page").distinct().withColumn("_next", F.lead("page").over(Window.partitionBy(doc).orderBy("page")))
     end = F.least(F.greatest(F.col("page"), F.coalesce(F.col("_next") - 1, F.col("body_end"))), F.col("body_end"))
     return units.join(starts, [doc, "page"]).withColumn("section_end", end).drop("_next")
@@ -110,14 +85,28 @@ def children_of(entries: DataFrame, doc: str) -> DataFrame:
     )
 
 
-def plan_fragments(outlines: DataFrame, doc: str, outline: str, total: str, window: int = 12, overlap: int = 1) -> DataFrame:
-    """Planned fragments of every document: clause, title, pages, file, estimated pages, end of the window before."""
-    entries = numbered_entries(outlines, doc, outline)
-    body = body_range(entries, outlines, doc, total)
-    spans = section_spans(entries, body, doc).withColumn("clause", F.array_join("sec", "."))
-    kids = children_of(entries, doc).withColumnRenamed("parent", "clause")
-    d = pack_sections(spans.join(kids, [doc, "clause"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<int>"))), "page", "section_end", "children", window, overlap)
-    w = d.select(doc, "pos", "clause", "title", F.size("windows").alias("_n"), F.col("windows").alias("_all"), F.posexplode("windows").alias("_i", "_w"))
+def plan_fragments(outlines: DataFrame, doc: str, outline: str, total: str, window: int = 12, overlap: int = 1, heads: Sequence[str] | None = None) -> DataFrame:
+    """Planned fragments of every document: clause, title, pages, file, estimated pages, end of the window before.
+
+    ``outlines`` has one row a document, and all of a document is worked out from its own outline: no
+    join, no shuffle. ``heads`` keeps the chapters named there only.
+    """
+    d = outlines.select(doc, total, F.transform(outline, lambda e, i: F.struct(i.cast("int").alias("pos"), e["page"].alias("page"), F.coalesce(e["title"], F.lit("")).alias("title"), section_number(F.coalesce(e["title"], F.lit(""))).alias("sec"))).alias("_e"))
+    d = d.withColumn("_e", F.filter("_e", lambda e: e["page"].isNotNull() & (e["page"] != 0) & e["sec"].isNotNull()))
+    pages = lambda es: F.transform(es, lambda e: e["page"])
+    chapters = F.filter("_e", lambda e: (F.size(e["sec"]) == 1) & F.get(e["sec"], F.lit(0)).rlike(r"^\d"))
+    d = d.select(doc, "_e", F.coalesce(F.array_min(pages(chapters)), F.array_min(pages("_e"))).alias("_from"), F.coalesce(F.nullif(F.col(total), F.lit(0)), F.array_max(pages("_e"))).alias("_to"))
+    kept = lambda e: F.lit(True) if heads is None else F.get(e["sec"], F.lit(0)).isin(*heads)
+    d = d.withColumn("_u", F.filter("_e", lambda e: (F.size(e["sec"]) <= 2) & e["page"].between(F.col("_from"), F.col("_to")) & kept(e)))
+    d = d.withColumn("_starts", F.array_sort(F.array_distinct(pages("_u"))))
+    children = lambda u: F.array_sort(F.array_distinct(pages(F.filter("_e", lambda e: (F.size(e["sec"]) == F.size(u["sec"]) + 1) & (F.slice(e["sec"], F.lit(1), F.size(u["sec"])) == u["sec"])))))
+    after = lambda u: F.coalesce(F.get("_starts", F.array_position("_starts", u["page"]).cast("int")) - 1, F.col("_to"))
+    unit = lambda u: F.struct(
+        u["pos"].alias("pos"), F.array_join(u["sec"], ".").alias("clause"), u["title"].alias("title"), u["page"].alias("lo"), F.least(F.greatest(u["page"], after(u)), F.col("_to")).alias("hi"), children(u).alias("kids")
+    )
+    d = d.select(doc, F.explode(F.transform("_u", unit)).alias("_s"))
+    d = d.select(doc, "_s.pos", "_s.clause", "_s.title", pack(F.col("_s.lo"), F.col("_s.hi"), F.col("_s.kids"), window, overlap).alias("_all"))
+    w = d.select("*", F.size("_all").alias("_n"), F.posexplode("_all").alias("_i", "_w"))
     suffix = F.when(F.col("_n") > 1, letters(F.col("_i") + 1)).otherwise("")
     return w.select(
         doc, "pos", F.col("_i").alias("part"), "clause", F.trim("title").alias("title"), pages_text(F.col("_w.lo"), F.col("_w.hi")).alias("pdf_pages"),

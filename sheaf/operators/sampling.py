@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import natural_key
+from sheaf.operators.lagged import placed
 from sheaf.operators.policy import top_k
 from sheaf.session import cut
 
@@ -27,11 +28,10 @@ def numbered(df: DataFrame, order: list[Column], out: str = "rn", rows_per_part:
     return ranged.join(F.broadcast(start), "_part").withColumn(out, F.col("_in") + F.col("_start")).drop("_part", "_in", "_start")
 
 
-def every_nth(df: DataFrame, key: str, order: str, pieces: int = 10) -> DataFrame:
-    """Every ``max(1, n div pieces)``-th row of each key, counted from the first."""
-    w = Window.partitionBy(key)
-    d = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_rn", F.row_number().over(w.orderBy(order)))
-    return d.where((F.col("_rn") - 1) % F.greatest(F.lit(1), F.floor(F.col("_n") / pieces)) == 0).drop("_n", "_rn")
+def every_nth(df: DataFrame, key: str, order: str, pieces: int = 10, width: int = 1 << 16) -> DataFrame:
+    """Every ``max(1, n div pieces)``-th row of each key, counted from the first; ``order`` is a number, shards of it are ``width`` wide."""
+    d = placed(df, [key], order, F.floor(F.col(order) / width))
+    return d.where(F.col("_i") % F.greatest(F.lit(1), F.floor(F.col("_n") / pieces)) == 0).drop("_n", "_i")
 
 
 def stratified(df: DataFrame, group: str, stratum: str, order: str, k: int = 3, pieces: int = 10) -> DataFrame:
@@ -45,10 +45,21 @@ def natural_order(df: DataFrame, col: str, *ties: str) -> DataFrame:
     return df.orderBy(natural_key(F.col(col)), *ties)
 
 
-def batches(df: DataFrame, group: str, order: str, size: int) -> DataFrame:
-    """Adds ``batch`` numbers from 0, ``size`` rows each, within a group."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("batch", F.floor((rn - 1) / size).cast("int"))
+def natural_places(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, col, place): different values of each key with their place in natural order from 1; values that sort alike share it.
+
+    All keys are numbered in one sort over the whole table (``numbered``), so a key with a third of
+    all rows is sorted by many tasks. Null keys and values are left out.
+    """
+    d = df.where(F.col(key).isNotNull() & F.col(col).isNotNull()).select(key, col).distinct().withColumn("_nat", natural_key(F.col(col)))
+    n = numbered(d.select(key, "_nat").distinct(), [F.col(key), F.col("_nat")])
+    first = n.groupBy(key).agg(F.min("rn").alias("_first"))
+    return d.join(n, [key, "_nat"]).join(first, key).select(key, col, (F.col("rn") - F.col("_first") + 1).cast("int").alias("place"))
+
+
+def batches(df: DataFrame, group: str, order: str, size: int, width: int = 1 << 16) -> DataFrame:
+    """Adds ``batch`` numbers from 0, ``size`` rows each, within a group; ``order`` is a number."""
+    return placed(df, [group], order, F.floor(F.col(order) / width)).withColumn("batch", F.floor(F.col("_i") / size).cast("int")).drop("_i", "_n")
 
 
 def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:

@@ -348,12 +348,11 @@ def research_field_checks(spark, root):
 
 # ---- sorting, sampling, sets -------------------------------------------------------------------------
 
-@C.add(r"""SELECT DISTINCT doc, clause, dense_rank() OVER (PARTITION BY doc ORDER BY list_transform(regexp_extract_all(clause, '\d+|\D+'),
+@C.add(r"""SELECT DISTINCT coalesce(doc, '') AS doc, clause, dense_rank() OVER (PARTITION BY coalesce(doc, '') ORDER BY list_transform(regexp_extract_all(clause, '\d+|\D+'),
   lambda t: CASE WHEN regexp_matches(t, '^\d') THEN '0' || lpad(t, 20, '0') ELSE '1' || t END))::INT AS place FROM fragments WHERE clause IS NOT NULL""")
 def natural_clause_order(spark, root):
     """Clauses of every document in natural order."""
-    f = table(spark, root, "fragments").where(F.col("clause").isNotNull()).select("doc", "clause").distinct()
-    return f.withColumn("place", F.dense_rank().over(Window.partitionBy("doc").orderBy(text.natural_key(F.col("clause")))))
+    return sampling.natural_places(table(spark, root, "fragments").withColumn("doc", F.coalesce("doc", F.lit(""))), "doc", "clause")
 
 
 FR = "(SELECT DISTINCT frag_id, coalesce(kind, '?') AS kind, pdf_file FROM fragments)"

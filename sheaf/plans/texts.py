@@ -57,7 +57,7 @@ def classified(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _filled(spark: SparkSession, root: str) -> DataFrame:
-    return pages.forward_fill(classified(spark, root), "volume", "page", "version_hit", "version")
+    return pages.forward_fill(classified(spark, root), "volume", "page", "version_hit", "version", shard=F.floor(F.col("page") / 4096))
 
 
 def _regions(spark: SparkSession, root: str) -> DataFrame:
@@ -79,7 +79,7 @@ def _layer_sql(ratio: float, sampled: bool) -> str:
 ), kept AS (SELECT volume, page, sum(length(norm)) AS chars FROM ls ANTI JOIN marks USING (volume, norm) GROUP BY volume, page
 ), each AS (SELECT c.volume, c.page, coalesce(chars, 0) AS chars FROM chosen c LEFT JOIN kept k ON c.volume = k.volume AND c.page = k.page
 ), stats AS (SELECT volume, count(*) AS pages_sampled, sum((chars > 20)::INT)::BIGINT AS pages_with_text, sum(chars)::BIGINT AS chars_total FROM each GROUP BY volume)
-SELECT *, CASE WHEN pages_with_text / pages_sampled >= 0.85 THEN 'born-digital' WHEN pages_with_text / pages_sampled <= 0.15 THEN 'scanned' ELSE 'mixed' END AS verdict FROM stats"""
+SELECT *, round(pages_with_text / pages_sampled, 4) AS fraction, CASE WHEN pages_with_text / pages_sampled >= 0.85 THEN 'born-digital' WHEN pages_with_text / pages_sampled <= 0.15 THEN 'scanned' ELSE 'mixed' END AS verdict FROM stats"""
 
 
 @C.add(_layer_sql(0.8, True))

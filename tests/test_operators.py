@@ -229,8 +229,18 @@ def test_runs_and_regions(spark):
     (1, 30, [], [(1, 12), (12, 23), (23, 30)]), (1, 12, [5], [(1, 12)]), (5, 3, [], [(5, 5)]), (1, 20, [8, 15], [(1, 7), (7, 14), (14, 20)]),
     (1, 40, [30], [(1, 12), (12, 23), (23, 29), (29, 40)]), (1, 24, [13], [(1, 12), (12, 23), (23, 24)]),
 ])
-def test_pack_section(s, e, kids, want):
-    assert planning.pack_section(s, e, kids, 12, 1) == want
+def test_pack(spark, s, e, kids, want):
+    d = spark.createDataFrame([(s, e, kids)], "s int, e int, k array<int>")
+    assert [(w.lo, w.hi) for w in d.select(planning.pack(F.col("s"), F.col("e"), F.col("k"), 12, 1).alias("w")).collect()[0].w] == want
+
+
+def test_plan_of_some_chapters(spark):
+    o = spark.createDataFrame([("d", [(1, "1 A", 3), (2, "1.1 B", 5), (1, "2 C", 9), (1, "no number", 10), (1, "3 D", None)], 400)], "doc string, outline array<struct<level:int,title:string,page:int>>, pages int")
+    p = planning.plan_fragments(o, "doc", "outline", "pages").orderBy("pos", "part").collect()
+    assert [(r.clause, r.lo, r.hi) for r in p[:3]] == [("1", 3, 4), ("1.1", 5, 8), ("2", 9, 20)] and len({r.target_file for r in p}) == len(p) == 38 and p[-1].hi == 400
+    assert "aa-" in p[28].target_file
+    assert {r.clause for r in planning.plan_fragments(o, "doc", "outline", "pages", heads=["1"]).collect()} == {"1", "1.1"}
+    assert planning.plan_fragments(o.limit(0), "doc", "outline", "pages").collect() == []
 
 
 def test_tile_and_coverage(spark):
