@@ -58,6 +58,13 @@ def dangling_anchors(docs: DataFrame, key: str, text: str, links: Callable[[Colu
     return named.join(there.select(key, "anchor"), [key, "anchor"], "left_anti")
 
 
+def dead_results(inputs: DataFrame, results: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n_results) of inputs none of whose results holds anything: null and empty ones are dead, and so is an input without any."""
+    alive = (F.col(value).isNotNull() & (F.col(value) != "")).cast("long")
+    r = results.groupBy(key).agg(F.count(F.lit(1)).alias("n_results"), F.sum(alive).alias("_alive"))
+    return inputs.select(key).where(F.col(key).isNotNull()).distinct().join(r, key, "left").where(F.coalesce("_alive", F.lit(0)) == 0).select(key, F.coalesce("n_results", F.lit(0)).alias("n_results"))
+
+
 def line_counts(docs: DataFrame, key: str, text: str, above: int) -> DataFrame:
     """(key, n_lines) of texts with more than ``above`` lines; a final line end adds none."""
     return docs.select(key, F.size(lines(F.col(text))).alias("n_lines")).where(F.col("n_lines") > above)

@@ -252,6 +252,14 @@ def cached_lookup(spark, root):
     return o.join(cache, o.o_custkey == cache.c_custkey, "left").select("o_orderkey", F.coalesce("c_mktsegment", F.lit("none")).alias("segment"), F.col("c_custkey").isNotNull().alias("hit"))
 
 
+@C.add(f"""WITH i AS (SELECT DISTINCT {NORM.format('file')} AS file FROM manifest WHERE file IS NOT NULL), r AS (SELECT {NORM.format('file')} AS file, raw FROM fragment_file)
+SELECT i.file, count(r.file) AS n_results FROM i LEFT JOIN r USING (file) GROUP BY i.file HAVING count(*) FILTER (raw <> '') = 0""")
+def dead_results(spark, root):
+    """Files of the manifest that nothing was written for, or only files without text."""
+    norm = lambda t, *more: table(spark, root, t).select(normalize_path(F.col("file")).alias("file"), *more)
+    return reconcile.dead_results(norm("manifest"), norm("fragment_file", "raw"), "file", "raw")
+
+
 @C.add("""SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
 def denylist(spark, root):
     """Orders of customers that are not on a list (left anti)."""

@@ -280,6 +280,8 @@ def test_reconcile(spark):
     assert rows(reconcile.dangling_links(docs, "file", "raw", known, "f")) == [("a/b.md", "f.md", "a/f.md")]
     t = spark.createDataFrame([(1, "# A b\n## A b\n```\n# A b\n```\n[x](#a-b-1) [y](#A-b) [z](#a-b-2)")], "k int, t string")
     assert rows(reconcile.dangling_anchors(t, "k", "t")) == [(1, "A-b")]
+    r = spark.createDataFrame([("x", None), ("x", ""), ("y", None), ("y", "z")], "file string, raw string")
+    assert rows(reconcile.dead_results(a.union(spark.createDataFrame([("n",)], "file string")), r, "file", "raw")) == [("n", 0), ("x", 2)]
     n = spark.createDataFrame([(1, "a\nb\n"), (2, "a\nb\nc")], "k int, t string")
     assert rows(reconcile.line_counts(n, "k", "t", 2)) == [(2, 3)]
 
@@ -322,6 +324,11 @@ def test_state(spark):
     w = spark.createDataFrame([("a", "9", 9), ("zz", "x", 9)], "k string, v string, at int")
     assert rows(state.apply_writes(s, w, "k", "v", "at", ["a"])) == [("a", "9", 9)]
     assert rows(state.init_if_absent(s, w, "k", "v", "at")) == [("a", "2", 3), ("zz", "x", 9)]
+    touched = state.apply_writes(s, w, "k", "v", "at", ["a"], touch="updated_at")
+    assert rows(touched) == [("a", "9", 9), ("updated_at", "9", 9)] and rows(state.apply_writes(s, w, "k", "v", "at", ["none"], touch="updated_at")) == [("a", "2", 3)]
+    kept, empty = state.archive(touched, None, "k", "v", "at", F.lit("t1"))
+    assert rows(kept) == [("a", "9", 9, "t1"), ("updated_at", "9", 9, "t1")] and rows(empty) == []
+    assert rows(state.archive(s, kept, "k", "v", "at", F.lit("t1"))[0]) == rows(kept) and len(rows(state.archive(s, kept, "k", "v", "at", F.lit("t2"))[0])) == 3
 
 
 GOOD = """---
