@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.functions.pages import close_spans, count_pages, merge_spans, page_spans
+from sheaf.functions.pages import close_spans, merge_spans, page_spans
 from sheaf.functions.paths import base_name
 from sheaf.llm import abuse, packing, splitting, tokens
 from sheaf.session import cut, spread
@@ -16,7 +16,7 @@ CAPACITY = 2048
 
 
 def _oversized(spark: SparkSession, root: str) -> DataFrame:
-    """(frag_id, spans, outline) of fragments naming more than ``PAGE_LIMIT`` pages; copies count once."""
+    """(frag_id, spans, outline) of fragments whose spans add up to more than ``PAGE_LIMIT`` pages, overlaps not yet taken off; copies count once."""
     frags = (
         table(spark, root, "fragments").where(F.col("frag_id").isNotNull() & F.col("pdf_pages").isNotNull())
         .select("frag_id", "pdf_file", page_spans(F.col("pdf_pages")).alias("spans"))
@@ -30,21 +30,18 @@ def _oversized(spark: SparkSession, root: str) -> DataFrame:
         .groupBy("pdf_file")
         .agg(F.max("pages").alias("last_page"), F.max_by(F.when(F.size("outline") > 0, F.col("outline")), F.when(F.size("outline") > 0, F.col("probed_at"))).alias("outline"))
     )
-    return (
-        frags.join(probes, "pdf_file", "left")
-        .select("frag_id", merge_spans(close_spans(F.col("spans"), F.col("last_page"))).alias("spans"), "outline")
-        .where(count_pages(F.col("spans")) > PAGE_LIMIT)
-    )
+    # Whether a fragment is cut is up to the splitter.
+    return frags.join(probes, "pdf_file", "left").select("frag_id", merge_spans(close_spans(F.col("spans"), F.col("last_page"))).alias("spans"), "outline")
 
 
 def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Pieces of at most 12 pages, one page shared, of every fragment that names more."""
-    return splitting.split_items(_oversized(spark, root), "frag_id", "spans", "outline", PAGE_LIMIT, PAGE_OVERLAP)
+    return splitting.split_items(_oversized(spark, root), "frag_id", "spans", "outline", PAGE_LIMIT, PAGE_OVERLAP).where("n_pieces > 1")
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Fragments that were cut."""
-    return p3_pieces(spark, root).where((F.col("n_pieces") > 1) & (F.col("piece") == 1)).select("frag_id")
+    return p3_pieces(spark, root).where("piece = 1").select("frag_id")
 
 
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
