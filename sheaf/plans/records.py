@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import text
 from sheaf.functions.pages import count_pages, merge_spans, page_items
 from sheaf.functions.paths import base_name, last_two_segments, normalize_path
-from sheaf.operators import drift, figures, intervals, lookups, planning, policy, reconcile, sampling, state
+from sheaf.operators import drift, figures, intervals, lagged, lookups, planning, policy, reconcile, sampling, state
 from sheaf.plans.catalog import Catalog
 from sheaf.sources import sinks
 from sheaf.sources.tables import table
@@ -435,13 +435,19 @@ def figures_or_file(spark, root):
     return lookups.explode_or(f, "figures", F.col("target_file"), "item").select("frag_id", "item")
 
 
+def _nth_use(f: DataFrame, key: str) -> DataFrame:
+    """Adds ``nr``, how many times a figure's number was used by then within ``key``, in the order of fragments."""
+    d = lagged.placed(f.withColumn("_o", F.struct("frag_id", "i")), [key, "fig"], "_o", F.floor(F.col("frag_id") / (1 << 16)))
+    return d.withColumn("nr", F.col("_i") + 1).drop("_o", "_i", "_n")
+
+
 @C.add("""SELECT doc, count(*) AS n_figures, count(DISTINCT frag_id) AS n_fragments, max(nr)::INT AS most_repeated FROM (
   SELECT doc, frag_id, row_number() OVER (PARTITION BY doc, fig ORDER BY frag_id, i) AS nr FROM (SELECT frag_id, doc, unnest(figures) AS fig, generate_subscripts(figures, 1) AS i FROM (SELECT DISTINCT frag_id, doc, figures FROM fragments))) GROUP BY doc""")
 def figure_counts(spark, root):
     """Figures per document, and how often one number is used again."""
     f = table(spark, root, "fragments").select("frag_id", "doc", "figures").distinct().select("doc", "frag_id", F.posexplode("figures").alias("i", "fig"))
-    n = F.row_number().over(Window.partitionBy("doc", "fig").orderBy("frag_id", "i"))
-    return f.withColumn("nr", n).groupBy("doc").agg(F.count(F.lit(1)).alias("n_figures"), F.countDistinct("frag_id").alias("n_fragments"), F.max("nr").alias("most_repeated"))
+    f = _nth_use(f, "doc")
+    return f.groupBy("doc").agg(F.count(F.lit(1)).alias("n_figures"), F.countDistinct("frag_id").alias("n_fragments"), F.max("nr").alias("most_repeated"))
 
 
 @C.add("""SELECT frag_id, fig, 'figure-' || CASE WHEN length(fig) < 2 THEN lpad(fig, 2, '0') ELSE fig END || CASE WHEN nr = 1 THEN '' WHEN nr <= 26 THEN chr(96 + nr::INT)
@@ -450,9 +456,9 @@ def figure_counts(spark, root):
 def figure_names(spark, root):
     """Padded figure names; the second of a number gets ``b``, and so on; after ``z`` come ``aa``, ``ab``."""
     f = table(spark, root, "fragments").select("frag_id", "pdf_file", "figures").distinct().select("frag_id", "pdf_file", F.posexplode("figures").alias("i", "fig"))
-    n = F.row_number().over(Window.partitionBy("pdf_file", "fig").orderBy("frag_id", "i"))
+    f = _nth_use(f, "pdf_file")
     padded = F.when(F.length("fig") < 2, F.lpad("fig", 2, "0")).otherwise(F.col("fig"))
-    return f.withColumn("nr", n).select("frag_id", "fig", F.concat(F.lit("figure-"), padded, F.when(F.col("nr") > 1, text.letters(F.col("nr"))).otherwise("")).alias("name"))
+    return f.select("frag_id", "fig", F.concat(F.lit("figure-"), padded, F.when(F.col("nr") > 1, text.letters(F.col("nr"))).otherwise("")).alias("name"))
 
 
 @C.add("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events")

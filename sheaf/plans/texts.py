@@ -212,11 +212,10 @@ def dangling_anchors(spark, root):
 
 
 @C.add(r"""SELECT DISTINCT t AS message, regexp_replace(regexp_replace(t, '''[^'']*''', '''…''', 'g'), '\b\d+\b', '#', 'g') AS template FROM (
-  SELECT regexp_extract(text, '^[^\n]*warning: ([^\n]*)', 1) AS t FROM documents) WHERE t <> ''""")
+  SELECT unnest(regexp_extract_all(text, 'warning: ([^\n]*)', 1)) AS t FROM documents) WHERE t <> ''""")
 def message_templates(spark, root):
-    """Templates of the warnings at the head of inspections."""
-    m = F.regexp_extract("text", r"^[^\n]*warning: ([^\n]*)", 1)
-    return table(spark, root, "documents").select(m.alias("message")).where("message <> ''").distinct().select("message", text.message_template(F.col("message")).alias("template"))
+    """Templates of the warnings in all lines of all documents."""
+    return table(spark, root, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"warning: ([^\n]*)"), 1)).alias("message")).where("message <> ''").distinct().select("message", text.message_template(F.col("message")).alias("template"))
 
 
 # Problems: every line of a document that carries a number, its source as the file.

@@ -51,12 +51,22 @@ def write_object(value: Mapping, path: str) -> None:
     _replace(path, json.dumps(value, ensure_ascii=False, indent=2) + "\n")
 
 
-def nested_index(meta: DataFrame, by_clause: DataFrame, fragments: DataFrame) -> dict:
-    """{docMeta, linkIndex: {byClause}, fragments} of (doc, ...), (key, file) and fragment rows."""
+def nested_index(meta: DataFrame, by_clause: DataFrame, fragments: DataFrame, most: int = 1_000_000) -> dict:
+    """{docMeta, linkIndex: {byClause}, fragments} of (doc, ...), (key, file) and fragment rows.
+
+    One object for people and small tools; a frame of more than ``most`` rows is refused, not cut.
+    """
+
+    def rows(df: DataFrame) -> list:
+        got = df.limit(most + 1).collect()
+        if len(got) > most:
+            raise ValueError(f"more than {most} rows: write JSON lines instead")
+        return got
+
     return {
-        "docMeta": {r["doc"]: {k: v for k, v in r.asDict(True).items() if k != "doc"} for r in meta.orderBy("doc").collect()},
-        "linkIndex": {"byClause": {r["key"]: r["file"] for r in by_clause.orderBy("key").collect()}},
-        "fragments": [r.asDict(True) for r in fragments.collect()],
+        "docMeta": {r["doc"]: {k: v for k, v in r.asDict(True).items() if k != "doc"} for r in rows(meta.orderBy("doc"))},
+        "linkIndex": {"byClause": {r["key"]: r["file"] for r in rows(by_clause.orderBy("key"))}},
+        "fragments": [r.asDict(True) for r in rows(fragments)],
     }
 
 

@@ -120,6 +120,22 @@ def test_drift(spark):
     assert rows(drift.changes(drift.ingest(d.limit(0), ["map_file", "rev"], "raw", "map_id"), ["map_file"], "rev")) == []
 
 
+def test_drift_loses_nothing(spark):
+    """Two fields of one piece, null order of deliveries, null keys, a null name, and approved names as a table."""
+    raw = [(None, "f", 1, '{"offset": 3, "pdf_offset": 4, "pages": "x"}'), (2, None, None, '{"offset": 1}'), (3, "g", 1, '{"offset": null}'), (None, "g", 1, None)]
+    d = spark.createDataFrame(raw, "map_id int, map_file string, rev int, raw string")
+    r = drift.ingest(d, ["map_file", "rev"], "raw", "map_id")
+    got = {x.map_file: x for x in r.collect()}
+    assert set(got) == {"f", None, "g"} and got["f"].page_offset == 3 and json.loads(got["f"].rescued) == {"pdf_offset": 4, "pages": "x"}
+    assert got["g"].page_offset is None and json.loads(got["g"].rescued) == {"offset": None}
+    filled = drift.replay(drift.rows(r, ["map_file", "rev"]), drift.Piece("page_offset", ("offset", "pdf_offset"), "int")).where("map_file = 'f'").collect()[0]
+    assert filled.page_offset == got["f"].page_offset and json.loads(filled.rescued) == json.loads(got["f"].rescued)
+    s = drift.TargetSchema.approved(drift.MAP_SCHEMA.table(spark))
+    assert s == drift.MAP_SCHEMA and rows(drift.ingest(d.limit(0), ["map_file", "rev"], "raw", "map_id", s)) == []
+    with pytest.raises(ValueError):
+        drift.TargetSchema.approved(drift.MAP_SCHEMA.table(spark), most=3)
+
+
 def _events(spark, seed):
     random.seed(seed)
     ev = []
