@@ -10,14 +10,21 @@ from sheaf.operators import intervals
 from sheaf.operators.lagged import placed, previous
 
 
-def stride_sample(pages: DataFrame, doc: str, page: str) -> DataFrame:
+def stride_sample(pages: DataFrame, doc: str, page: str, width: int | None = 4096) -> DataFrame:
     """All pages of documents of up to 60, else every ``max(1, n div 50)``-th, counted from the first.
 
     Pages are chosen by their numbers alone; texts are read for the chosen ones only. Documents and
-    pages are not null, a page is there once.
+    pages are not null, a page is there once. Pages are counted in shards ``width`` wide, or by the
+    document (None) where it is known that none is large.
     """
     stride = F.when(F.col("_n") <= 60, 1).otherwise(F.greatest(F.lit(1), F.expr("_n div 50")))
-    chosen = placed(pages.select(doc, page), [doc], page, F.floor(F.col(page) / 4096)).where(F.col("_i") % stride == 0)
+    places = pages.select(doc, page)
+    if width is None:
+        w = Window.partitionBy(doc)
+        places = places.withColumn("_i", F.row_number().over(w.orderBy(page)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    else:
+        places = placed(places, [doc], page, F.floor(F.col(page) / width))
+    chosen = places.where(F.col("_i") % stride == 0)
     return pages.join(chosen.select(doc, page), [doc, page], "left_semi")
 
 
@@ -98,13 +105,22 @@ def forward_fill(df: DataFrame, key: str, order: str, col: str, out: str, before
     return out_of.withColumn(out, F.coalesce("_local", "_carry", F.lit(before))).drop("_shard", "_local", "_key", "_of", "_carry")
 
 
-def runs(df: DataFrame, key: str, order: str, same: list[str], width: int = 4096) -> DataFrame:
+def runs(df: DataFrame, key: str, order: str, same: list[str], width: int | None = 4096) -> DataFrame:
     """(key, *same, start, end): longest runs of rows, in order, alike in ``same``.
 
     A run begins at a row unlike the one before and ends with the row before the next such row; only
     those rows are looked at again. ``order`` is a number, shards of it are ``width`` wide; keys are
-    not null and ``order`` does not repeat within them.
+    not null and ``order`` does not repeat within them. Without shards (None) a key is one task's
+    work: for keys known to be small.
     """
+    if width is None:
+        w = Window.partitionBy(key).orderBy(order)
+        unlike = F.row_number().over(w) == 1
+        for c in same:
+            unlike = unlike | ~F.col(c).eqNullSafe(F.lag(c).over(w))
+        d = df.withColumn("_new", unlike.cast("int"))
+        d = d.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return d.groupBy(key, "_run", *same).agg(F.min(order).alias("start"), F.max(order).alias("end")).drop("_run")
     d = previous(df.select(key, order, *same), [key], order, [order, *same], F.floor(F.col(order) / width))
     unlike = F.col(f"{order}_before").isNull()
     for c in same:
@@ -120,12 +136,20 @@ def region_matches(lang: Column, version: Column, target_lang: str, target_versi
     return (lang == target_lang) & (F.lit(target_version == "any") | version.isin(target_version, "any"))
 
 
-def target_region(regions: DataFrame, key: str, target_lang: str, target_version: str, gap: int = 3) -> DataFrame:
+def target_region(regions: DataFrame, key: str, target_lang: str, target_version: str, gap: int = 3, width: int | None = 256) -> DataFrame:
     """(key, start, end): the longest matching run with all matching runs at most ``gap`` places away, repeatedly.
 
-    The longest run's island among runs joined over gaps; the first of equally long ones.
+    The longest run's island among runs joined over gaps; the first of equally long ones. Runs are
+    joined in shards ``width`` wide, or by the key (None) where it is known that none is large.
     """
     c = regions.where(region_matches(F.col("lang"), F.col("version"), target_lang, target_version)).select(key, "start", "end")
+    if width is None:
+        w = Window.partitionBy(key).orderBy("start")
+        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        d = c.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0))
+        d = d.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        of = d.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.struct(F.col("end") - F.col("start"), -F.col("start"))).alias("_best"))
+        return of.groupBy(key).agg(F.max_by(F.struct("start", "end"), "_best").alias("_r")).select(key, "_r.*")
     islands = intervals.periods(c.select(key, F.col("start").alias("lo"), (F.col("end") + gap - 1).alias("hi")), [key])
     spine = c.groupBy(key).agg(F.max_by("start", F.struct(F.col("end") - F.col("start"), -F.col("start"))).alias("_at"))
     return islands.join(spine, key).where(F.col("_at").between(F.col("lo"), F.col("hi"))).select(key, F.col("lo").cast("int").alias("start"), (F.col("hi") - (gap - 1)).cast("int").alias("end"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.functions.bind import let
 from sheaf.functions.text import letters, pages_text, section_number, title_slug
 from sheaf.operators import intervals
 from sheaf.operators.policy import top_k
@@ -85,28 +86,43 @@ def children_of(entries: DataFrame, doc: str) -> DataFrame:
     )
 
 
-def plan_fragments(outlines: DataFrame, doc: str, outline: str, total: str, window: int = 12, overlap: int = 1, heads: Sequence[str] | None = None) -> DataFrame:
-    """Planned fragments of every document: clause, title, pages, file, estimated pages, end of the window before.
-
-    ``outlines`` has one row a document, and all of a document is worked out from its own outline: no
-    join, no shuffle. ``heads`` keeps the chapters named there only.
-    """
+def _units(outlines: DataFrame, doc: str, outline: str, total: str, heads: Sequence[str] | None = None) -> DataFrame:
+    """(doc, _e, _from, _to, _u, _starts): entries, body range, units of the body and their different first pages, by document."""
     d = outlines.select(doc, total, F.transform(outline, lambda e, i: F.struct(i.cast("int").alias("pos"), e["page"].alias("page"), F.coalesce(e["title"], F.lit("")).alias("title"), section_number(F.coalesce(e["title"], F.lit(""))).alias("sec"))).alias("_e"))
     d = d.withColumn("_e", F.filter("_e", lambda e: e["page"].isNotNull() & (e["page"] != 0) & e["sec"].isNotNull()))
     pages = lambda es: F.transform(es, lambda e: e["page"])
     chapters = F.filter("_e", lambda e: (F.size(e["sec"]) == 1) & F.get(e["sec"], F.lit(0)).rlike(r"^\d"))
     d = d.select(doc, "_e", F.coalesce(F.array_min(pages(chapters)), F.array_min(pages("_e"))).alias("_from"), F.coalesce(F.nullif(F.col(total), F.lit(0)), F.array_max(pages("_e"))).alias("_to"))
     kept = lambda e: F.lit(True) if heads is None else F.get(e["sec"], F.lit(0)).isin(*heads)
-    d = d.withColumn("_u", F.filter("_e", lambda e: (F.size(e["sec"]) <= 2) & e["page"].between(F.col("_from"), F.col("_to")) & kept(e)))
+    # Bound once: what a lambda names from outside would be worked out again for every element.
+    within = lambda x: F.filter(x["_e"], lambda e: (F.size(e["sec"]) <= 2) & e["page"].between(x["_from"], x["_to"]) & kept(e))
+    d = d.withColumn("_u", let(F.struct("_e", "_from", "_to"), within))
     d = d.withColumn("_starts", F.array_sort(F.array_distinct(pages("_u"))))
+    return d
+
+
+def section_starts(outlines: DataFrame, doc: str, outline: str, total: str) -> DataFrame:
+    """(doc, page) of the pages at which chapters and sections of the body start, each once."""
+    # Outer: a plain explode is guarded by a filter in which all of this would be worked out again.
+    return _units(outlines, doc, outline, total).select(doc, F.explode_outer("_starts").alias("page")).where(F.col("page").isNotNull())
+
+
+def plan_fragments(outlines: DataFrame, doc: str, outline: str, total: str, window: int = 12, overlap: int = 1, heads: Sequence[str] | None = None) -> DataFrame:
+    """Planned fragments of every document: clause, title, pages, file, estimated pages, end of the window before.
+
+    ``outlines`` has one row a document, and all of a document is worked out from its own outline: no
+    join, no shuffle. ``heads`` keeps the chapters named there only.
+    """
+    d = _units(outlines, doc, outline, total, heads)
+    pages = lambda es: F.transform(es, lambda e: e["page"])
     children = lambda u: F.array_sort(F.array_distinct(pages(F.filter("_e", lambda e: (F.size(e["sec"]) == F.size(u["sec"]) + 1) & (F.slice(e["sec"], F.lit(1), F.size(u["sec"])) == u["sec"])))))
     after = lambda u: F.coalesce(F.get("_starts", F.array_position("_starts", u["page"]).cast("int")) - 1, F.col("_to"))
     unit = lambda u: F.struct(
         u["pos"].alias("pos"), F.array_join(u["sec"], ".").alias("clause"), u["title"].alias("title"), u["page"].alias("lo"), F.least(F.greatest(u["page"], after(u)), F.col("_to")).alias("hi"), children(u).alias("kids")
     )
-    d = d.select(doc, F.explode(F.transform("_u", unit)).alias("_s"))
+    d = d.select(doc, F.explode_outer(F.transform("_u", unit)).alias("_s")).where(F.col("_s").isNotNull())  # outer: see section_starts
     d = d.select(doc, "_s.pos", "_s.clause", "_s.title", pack(F.col("_s.lo"), F.col("_s.hi"), F.col("_s.kids"), window, overlap).alias("_all"))
-    w = d.select("*", F.size("_all").alias("_n"), F.posexplode("_all").alias("_i", "_w"))
+    w = d.select("*", F.size("_all").alias("_n"), F.posexplode_outer("_all").alias("_i", "_w"))
     suffix = F.when(F.col("_n") > 1, letters(F.col("_i") + 1)).otherwise("")
     return w.select(
         doc, "pos", F.col("_i").alias("part"), "clause", F.trim("title").alias("title"), pages_text(F.col("_w.lo"), F.col("_w.hi")).alias("pdf_pages"),

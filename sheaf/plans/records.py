@@ -226,9 +226,7 @@ FIRST_PAGES_SQL = r"(SELECT DISTINCT frag_id, pdf_file, nullif(regexp_extract(pd
   LEFT JOIN LATERAL (SELECT min(page) AS boundary FROM units u WHERE u.doc = f.pdf_file AND u.page > f.first_page) b ON true""")
 def next_boundary(spark, root):
     """For every fragment the first section start after its first page (strict forward as-of); null without a readable page."""
-    o = outlines(spark, root)
-    e = planning.numbered_entries(o, "doc", "outline")
-    s = planning.section_spans(e, planning.body_range(e, o, "doc", "pages"), "doc").select(F.col("doc").alias("pdf_file"), F.col("page").alias("boundary"))
+    s = planning.section_starts(outlines(spark, root), "doc", "outline", "pages").select(F.col("doc").alias("pdf_file"), F.col("page").alias("boundary"))
     f = first_pages(spark, root)
     return lookups.next_after(f, s, ["pdf_file"], "first_page", "boundary").select("frag_id", "first_page", F.col("found").alias("next_boundary"))
 
@@ -237,9 +235,7 @@ def next_boundary(spark, root):
   LEFT JOIN LATERAL (SELECT coalesce(max(page) FILTER (page <= f.first_page), min(page)) AS boundary FROM units u WHERE u.doc = f.pdf_file) b ON true""")
 def owning_section(spark, root):
     """For every fragment the nearest section start at or before its first page, else the first one (backward as-of); null without a readable page."""
-    o = outlines(spark, root)
-    e = planning.numbered_entries(o, "doc", "outline")
-    s = planning.section_spans(e, planning.body_range(e, o, "doc", "pages"), "doc").select(F.col("doc").alias("pdf_file"), F.col("page").alias("boundary"))
+    s = planning.section_starts(outlines(spark, root), "doc", "outline", "pages").select(F.col("doc").alias("pdf_file"), F.col("page").alias("boundary"))
     f = first_pages(spark, root)
     return lookups.last_before(f, s, ["pdf_file"], "first_page", "boundary").select("frag_id", "first_page", F.col("found").alias("section_page"))
 

@@ -15,7 +15,8 @@ C = Catalog()
 SPACE = text.SPACE
 EOL = text.LINE_END
 
-# Documents as pages: 500 consecutive ids of a source are one volume, so a volume stays small however large a source is.
+# Documents as pages: 500 consecutive ids of a source are one volume, so a volume stays small however large a source is
+# and needs no shards of its own.
 VOLUME = 500
 PAGES_SQL = f"""WITH pages AS (
   SELECT coalesce(source, '') || '#' || (doc_id // {VOLUME}) AS volume, (doc_id % {VOLUME})::INT AS page, text FROM documents)"""
@@ -57,11 +58,11 @@ def classified(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _filled(spark: SparkSession, root: str) -> DataFrame:
-    return pages.forward_fill(classified(spark, root), "volume", "page", "version_hit", "version", shard=F.floor(F.col("page") / 4096))
+    return pages.forward_fill(classified(spark, root), "volume", "page", "version_hit", "version")
 
 
 def _regions(spark: SparkSession, root: str) -> DataFrame:
-    return pages.runs(_filled(spark, root), "volume", "page", ["lang", "version"])
+    return pages.runs(_filled(spark, root), "volume", "page", ["lang", "version"], width=None)
 
 
 def _layer_sql(ratio: float, sampled: bool) -> str:
@@ -85,7 +86,7 @@ SELECT *, round(pages_with_text / pages_sampled, 4) AS fraction, CASE WHEN pages
 @C.add(_layer_sql(0.8, True))
 def text_layer_verdict(spark, root):
     """Text layer of every volume's sampled pages without lines repeated on four fifths of them."""
-    return pages.text_layer(pages.stride_sample(page_table(spark, root), "volume", "page"), "volume", "page", "text")
+    return pages.text_layer(pages.stride_sample(page_table(spark, root), "volume", "page", width=None), "volume", "page", "text")
 
 
 @C.add(_layer_sql(0.05, False))
@@ -130,7 +131,7 @@ TARGET_SQL = CLASSIFIED_SQL + """, cand AS (SELECT volume, "start", "end" FROM r
 
 
 def _target(spark, root):
-    return pages.target_region(_regions(spark, root), "volume", "a", "final")
+    return pages.target_region(_regions(spark, root), "volume", "a", "final", width=None)
 
 
 @C.add(TARGET_SQL + ' SELECT volume, "start", "end" FROM target')

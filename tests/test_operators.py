@@ -218,7 +218,7 @@ def test_pages(spark):
     got = {r.doc: r for r in pages.text_layer(d, "doc", "page", "text").collect()}
     assert (got["d"].pages_with_text, got["d"].verdict) == (2, "mixed") and got["e"].verdict == "scanned" and got["f"].chars_total == 0
     n = spark.createDataFrame([("d", i) for i in range(130)], "doc string, page int")
-    assert [r.page for r in pages.stride_sample(n, "doc", "page").orderBy("page").collect()] == list(range(0, 130, 2))
+    assert [r.page for r in pages.stride_sample(n, "doc", "page").orderBy("page").collect()] == list(range(0, 130, 2)) == [r.page for r in pages.stride_sample(n, "doc", "page", None).orderBy("page").collect()] == [r.page for r in pages.stride_sample(n, "doc", "page", 16).orderBy("page").collect()]
     u = spark.createDataFrame([("d", "x" * n) for n in (1, 2, 3, 4)], "doc string, text string")
     assert pages.usable_text(u, "doc", "text").collect()[0].median_length == 3  # the upper median
 
@@ -228,7 +228,12 @@ def test_runs_and_regions(spark):
     d = spark.createDataFrame([("d", i, c, "any") for i, c in enumerate(lang)], "doc string, page int, lang string, version string")
     r = pages.runs(d, "doc", "page", ["lang", "version"])
     assert [(x.start, x.end) for x in r.orderBy("start").collect()] == [(0, 2), (3, 3), (4, 9), (10, 13), (14, 16)]
-    assert rows(pages.target_region(r, "doc", "a", "final")) == [("d", 0, 9)]  # a gap of 1 joins, one of 5 does not
+    assert rows(pages.target_region(r, "doc", "a", "final")) == rows(pages.target_region(r, "doc", "a", "final", width=None)) == [("d", 0, 9)]  # a gap of 1 joins, one of 5 does not
+    random.seed(14)
+    many = spark.createDataFrame([(random.choice("xy"), i, random.choice("aab"), random.choice(["any", "final", None])) for i in random.sample(range(900), 500)], "doc string, page int, lang string, version string")
+    two = pages.runs(many, "doc", "page", ["lang", "version"], 64)
+    assert rows(two) == rows(pages.runs(many, "doc", "page", ["lang", "version"], None))
+    assert rows(pages.target_region(two, "doc", "a", "final", width=32)) == rows(pages.target_region(two, "doc", "a", "final", width=None))
     ff = spark.createDataFrame([("d", i, v) for i, v in enumerate([None, "x", None, "y"])], "doc string, page int, hit string")
     assert [x.v for x in pages.forward_fill(ff, "doc", "page", "hit", "v").orderBy("page").collect()] == ["any", "x", "x", "y"]
     random.seed(6)
