@@ -20,12 +20,12 @@ def write_json_lines(df: DataFrame, path: str, *order: str) -> None:
     (df.orderBy(*order) if order else df).write.mode("overwrite").json(path)
 
 
-def _replace(path: str, text: str) -> None:
+def _replace(path: str, content: str | bytes) -> None:
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     fd, temp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".tmp")
     try:
-        with os.fdopen(fd, "w", encoding="utf-8") as f:
-            f.write(text)
+        with os.fdopen(fd, "wb") as f:
+            f.write(content.encode() if isinstance(content, str) else content)
         os.replace(temp, path)
     except BaseException:
         os.unlink(temp)
@@ -79,11 +79,11 @@ def report(violations: DataFrame, hard: tuple[str, ...] = ("error",)) -> tuple[d
 
 
 def write_texts(df: DataFrame, root: str, file: str = "file", raw: str = "raw") -> None:
-    """Every row's text to its own file below a folder that all executors share; each replaced as a whole."""
+    """Every row's text or bytes to its own file below a folder that all executors have mounted; each replaced as a whole."""
 
     def put(rows) -> None:
         for r in rows:
-            _replace(os.path.join(root, r[0]), r[1])
+            _replace(os.path.join(root, r[0]), r[1] if isinstance(r[1], str) else bytes(r[1]))
 
     ship(df.sparkSession)
     df.select(file, raw).where(F.col(file).isNotNull() & F.col(raw).isNotNull()).foreachPartition(put)

@@ -186,3 +186,25 @@ def test_p5_found(spark, data):
     at = {}
     for _, i, _, item in tags:
         at[i] = plain[i].index(item, at.get(i, 0)) + len(item)
+
+
+def tags_in(s):
+    """Tags of a text by a dictionary of all there are, the longest first: no rule of quotes or separators is used."""
+    s = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), s).replace('""', '"').replace("''", "'")
+    s = re.sub(r"\\(.)", r"\1", s)
+    out, i = [], 0
+    while i < len(s):
+        hit = next((t for t in sorted(TAGS, key=len, reverse=True) if s.startswith(t, i) and not s[i + len(t) : i + len(t) + 1].isalnum()), None)
+        assert hit or not s[i].isalnum(), s
+        out += [hit] if hit else []
+        i += len(hit or "x")
+    return out
+
+
+def test_p5_tags_against_a_dictionary(spark, data):
+    want = set()
+    for i, s in read(data, "research_doc", "research_id, tags"):
+        tags = tags_in(s or "")
+        if len(tags) > 1:
+            want |= {("research_doc", i, k, t) for k, t in enumerate(tags, 1)}
+    assert want and sorted(want) == [r for r in got(spark, data, problems.p5_found) if r[0] == "research_doc"]

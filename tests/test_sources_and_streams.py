@@ -81,6 +81,8 @@ def test_sinks(spark, tmp_path):
     assert fm == '---\ntopic: "a\\"b\\nc"\ntags: ["x"]\ndirty: true\n---\n'
     sinks.write_texts(spark.createDataFrame([("q/a.md", "hello")], "file string, raw string"), str(tmp_path))
     assert open(tmp_path / "q" / "a.md").read() == "hello"
+    sinks.write_texts(spark.createDataFrame([("q/a.png", bytearray(b"\x89PNG")), ("q/b.png", None)], "file string, raw binary"), str(tmp_path))
+    assert open(tmp_path / "q" / "a.png", "rb").read() == b"\x89PNG" and not os.path.exists(tmp_path / "q" / "b.png")
     sinks.write_json_lines(d, str(tmp_path / "lines"), "clause")
     assert spark.read.json(str(tmp_path / "lines")).count() == 2
     idx = sinks.nested_index(spark.createDataFrame([("d", 1)], "doc string, offset int"), spark.createDataFrame([("d §1", "f")], "key string, file string"), d.select("doc", "clause"))
