@@ -454,7 +454,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, key: str = "doc
 
 
 #: Fewer rated documents called abusive than this teach the network little.
-FEW_ABUSIVE = 200
+FEW_ABUSIVE = 500
 _fitted: dict[str, Network] = {}
 
 
