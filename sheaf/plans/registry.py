@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sheaf.plans import problems, records, texts
+from sheaf.plans import folders, problems, records, texts
 
-CATALOGS = (texts.C, records.C)
+CATALOGS = (texts.C, records.C, folders.C)
 
 
 def queries() -> dict:

@@ -371,14 +371,16 @@ def frontmatter_strict(spark, root):
 
 
 @C.add(rf"""SELECT doc_id, nullif(trim(regexp_extract(text, '(?m)^\*\*Status:\*\*\s*(\S.*?)\s*$', 1), '` '), '') AS status, nullif(trim(regexp_extract(text, '(?m)^\*\*Owner:\*\*\s*(\S.*?)\s*$', 1), '` '), '') AS owner,
-  contains(text, '<!--') OR contains(text, '-->') AS has_comment, regexp_matches(text, '(?i)\b(?:TBD|TODO)\b') AS has_marker, contains(text, '…') AS has_ellipsis FROM documents""")
+  contains(text, '<!--') OR contains(text, '-->') AS has_comment, regexp_matches(text, '(?i)\b(?:TBD|TODO)\b') AS has_marker, contains(text, '…') AS has_ellipsis,
+  len(list_filter(regexp_extract_all(text, '\[([^\]\n]+)\]', 1), lambda v: len(list_filter([{", ".join(repr(h) for h in text.HINTS)}], lambda h: contains(lower(v), h))) > 0))::INT AS n_hints FROM documents""")
 def labels_and_placeholders(spark, root):
     """Labelled values and leftovers of templates in every document."""
     t = F.col("text")
-    found = text.placeholders(t, ["title", "trigger", "purpose"])
+    found = text.placeholders(t)
     return table(spark, root, "documents").select(
         "doc_id", text.label_value(t, "Status").alias("status"), text.label_value(t, "Owner").alias("owner"),
         F.array_contains(found, "comment").alias("has_comment"), F.array_contains(found, "marker").alias("has_marker"), F.array_contains(found, "ellipsis").alias("has_ellipsis"),
+        F.size(F.filter(found, lambda x: x.startswith("["))).alias("n_hints"),
     )
 
 

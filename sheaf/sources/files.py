@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import shutil
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sheaf.operators.drift import parsed
+
 
 def read_markdown(spark: SparkSession, root: str, any_readme: bool = False) -> DataFrame:
     """(file, raw) of ``<root>/<doc>/*.md``, each file one row; ``file`` is relative to the root.
@@ -18,9 +21,11 @@ def read_markdown(spark: SparkSession, root: str, any_readme: bool = False) -> D
     Folders named ``_maps`` are left out, and ``README.md`` (or, with ``any_readme``, every name
     that begins with readme in any case). Sort by ``file`` where order matters.
     """
-    d = spark.read.text(f"{root}/*/*.md", wholetext=True).select(F.col("_metadata.file_path").alias("_p"), F.col("value").alias("raw"))
+    # Folders are listed, not globbed: a glob would make every file a root of its own to be listed again.
+    d = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("_p"), F.col("value").alias("raw"))
     path = F.url_decode(F.regexp_replace("_p", r"\+", "%2B"))
-    d = d.select(F.regexp_extract(path, r"([^/]+/[^/]+)\z", 1).alias("file"), "raw")
+    top = re.sub(r"^[a-zA-Z][\w+.-]*:(?://[^/]*)?", "", root).strip("/")
+    d = d.select(F.regexp_extract(path, rf"/{re.escape(top)}/([^/]+/[^/]+)\z", 1).alias("file"), "raw").where("file <> ''")
     name = F.split_part("file", F.lit("/"), F.lit(2))
     out = F.upper(name).startswith("README") if any_readme else name == "README.md"
     return d.where(~out & ~F.col("file").startswith("_maps/"))
@@ -116,6 +121,11 @@ def arguments(given) -> dict:
     return given if isinstance(given, dict) else {}
 
 
+def argument_map(c: Column) -> Column:
+    """map<string,variant> of an argument object given as JSON text; empty where it is none or cannot be read."""
+    return F.coalesce(parsed(c).cast("map<string,variant>"), F.map_from_entries(F.array().cast("array<struct<key:string,value:variant>>")))
+
+
 def scoped_paths(listings: Sequence[DataFrame], path: str = "path", extensions: Sequence[str] = ("java", "kt"), below: Sequence[str] = (), kind: str = "all") -> DataFrame:
     """Distinct paths of several listings with given extensions, below any of ``below``, sorted by bytes.
 

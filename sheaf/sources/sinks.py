@@ -33,12 +33,12 @@ def _replace(path: str, content: str | bytes) -> None:
 
 
 def write_manifest(df: DataFrame, path: str, clause: str = "clause", doc: str = "doc", most: int = 1_000_000) -> int:
-    """One JSON array, by document and clause in natural order, on the driver's file system.
+    """One JSON array, by document and clause in natural order (then by all columns), on the driver's file system.
 
     Meant for an index that people open; beyond ``most`` rows it refuses - use ``write_json_lines``.
     Characters stay as they are, absent values are null, the file ends with a line end.
     """
-    rows = df.orderBy(doc, natural_key(F.col(clause))).limit(most + 1).toJSON().collect()
+    rows = df.orderBy(doc, natural_key(F.col(clause)), *[c for c in df.columns if c != doc]).limit(most + 1).toJSON().collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows: write JSON lines instead")
     full = [{c: None for c in df.columns} | json.loads(r) for r in rows]
