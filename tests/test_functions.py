@@ -122,3 +122,27 @@ def test_frontmatter(spark):
     d = spark.createDataFrame([(1, FM), (2, "---\nopen: 1\n"), (3, None)], "k int, raw string")
     rows = {(r.k, r.line): (r.name, r.err) for r in frontmatter.strict(d, "k", "raw").collect()}
     assert rows == {(1, 2): ("source", None), (1, 3): ("clause", None), (1, 4): ("clause", "duplicate"), (1, 5): (None, "malformed")}
+
+
+def test_normalize_path_against_plain_python(spark):
+    import itertools
+    import posixpath
+
+    from pyspark.sql import functions as F
+
+    from sheaf.functions.paths import normalize_path
+
+    parts = ["a", "b.md", ".", "..", "", ".x", " ", "ä"]
+    paths = ["/".join(p) for n in (1, 2, 3, 4) for p in itertools.product(parts, repeat=n)]
+    paths += [p + t for p in ("a/b", "a/../b", "../a") for t in ("#x", "#a/../b", " ", "\t", "/", " ")] + ["a\\b", "\\a\\..\\b", " a/b", "", None]
+    got = {r.p: r.n for r in spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "p string").select("p", normalize_path(F.col("p")).alias("n")).collect()}
+    for p in paths:
+        if p is None:
+            assert got[p] is None
+            continue
+        clean = p.split("#")[0].replace("\\", "/").strip(" \t\r\n ")
+        want = posixpath.normpath(clean) if clean else ""
+        want = "" if want == "." else "/" + want.lstrip("/") if clean.startswith("/") else want
+        if clean.startswith("/") and got[p].startswith("/.."):
+            continue  # ".." above the root stays as written
+        assert got[p] == want, (p, got[p], want)
