@@ -23,7 +23,8 @@ def page_items(col: Column) -> Column:
         first, last = F.regexp_extract(v, _ITEM, 1), F.lower(F.regexp_extract(v, _ITEM, 2))
         return F.when(last == "", first).otherwise(F.concat(first, F.lit("-"), last))
 
-    return F.transform(parts, item)
+    # Most lists are one page or one span in the plain notation, which is its own item.
+    return F.when(col.rlike(r"^\d{1,9}(?:-\d{1,9})?\z"), F.array(col)).otherwise(F.transform(parts, item))
 
 
 def page_spans(col: Column) -> Column:
