@@ -11,6 +11,7 @@ from sheaf.functions.bind import let
 from sheaf.functions.text import letters, pages_text, section_number, title_slug
 from sheaf.operators import intervals
 from sheaf.operators.policy import top_k
+from sheaf.session import written
 
 
 def tile(start: Column, end: Column, window: int, overlap: int) -> Column:
@@ -143,7 +144,7 @@ def coverage(spans: DataFrame, body: DataFrame, doc: str, shown: int = 20) -> Da
     size = F.col("hi").cast("long") - F.col("lo") + 1
     named = spans.where("lo <= hi").groupBy(doc).agg(F.sum(size).alias("_named"), F.min("lo").alias("first_page"), F.max("hi").alias("last_page"))
     aims = body.select(doc, F.col("body_start").alias("lo"), F.col("body_end").alias("hi"))
-    runs = intervals.periods_and_gaps(spans.select(doc, "lo", "hi"), aims, [doc])
+    runs = written(intervals.periods_and_gaps(spans.select(doc, "lo", "hi"), aims, [doc]))
     is_gap = F.col("span_kind") == "gap"
     g = runs.groupBy(doc).agg(F.sum(F.when(~is_gap, size)).alias("_distinct"), F.sum(F.when(is_gap, size)).alias("uncovered"))
     # Of a gap no more pages than are shown, so of a document at most ``shown`` a gap that comes into question.

@@ -11,6 +11,7 @@ from sheaf.functions.pages import count_pages, merge_spans, page_items
 from sheaf.functions.paths import base_name, last_two_segments, normalize_path
 from sheaf.operators import drift, figures, intervals, lagged, lookups, planning, policy, reconcile, sampling, state
 from sheaf.plans.catalog import Catalog
+from sheaf.session import written
 from sheaf.sources import sinks
 from sheaf.sources.tables import table
 
@@ -101,7 +102,8 @@ def planned_coverage(spark, root):
     """How much of the body the planned fragments cover, per PDF."""
     o = outlines(spark, root)
     body = planning.body_range(planning.numbered_entries(o, "doc", "outline"), o, "doc", "pages")
-    return planning.coverage(planning.plan_fragments(o, "doc", "outline", "pages").select("doc", "lo", "hi"), body, "doc")
+    # Planned once: coverage reads the windows more than once.
+    return planning.coverage(written(planning.plan_fragments(o, "doc", "outline", "pages").select("doc", "lo", "hi")), body, "doc")
 
 
 @C.add(OUTLINES_SQL + """ SELECT doc, regexp_replace(clause, '\\.[^.]*$', '') AS parent, string_agg(page, ',' ORDER BY page) AS children
