@@ -83,14 +83,13 @@ def index_file(spark, root):
     meta = reconcile.last_wins(table(spark, root, "doc_meta").where("doc is not null"), ["doc"], [F.col("updated_at"), F.col("loaded_at"), F.col("pdf_file")]).select("doc", "page_offset", "clean")
     links = reconcile.last_wins(table(spark, root, "link_index").where("by_clause is not null"), ["by_clause"], [F.col("built_at"), F.col("entry_id")]).select(F.col("by_clause").alias("key"), F.col("target_file").alias("file"))
     fragments = table(spark, root, "fragments").select("frag_id", "target_file").distinct()
-    sinks.write_object(sinks.nested_index(meta, links, fragments), path)
-    shape = "docMeta map<string,struct<page_offset:string,clean:string>>, linkIndex struct<byClause:map<string,string>>, fragments array<struct<frag_id:string,target_file:string>>"
-    i = spark.read.schema(shape).json(f"file://{path}", multiLine=True, mode="FAILFAST")
-    part = lambda name, entries: i.select(F.lit(name).alias("part"), F.explode(entries).alias("_e"))
+    sinks.write_index(meta, links, fragments, path)
+    part = lambda name, shape, *within: files.read_entries(spark, path, *within).select(F.lit(name).alias("part"), F.from_json("entry", shape, {"mode": "FAILFAST"}).alias("_e"))
+    field = lambda d: d.select("part", F.explode(F.map_entries("_e")).alias("_e"))
     return (
-        part("docMeta", F.map_entries("docMeta")).select("part", "_e.key", F.col("_e.value.page_offset").alias("value"))
-        .unionByName(part("byClause", F.map_entries("linkIndex.byClause")).select("part", "_e.key", "_e.value"))
-        .unionByName(part("fragments", F.col("fragments")).select("part", F.col("_e.frag_id").alias("key"), F.col("_e.target_file").alias("value")))
+        field(part("docMeta", "map<string,struct<page_offset:string,clean:string>>", "docMeta")).select("part", "_e.key", F.col("_e.value.page_offset").alias("value"))
+        .unionByName(field(part("byClause", "map<string,string>", "linkIndex", "byClause")).select("part", "_e.key", "_e.value"))
+        .unionByName(part("fragments", "frag_id string, target_file string", "fragments").select("part", F.col("_e.frag_id").alias("key"), F.col("_e.target_file").alias("value")))
     )
 
 

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import shutil
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sheaf.operators.drift import parsed
+from sheaf.session import ship
 
 
 def read_markdown(spark: SparkSession, root: str, any_readme: bool = False) -> DataFrame:
@@ -37,6 +41,84 @@ def read_json_objects(spark: SparkSession, path: str, schema: StructType | str,
     return d.select("*", F.col("_metadata.file_name").alias("file")).where(~F.col("file").isin(*skip))
 
 
+def _over(spark: SparkSession, f: Callable, start: int, end: int, block: int) -> list:
+    """What ``f`` lists for each (from, to) of a part of a file: a task a block, one block alone on the driver."""
+    b = [(i, min(i + block, end)) for i in range(start, end, block)]
+    return spark.sparkContext.parallelize(b, len(b)).flatMap(f).collect() if len(b) > 1 else [x for y in b for x in f(y)]
+
+
+def _find(spark: SparkSession, path: str, text: bytes, start: int, end: int, block: int) -> int:
+    """Where ``text`` first begins in a part of a file; ``end`` if nowhere."""
+
+    def look(b):
+        with open(path, "rb") as f:
+            f.seek(b[0])
+            at = f.read(b[1] - b[0] + len(text) - 1).find(text)
+        return [b[0] + at] * (at >= 0)
+
+    return min(_over(spark, look, start, end, block), default=end)
+
+
+def read_entries(spark: SparkSession, path: str, *within: str, block: int = 8 << 20) -> DataFrame:
+    """(place, entry) of the JSON array of objects, or the object, found under the keys ``within`` of a file.
+
+    ``place`` counts from 0; ``entry`` is the JSON text of an element, or of an object of one field. The
+    file must be laid out as ``write_manifest``, ``write_index`` and ``write_object`` do (an indent of 2) and be
+    mounted by all executors. It is read in blocks by many tasks, so its size is not bounded by any memory.
+    """
+    end = os.path.getsize(path)
+    with open(path, "rb") as f:
+        opened, start = f.read(1), 1
+        f.seek(max(1, end - 64))
+        tail = f.read()
+        end += len(tail.rstrip()) - len(tail) - 1
+        f.seek(max(1, end - 1))
+        end -= f.read(1) == b"\n"
+        for depth, key in enumerate(within, 1):
+            head = b"\n" + b"  " * depth + json.dumps(key, ensure_ascii=False).encode() + b": "
+            start = _find(spark, path, head, start, end, block) + len(head) + 1
+            if start > end:
+                raise ValueError(f"{path} has no {'.'.join(within[:depth])}")
+            f.seek(start - 1)
+            opened, after = f.read(1), f.read(1)
+            if opened not in (b"{", b"["):
+                raise ValueError(f"{'.'.join(within[:depth])} of {path} is neither an array nor an object")
+            end = start if after in (b"}", b"]") else _find(spark, path, b"\n" + b"  " * depth + (b"}" if opened == b"{" else b"]"), start, end, block)
+    pad, keyed = b"\n" + b"  " * (len(within) + 1), opened == b"{"
+    cut = b"," + pad + (b'"' if keyed else b"{")
+    first = start + len(pad)
+
+    def pieces(f, a: int, b: int) -> list[bytes]:
+        """Entries that begin in a block, but for the first byte of all but the file's first; the last may go on."""
+        f.seek(a)
+        return f.read(min(b + len(cut) - 1, end) - a).split(cut)[a != first :]
+
+    def count(b):
+        with open(path, "rb") as f:
+            return [(*b, len(pieces(f, *b)))]
+
+    def read(batches):
+        with open(path, "rb") as f:
+            for t in batches:
+                for a, b, n in zip(*(c.to_pylist() for c in t.columns)):
+                    if not (got := pieces(f, a, b)):
+                        continue
+                    while (at := got[-1].find(cut)) < 0 and f.tell() < end:
+                        got[-1] += f.read(min(max(1 << 16, len(got[-1])), end - f.tell()))
+                    if at >= 0:
+                        got[-1] = got[-1][:at]
+                    got = [x if a == first and not i else cut[-1:] + x for i, x in enumerate(got)]
+                    for i in range(0, len(got), 10_000):
+                        some = got[i : i + 10_000]
+                        yield pa.RecordBatch.from_pydict({"place": pa.array(range(n + i, n + i + len(some)), pa.int64()), "entry": pa.array([b"{" + x + b"}" for x in some] if keyed else some, pa.string())})
+
+    ship(spark)
+    found = _over(spark, count, first, end, block)
+    rows = [(a, b, n) for (a, b, k), n in zip(found, accumulate((k for *_, k in found), initial=0)) if k]
+    at = spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), "start long, end long, place long")
+    return at.mapInArrow(read, "place long, entry string")
+
+
 def merge_maps(maps: DataFrame) -> DataFrame:
     """Fragments of all map files, the map's document and PDF written over their own (header wins)."""
     doc = F.coalesce(F.nullif(F.col("doc"), F.lit("")), F.regexp_replace("file", r"\.json\z", ""))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
+import shutil
 import tempfile
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
+from typing import BinaryIO
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +26,75 @@ def write_json_lines(df: DataFrame, path: str, *order: str) -> None:
     (df.orderBy(*order) if order else df).write.mode("overwrite").json(path)
 
 
-def _replace(path: str, content: str | bytes) -> None:
+@contextlib.contextmanager
+def _replacing(path: str) -> Iterator[BinaryIO]:
+    """A file to write to that takes the place of ``path`` at the end, as a whole or not at all."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     fd, temp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".tmp")
     try:
         with os.fdopen(fd, "wb") as f:
-            f.write(content.encode() if isinstance(content, str) else content)
+            yield f
         os.replace(temp, path)
     except BaseException:
         os.unlink(temp)
         raise
 
 
+def _replace(path: str, content: str | bytes) -> None:
+    with _replacing(path) as f:
+        f.write(content.encode() if isinstance(content, str) else content)
+
+
+_plain = json.JSONEncoder(ensure_ascii=False).encode
+
+
+def _indented(value, depth: int) -> str:
+    """``value`` as ``json.dumps`` with an indent of 2 writes it so many levels deep."""
+    if not value or not isinstance(value, (dict, list)):
+        return _plain(value)
+    pad = "\n" + "  " * depth
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{pad}  {_plain(k)}: {_indented(v, depth + 1)}" for k, v in value.items()) + pad + "}"
+    return "[" + ",".join(f"{pad}  {_indented(v, depth + 1)}" for v in value) + pad + "]"
+
+
+def _append(out: BinaryIO, path: str, df: DataFrame, value: Column, depth: int, key: Column | None = None, most: int | None = None) -> int:
+    """Appends one entry a row, in the order of ``df``, to a JSON array or (with ``key``) object opened in ``out``; their number.
+
+    Every partition writes its entries to a file beside ``path``, on a file system that all executors
+    have mounted; these are put together as bytes, so no process holds more than a batch of rows.
+    """
+    parts, pad = f"{os.path.abspath(path)}.{uuid.uuid4().hex}", "  " * depth
+
+    def put(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        with _replacing(os.path.join(parts, str(part))) as f:
+            for b in batches:
+                rows = map(json.loads, b.column(0).to_pylist())
+                text = ",\n".join(pad + (f"{_plain(r['k'])}: " if "k" in r else "") + _indented(r["v"], depth) for r in rows)
+                if text:
+                    f.write((",\n" * bool(n) + text).encode())
+                    n += b.num_rows
+        yield pa.RecordBatch.from_pydict({"part": [part], "n": [n]})
+
+    ship(df.sparkSession)
+    entry = F.struct(*([] if key is None else [key.alias("k")]), value.alias("v"))
+    try:
+        got = sorted(map(tuple, df.select(F.to_json(entry, {"ignoreNullFields": "false"})).mapInArrow(put, "part long, n long").where("n > 0").collect()))
+        n = sum(k for _, k in got)
+        if most is not None and n > most:
+            raise ValueError(f"more than {most} rows: write JSON lines instead")
+        for i, (part, _) in enumerate(got):
+            out.write(b",\n" if i else b"\n")
+            with open(os.path.join(parts, str(part)), "rb") as f:
+                shutil.copyfileobj(f, out, 1 << 22)
+            os.unlink(f.name)
+        out.write(("\n" + pad[2:]).encode() * bool(n))
+        return n
+    finally:
+        shutil.rmtree(parts, ignore_errors=True)
+
+
 def write_manifest(df: DataFrame, path: str, clause: str = "clause", doc: str = "doc", most: int = 1_000_000) -> int:
     """One JSON array, by document and clause in natural order (then by all columns), on the driver's file system.
 
@@ -54,7 +117,7 @@ def write_object(value: Mapping, path: str) -> None:
 def nested_index(meta: DataFrame, by_clause: DataFrame, fragments: DataFrame, most: int = 1_000_000) -> dict:
     """{docMeta, linkIndex: {byClause}, fragments} of (doc, ...), (key, file) and fragment rows.
 
-    One object for people and small tools; a frame of more than ``most`` rows is refused, not cut.
+    One object in the driver's memory; a frame of more than ``most`` rows is refused, not cut: ``write_index`` writes any size.
     """
 
     def rows(df: DataFrame) -> list:
@@ -70,6 +133,18 @@ def nested_index(meta: DataFrame, by_clause: DataFrame, fragments: DataFrame, mo
     }
 
 
+def write_index(meta: DataFrame, by_clause: DataFrame, fragments: DataFrame, path: str) -> None:
+    """What ``write_object`` makes of ``nested_index``, of any size, replaced as a whole; keys must differ, all executors have the folder mounted."""
+    with _replacing(path) as f:
+        f.write(b'{\n  "docMeta": {')
+        _append(f, path, meta.orderBy("doc"), F.struct(*[c for c in meta.columns if c != "doc"]), 2, F.col("doc"))
+        f.write(b'},\n  "linkIndex": {\n    "byClause": {')
+        _append(f, path, by_clause.orderBy("key"), F.col("file"), 3, F.col("key"))
+        f.write(b'}\n  },\n  "fragments": [')
+        _append(f, path, fragments, F.struct(*fragments.columns), 2)
+        f.write(b"]\n}\n")
+
+
 def report(violations: DataFrame, hard: tuple[str, ...] = ("error",)) -> tuple[dict, int]:
     """(report, exit code) of (severity, check, ...) rows: 0 if no hard failure, else 1. One row a check is collected."""
     n = violations.groupBy("severity", "check").agg(F.count(F.lit(1)).alias("n")).collect()

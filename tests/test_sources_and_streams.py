@@ -89,6 +89,37 @@ def test_sinks(spark, tmp_path):
     assert idx["docMeta"] == {"d": {"offset": 1}} and idx["linkIndex"]["byClause"] == {"d §1": "f"} and len(idx["fragments"]) == 2
 
 
+def test_index_of_any_size(spark, tmp_path):
+    docs = [(f'd "{i}"' + "ü" * (i % 7), None if i % 5 else i, "x\n    },\n") for i in range(300)]
+    meta = spark.createDataFrame([*docs, ("byClause", 1, "{"), ("fragments", 2, "[")], "doc string, page_offset int, clean string").repartition(7)
+    links = spark.createDataFrame([(f"d §{i}", f"{i}.md" if i % 3 else None) for i in range(200)], "key string, file string")
+    fragments = spark.createDataFrame([(i, ["a", str(i)], (i, None)) for i in range(100)], "frag_id long, figures array<string>, s struct<a:long,b:string>").coalesce(1)
+    p, q = str(tmp_path / "m" / "i.json"), str(tmp_path / "q.json")
+    for n in (10_000, 0):
+        some = [d.limit(n) if not n else d for d in (meta, links, fragments)]
+        sinks.write_index(*some, p)
+        sinks.write_object(sinks.nested_index(*some), q)
+        assert open(p, encoding="utf-8").read() == open(q, encoding="utf-8").read() and os.listdir(tmp_path / "m") == ["i.json"]
+        want = json.load(open(p))
+        for within, part in ((("docMeta",), want["docMeta"]), (("linkIndex", "byClause"), want["linkIndex"]["byClause"]), (("fragments",), want["fragments"])):
+            for block in (1 + os.path.getsize(p) // 60, 1 << 20):
+                got = [json.loads(r.entry) for r in sorted(files.read_entries(spark, p, *within, block=block).collect())]
+                assert got == ([{k: v} for k, v in part.items()] if isinstance(part, dict) else part)
+    sinks.write_object({"a": {"b": {"c": 1}, "d": 2, "b2": "x" * 9}}, p)
+    for block in (1, 2, 5):
+        assert sorted(tuple(r) for r in files.read_entries(spark, p, "a", block=block).collect()) == [(0, '{"b": {\n      "c": 1\n    }}'), (1, '{"d": 2}'), (2, '{"b2": "xxxxxxxxx"}')]
+    with pytest.raises(ValueError):
+        files.read_entries(spark, p, "nothing")
+
+
+def test_index_file_has_no_bound(spark, data, monkeypatch):
+    from sheaf.plans import registry
+
+    monkeypatch.setattr(sinks.nested_index, "__defaults__", (10,))
+    got = registry.queries()["index_file"](spark, data)
+    assert {r.part: r.n for r in got.groupBy("part").agg(F.count("*").alias("n")).collect()}["fragments"] > 10
+
+
 def test_orphan_stream_equals_one_batch(spark, tmp_path):
     from test_operators import _events
 
