@@ -70,7 +70,7 @@ def manifest_file(spark, root):
     path = folder(spark) + "/manifest.json"
     m = table(spark, root, "manifest").select("doc", "clause", "title", "file", "manifest_id")
     sinks.write_manifest(m, path)
-    e = spark.read.text(f"file://{path}", wholetext=True).select(F.posexplode(F.from_json("value", "array<struct<doc:string,clause:string,title:string,file:string,manifest_id:bigint>>")).alias("place", "e"))
+    e = files.read_entries(spark, path).select(F.col("place").cast("int"), F.from_json("entry", "doc string, clause string, title string, file string, manifest_id bigint", {"mode": "FAILFAST"}).alias("e"))
     return e.select("place", "e.*")
 
 

@@ -95,18 +95,18 @@ def _append(out: BinaryIO, path: str, df: DataFrame, value: Column, depth: int,
         shutil.rmtree(parts, ignore_errors=True)
 
 
-def write_manifest(df: DataFrame, path: str, clause: str = "clause", doc: str = "doc", most: int = 1_000_000) -> int:
-    """One JSON array, by document and clause in natural order (then by all columns), on the driver's file system.
+def write_manifest(df: DataFrame, path: str, clause: str = "clause", doc: str = "doc", most: int | None = None) -> int:
+    """One JSON array, by document and clause in natural order (then by all columns), in a folder that all executors have mounted.
 
-    Meant for an index that people open; beyond ``most`` rows it refuses - use ``write_json_lines``.
-    Characters stay as they are, absent values are null, the file ends with a line end.
+    Of any size; beyond ``most`` rows, if given, it refuses. Characters stay as they are, absent
+    values are null, the file ends with a line end. ``files.read_entries`` reads it.
     """
-    rows = df.orderBy(doc, natural_key(F.col(clause)), *[c for c in df.columns if c != doc]).limit(most + 1).toJSON().collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows: write JSON lines instead")
-    full = [{c: None for c in df.columns} | json.loads(r) for r in rows]
-    _replace(path, json.dumps(full, ensure_ascii=False, indent=2) + "\n")
-    return len(full)
+    d = df.orderBy(doc, natural_key(F.col(clause)), *[c for c in df.columns if c != doc])
+    with _replacing(path) as f:
+        f.write(b"[")
+        n = _append(f, path, d, F.struct(*df.columns), 1, most=most)
+        f.write(b"]\n")
+    return n
 
 
 def write_object(value: Mapping, path: str) -> None:

@@ -120,6 +120,29 @@ def test_index_file_has_no_bound(spark, data, monkeypatch):
     assert {r.part: r.n for r in got.groupBy("part").agg(F.count("*").alias("n")).collect()}["fragments"] > 10
 
 
+def test_manifest_file_has_no_bound(spark, data, tmp_path, monkeypatch):
+    from sheaf.plans import registry
+
+    # All defaults of the sink as small as they may be: only a bound that is asked for refuses.
+    monkeypatch.setattr(sinks.write_manifest, "__defaults__", tuple(10 if isinstance(x, int) else x for x in sinks.write_manifest.__defaults__))
+    got = registry.queries()["manifest_file"](spark, data)
+    n = spark.read.parquet(f"{data}/manifest.parquet").count()
+    assert n > 10 and sorted(r.place for r in got.collect()) == list(range(n))
+
+
+def test_manifest_layout_and_places(spark, tmp_path):
+    rows = [(f"d{i % 3}", f"{i % 7}.{i}" if i % 11 else None, 'q"\n  },\n  {' + "ü" * (i % 5), i) for i in range(400)]
+    d, p = spark.createDataFrame(rows, "doc string, clause string, title string, n long").repartition(5), str(tmp_path / "m.json")
+    for some in (d, d.limit(0)):
+        n = sinks.write_manifest(some, p)
+        text = open(p, encoding="utf-8").read()
+        want = json.loads(text)
+        assert text == json.dumps(want, ensure_ascii=False, indent=2) + "\n" and sorted(map(repr, want)) == sorted(repr(r.asDict()) for r in some.collect()) and len(want) == n
+        for block in (1 + len(text) // 50, 1 << 20):
+            got = files.read_entries(spark, p, block=block).collect()
+            assert [json.loads(r.entry) for r in sorted(got)] == want and sorted(r.place for r in got) == list(range(n))
+
+
 def test_orphan_stream_equals_one_batch(spark, tmp_path):
     from test_operators import _events
 
