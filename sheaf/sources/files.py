@@ -24,15 +24,60 @@ def read_markdown(spark: SparkSession, root: str, any_readme: bool = False) -> D
 
     Folders named ``_maps`` are left out, and ``README.md`` (or, with ``any_readme``, every name
     that begins with readme in any case). Sort by ``file`` where order matters.
+    Files of a mounted file system are listed and read by the executors: the driver knows the folders only.
     """
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        return _mounted_markdown(spark, at.toUri().getPath(), any_readme)
     # Folders are listed, not globbed: a glob would make every file a root of its own to be listed again.
     d = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("_p"), F.col("value").alias("raw"))
     path = F.url_decode(F.regexp_replace("_p", r"\+", "%2B"))
     top = re.sub(r"^[a-zA-Z][\w+.-]*:(?://[^/]*)?", "", root).strip("/")
     d = d.select(F.regexp_extract(path, rf"/{re.escape(top)}/([^/]+/[^/]+)\z", 1).alias("file"), "raw").where("file <> ''")
-    name = F.split_part("file", F.lit("/"), F.lit(2))
-    out = F.upper(name).startswith("README") if any_readme else name == "README.md"
-    return d.where(~out & ~F.col("file").startswith("_maps/"))
+    return d.where(~_readme(F.split_part("file", F.lit("/"), F.lit(2)), any_readme) & ~F.col("file").startswith("_maps/"))
+
+
+def _readme(name: Column, any_readme: bool) -> Column:
+    return F.upper(name).startswith("README") if any_readme else name == "README.md"
+
+
+def _mounted_markdown(spark: SparkSession, root: str, any_readme: bool, most: int = 8 << 20) -> DataFrame:
+    """Names travel as bytes, batches hold ``most`` bytes or one file; a folder's files are dealt out to many tasks."""
+    top = os.fsencode(root)
+
+    def names(batches):
+        for b in batches:
+            for doc in b.column(0).to_pylist():
+                with os.scandir(os.path.join(top, doc)) as es:
+                    got = [e.name for e in es if e.name.endswith(b".md") and e.is_file()]
+                for i in range(0, len(got), 10_000):
+                    some = got[i : i + 10_000]
+                    yield pa.RecordBatch.from_pydict({"doc": pa.array([doc] * len(some), pa.binary()), "name": pa.array(some, pa.binary())})
+
+    def read(batches):
+        def batch():
+            return pa.RecordBatch.from_pydict({"file": pa.array(file, pa.binary()), "raw": pa.array(raw, pa.binary())})
+
+        file, raw, size = [], [], 0
+        for b in batches:
+            for doc, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                file.append(doc + b"/" + name)
+                with open(os.path.join(top, file[-1]), "rb", buffering=0) as f:
+                    raw.append(f.read())
+                size += len(raw[-1])
+                if size > most or len(raw) == 10_000:
+                    yield batch()
+                    file, raw, size = [], [], 0
+        if raw:
+            yield batch()
+
+    with os.scandir(top) as es:
+        docs = [(bytearray(e.name),) for e in es if e.name != b"_maps" and e.is_dir()]
+    ship(spark)
+    cores = spark.sparkContext.defaultParallelism
+    d = spark.createDataFrame(spark.sparkContext.parallelize(docs, max(1, min(len(docs), max(cores, len(docs) // 2000)))), "doc binary").mapInArrow(names, "doc binary, name binary")
+    d = d.where(~_readme(F.col("name").cast("string"), any_readme)).repartition(max(4 * cores, len(docs) // 500), "doc", "name")
+    return d.mapInArrow(read, "file binary, raw binary").select(F.col("file").cast("string"), F.col("raw").cast("string"))
 
 
 def read_json_objects(spark: SparkSession, path: str, schema: StructType | str, skip: Sequence[str] = ("_all.json",)) -> DataFrame:

@@ -45,6 +45,23 @@ def _replace(path: str, content: str | bytes) -> None:
         f.write(content.encode() if isinstance(content, str) else content)
 
 
+def _put(path: str, content: bytes) -> None:
+    """``_replace`` for many small files: the folder is looked at only where it is missing."""
+    temp = os.path.join(os.path.dirname(path), f"tmp{uuid.uuid4().hex}.tmp")
+    try:
+        fd = os.open(temp, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o600)
+    except FileNotFoundError:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        fd = os.open(temp, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o600)
+    try:
+        with os.fdopen(fd, "wb") as f:
+            f.write(content)
+        os.replace(temp, path)
+    except BaseException:
+        os.unlink(temp)
+        raise
+
+
 _plain = json.JSONEncoder(ensure_ascii=False).encode
 
 
@@ -156,12 +173,14 @@ def report(violations: DataFrame, hard: tuple[str, ...] = ("error",)) -> tuple[d
 def write_texts(df: DataFrame, root: str, file: str = "file", raw: str = "raw") -> None:
     """Every row's text or bytes to its own file below a folder that all executors have mounted; each replaced as a whole."""
 
-    def put(rows) -> None:
-        for r in rows:
-            _replace(os.path.join(root, r[0]), r[1] if isinstance(r[1], str) else bytes(r[1]))
+    def put(batches):
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                _put(os.path.join(root, name), data.encode() if isinstance(data, str) else data)
+        yield from ()
 
     ship(df.sparkSession)
-    df.select(file, raw).where(F.col(file).isNotNull() & F.col(raw).isNotNull()).foreachPartition(put)
+    df.select(file, raw).where(F.col(file).isNotNull() & F.col(raw).isNotNull()).mapInArrow(put, "n long").write.format("noop").mode("overwrite").save()
 
 
 def frontmatter_text(*fields: tuple[str, Column]) -> Column:

@@ -27,6 +27,23 @@ def test_read_markdown(spark, tmp_path):
     assert [(r.file, r.raw) for r in got] == [("d/a b.md", "---\nclause: 1\n---\nü\n")]
 
 
+def test_markdown_is_not_listed_by_the_driver(spark, tmp_path):
+    root = str(tmp_path / "a b%20+{x}")
+    text = {f"d{i % 3}/{i:03d} ü+%41.md": f"text {i}\r\n" * (i % 4) for i in range(100)} | {"_d/_x.md": "x", ".h/.y.md": "y", "d0/latin.md": "z"}
+    sinks.write_texts(spark.createDataFrame([*text.items(), ("d0/README.md", "no"), ("d0/deep/z.md", "no"), ("_maps/m.md", "no"), ("top.md", "no"), ("d0/x.txt", "no")], "file string, raw string"), root)
+    with open(os.path.join(root, "d0/latin.md"), "wb") as f:
+        f.write(b"\xff\n")
+    for at in (root, f"file://{root}"):
+        d = files.read_markdown(spark, at)
+        assert not d.inputFiles()  # no file is known to the driver before it is read
+        got = {r.file: bytes(r.raw) for r in d.select("file", F.col("raw").cast("binary").alias("raw")).collect()}
+        assert got == {k: v.encode() for k, v in text.items()} | {"d0/latin.md": b"\xff\n"}
+    put(root, "d1/big.md", "x" * (20 << 20))
+    assert files.read_markdown(spark, root).agg(F.max(F.length("raw"))).collect()[0][0] == 20 << 20
+    os.makedirs(tmp_path / "empty")
+    assert files.read_markdown(spark, str(tmp_path / "empty")).collect() == []
+
+
 def test_json_maps(spark, tmp_path):
     root = str(tmp_path)
     put(root, "a.json", json.dumps({"doc": "A", "pdf_file": "a.pdf", "fragments": [{"clause": "1", "kind": "x", "doc": "no"}, None]}))
